@@ -1 +1,320 @@
-def paragraph_matches(*a): raise NotImplementedError
+"""User blacklist of advertisements: maintenance, and similarity matching of paragraphs.
+
+A match is an entry inside the paragraph, the paragraph inside an entry, or two texts alike by
+sequence ratio or trigram overlap. Paragraphs meet entries on shared grams only. On the entry side
+the commonest grams are left out as far as the threshold allows: a pair that scores at least
+``LIMIT`` still shares one of the others, so no match is lost.
+"""
+
+from __future__ import annotations
+
+import difflib
+from typing import NamedTuple
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
+
+from inkmill.functions.text import let, ngrams, normalize_match_text, split_paragraphs, strip
+from inkmill.operators.keyed import lookup_by_key
+from inkmill.session import pinned
+
+# Lengths and thresholds of a match.
+MIN_LENGTH = 6
+MIN_FUZZY_LENGTH = 10
+MIN_FUZZY_RATIO = 0.35
+MIN_CONTAINED_RATIO = 0.65
+LIMIT = 0.78
+
+# With lengths a, b and M matched characters the sequence ratio 2M/(a+b) reaches LIMIT only if
+# min/max >= LIMIT/(2-LIMIT), if at most (1-LIMIT)(a+b) characters stay unmatched, and if at least
+# M - (unmatched+1) neighbouring pairs are shared.
+MIN_SEQUENCE_RATIO = LIMIT / (2 - LIMIT)
+UNMATCHED = 1 - LIMIT
+_SHARED_PAIRS = (LIMIT / 2 - UNMATCHED) * (1 + MIN_SEQUENCE_RATIO)
+
+# Entries up to this many characters are broadcast, larger lists are joined by shuffle.
+BROADCAST_CHARS = 4_000_000
+BROADCAST_ROWS = 100_000
+_SALTS = 16
+
+
+class Added(NamedTuple):
+    entries: DataFrame
+    rejected: DataFrame
+
+
+def read_entries(raw: DataFrame) -> DataFrame:
+    """Usable entries ``(id, text, norm, ordinal, created_at)``; those without id or text are dropped."""
+    text = strip(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    ident = strip(F.coalesce(F.col("id").cast("string"), F.lit("")))
+    created = F.col("created_at") if "created_at" in raw.columns else F.lit(None)
+    return (
+        raw.select(ident.alias("id"), text.alias("text"), F.col("ordinal"), created.cast("string").alias("created_at"))
+        .filter((F.col("id") != "") & (F.col("text") != ""))
+        .withColumn("norm", normalize_match_text(F.col("text")))
+        .select("id", "text", "norm", "ordinal", "created_at")
+    )
+
+
+def add_entries(entries: DataFrame, additions: DataFrame) -> Added:
+    """Add ``additions(text, ordinal, created_at)``.
+
+    Too short texts are rejected; a text equal to a known one after normalisation keeps the known row.
+    """
+    new = additions.select(strip(F.col("text")).alias("text"), "ordinal", F.col("created_at").cast("string"))
+    new = new.withColumn("norm", normalize_match_text(F.col("text")))
+    last = entries.agg(F.coalesce(F.max("ordinal"), F.lit(-1)).alias("last"))
+    usable = (
+        new.filter(F.length("norm") >= MIN_LENGTH)
+        .join(F.broadcast(last))
+        .select(
+            F.substring(F.sha2("norm", 256), 1, 16).alias("id"),
+            "text",
+            "norm",
+            (F.col("last") + 1 + F.col("ordinal")).alias("ordinal"),
+            "created_at",
+        )
+    )
+    added = usable.groupBy("norm").agg(F.min_by(F.struct("id", "text", "ordinal", "created_at"), "ordinal").alias("r"))
+    fresh = added.join(entries.select("norm"), "norm", "left_anti").select(
+        "r.id", "r.text", "norm", "r.ordinal", "r.created_at"
+    )
+    return Added(entries.unionByName(fresh), new.filter(F.length("norm") < MIN_LENGTH).drop("norm"))
+
+
+def remove_entry(entries: DataFrame, entry_id: str) -> DataFrame:
+    return entries.filter(~F.col("id").eqNullSafe(F.lit(entry_id)))
+
+
+def remove_entries(entries: DataFrame, ids: DataFrame) -> DataFrame:
+    return entries.join(ids.select("id"), "id", "left_anti")
+
+
+def _grams(c: Column, size: int) -> Column:
+    """All n-grams as a list (texts with characters beyond the BMP may add harmless extra ones)."""
+    return F.regexp_extract_all(c, F.lit(f"(?=({'.' * size}))"), F.lit(1))
+
+
+def _prefixed(kind: str, grams: Column) -> Column:
+    return F.transform(grams, lambda g: F.concat(F.lit(kind), g))
+
+
+def _paragraph_keys(norm: Column) -> Column:
+    """Everything a paragraph offers: six-grams, its first six-gram, its pairs and trigrams."""
+    none = F.array().cast("array<string>")
+    fuzzy = F.length(norm) >= MIN_FUZZY_LENGTH
+    return F.concat(
+        _prefixed("c", F.array_distinct(_grams(norm, MIN_LENGTH))),
+        F.array(F.concat(F.lit("d"), F.substring(norm, 1, MIN_LENGTH))),
+        F.when(fuzzy, _prefixed("b", F.array_distinct(_grams(norm, 2)))).otherwise(none),
+        F.when(fuzzy, _prefixed("t", F.array_distinct(_grams(norm, 3)))).otherwise(none),
+    )
+
+
+def _rare_grams(entries: DataFrame, size: int, kind: str, may_drop: Column, repeats: bool) -> DataFrame:
+    """Grams of each entry without its commonest ones; what is dropped weighs at most ``may_drop``."""
+    counted = (
+        entries.filter(F.col("len") >= MIN_FUZZY_LENGTH)
+        .select("ordinal", "len", F.explode(_grams(F.col("norm"), size)).alias("gram"))
+        .groupBy("ordinal", "len", "gram")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    everywhere = counted.groupBy("gram").agg(F.sum("n").alias("total"))
+    whole = W.partitionBy("ordinal")
+    common_first = whole.orderBy(F.desc("total"), "gram").rowsBetween(W.unboundedPreceding, 0)
+    weight = F.col("n") if repeats else F.lit(1).cast("bigint")
+    return (
+        counted.join(everywhere, "gram")
+        .withColumn("w", weight)
+        .withColumn("distinct_grams", F.count(F.lit(1)).over(whole))
+        .withColumn("dropping", F.sum("w").over(common_first))
+        .withColumn("kept", F.col("dropping") > may_drop)
+        .withColumn("dropped", F.sum(F.when(F.col("kept"), 0).otherwise(F.col("w"))).over(whole))
+        .filter("kept")
+        .select(
+            "ordinal", "len", F.concat(F.lit(kind), "gram").alias("key"), "w", "dropped", "distinct_grams"
+        )
+    )
+
+
+def _entry_keys(entries: DataFrame) -> DataFrame:
+    """``(ordinal, len, key, w, dropped, distinct_grams)``: what a paragraph must share with an entry.
+
+    ``w`` is the weight of the key in its entry, ``dropped`` the weight left out of its kind.
+    """
+    sixes = entries.select("ordinal", "len", F.array_distinct(_grams(F.col("norm"), MIN_LENGTH)).alias("g"))
+    anchor = F.array_min(F.transform("g", lambda x: F.struct(F.xxhash64(x).alias("h"), x.alias("x"))))["x"]
+    whole = F.concat(F.array(F.concat(F.lit("c"), anchor)), _prefixed("d", F.col("g")))
+    zero = F.lit(0).cast("bigint")
+    pair_slack = F.ceil(F.lit(_SHARED_PAIRS) * F.col("len") - 1 - 1e-9) - 1
+    trigram_slack = F.ceil(F.lit(MIN_SEQUENCE_RATIO) * F.col("distinct_grams") - 1e-9) - 1
+    return (
+        sixes.select(
+            "ordinal", "len", F.explode(whole).alias("key"),
+            zero.alias("w"), zero.alias("dropped"), zero.alias("distinct_grams"),
+        )
+        .unionByName(_rare_grams(entries, 2, "b", pair_slack, repeats=True))
+        .unionByName(_rare_grams(entries, 3, "t", trigram_slack, repeats=False))
+    )
+
+
+@F.arrow_udf(DoubleType())
+def _sequence_ratio(left: pa.Array, right: pa.Array) -> pa.Array:
+    return pa.array(
+        [
+            None if a is None else difflib.SequenceMatcher(None, a, b, autojunk=False).ratio()
+            for a, b in zip(left.to_pylist(), right.to_pylist())
+        ],
+        pa.float64(),
+    )
+
+
+def score_pairs(pairs: DataFrame) -> DataFrame:
+    """Score pairs ``(norm, entry_norm, near, alike)``; only those that reach the limit are kept."""
+    p, e = F.col("norm"), F.col("entry_norm")
+    a, b = F.length(p), F.length(e)
+    ratio = F.least(a, b) / F.greatest(a, b)
+    contained = (F.instr(e, p) > 0) & (a >= b * MIN_CONTAINED_RATIO)
+    fuzzy = (F.least(a, b) >= MIN_FUZZY_LENGTH) & (ratio >= MIN_FUZZY_RATIO)
+    method = (
+        F.when(F.instr(p, e) > 0, F.lit("contains"))
+        .when(contained, F.lit("contained"))
+        .when(fuzzy, F.lit("fuzzy"))
+    )
+
+    def trigrams(c: Column) -> Column:
+        astral = c.rlike(r"[\x{10000}-\x{10FFFF}]")
+        return F.when(astral, ngrams(c)).otherwise(F.array_distinct(_grams(c, 3)))
+
+    def overlap(x):
+        return 2 * F.size(F.array_intersect(x["p"], x["e"])) / (F.size(x["p"]) + F.size(x["e"]))
+
+    dice = let(F.struct(trigrams(p).alias("p"), trigrams(e).alias("e")), overlap)
+    # The edit distance never exceeds the number of unmatched characters.
+    most = f"cast(floor({UNMATCHED} * (length(norm) + length(entry_norm)) + 1e-6) as int)"
+    close = (ratio >= MIN_SEQUENCE_RATIO - 1e-9) & F.expr(f"levenshtein(norm, entry_norm, {most}) >= 0")
+    is_fuzzy = F.col("method") == "fuzzy"
+    likely = (
+        pairs.withColumn("method", method)
+        .filter("method is not null")
+        .filter(~is_fuzzy | (F.col("near") & close) | (F.col("alike") & (dice >= LIMIT)))
+    )
+    sequence = _sequence_ratio(F.when(is_fuzzy & F.col("near"), p), F.when(is_fuzzy & F.col("near"), e))
+    score = (
+        F.when(F.col("method") == "contains", F.lit(1.0))
+        .when(F.col("method") == "contained", a / b)
+        .otherwise(F.greatest(dice, F.coalesce("_sequence", F.lit(0.0))))
+    )
+    return (
+        likely.withColumn("_sequence", sequence)
+        .withColumn("score", score)
+        .filter(F.col("score") >= LIMIT)
+        .drop("_sequence", "near", "alike")
+    )
+
+
+def candidate_pairs(norms: DataFrame, entries: DataFrame, small: bool) -> DataFrame:
+    """Pairs ``(norm, ordinal, near, alike)`` that may match.
+
+    Partial counts meet before the shuffle. A pair stays if a whole text may contain the other, if
+    enough neighbouring pairs are shared for the sequence ratio (``near``), or enough trigrams for
+    their overlap (``alike``); what the entry left out counts as shared.
+    """
+    keys = _entry_keys(entries).withColumnRenamed("len", "entry_len")
+    # Lengths are taken before the explode, else Spark would take them again for every key.
+    counted = norms.select(
+        F.xxhash64("norm").alias("pid"),
+        F.length("norm").alias("len"),
+        F.size(F.array_distinct(_grams(F.col("norm"), 3))).alias("offered_trigrams"),
+        _paragraph_keys(F.col("norm")).alias("keys"),
+    )
+    offered = counted.select("pid", "len", "offered_trigrams", F.explode("keys").alias("key"))
+    if small:
+        met = offered.join(F.broadcast(keys), "key")
+    else:
+        salted = keys.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+        met = offered.withColumn("_salt", F.pmod("pid", F.lit(_SALTS)).cast("int")).join(
+            salted, ["key", "_salt"]
+        )
+    a, b, kind = F.col("len"), F.col("entry_len"), F.substring("key", 1, 1)
+    ratio = F.least(a, b) / F.greatest(a, b)
+    possible = (
+        F.when(kind == "c", a >= b)
+        .when(kind == "d", (a <= b) & (a >= b * MIN_CONTAINED_RATIO))
+        .when(kind == "b", ratio >= MIN_SEQUENCE_RATIO - 1e-9)
+        .otherwise(ratio >= MIN_FUZZY_RATIO)
+    )
+
+    def total(k: str, c: str) -> Column:
+        return F.coalesce(F.sum(F.when(F.col("kind") == k, F.col(c))), F.lit(0))
+
+    def fixed(k: str, c: str) -> Column:
+        return F.max(F.when(F.col("kind") == k, F.col(c)))
+
+    # Paragraphs go by their hash here, so text is moved once per paragraph and not once per pair.
+    # Equal hashes are counted together, which can only let more pairs through.
+    shared = (
+        met.filter(possible)
+        .withColumn("kind", kind)
+        .groupBy("pid", "ordinal", "len", "entry_len", "offered_trigrams")
+        .agg(
+            F.max(F.col("kind").isin("c", "d")).alias("whole"),
+            total("b", "w").alias("pairs"),
+            fixed("b", "dropped").alias("pairs_dropped"),
+            total("t", "w").alias("trigrams"),
+            fixed("t", "dropped").alias("trigrams_dropped"),
+            fixed("t", "distinct_grams").alias("entry_trigrams"),
+        )
+    )
+    needed_pairs = (LIMIT / 2 - UNMATCHED) * (a + b) - 1 - 1e-6
+    needed_trigrams = LIMIT / 2 * (F.col("offered_trigrams") + F.col("entry_trigrams")) - 1e-6
+    near = F.col("pairs") + F.col("pairs_dropped") >= needed_pairs
+    alike = F.col("trigrams") + F.col("trigrams_dropped") >= needed_trigrams
+    return (
+        shared.withColumn("near", F.coalesce(near, F.lit(False)))
+        .withColumn("alike", F.coalesce(alike, F.lit(False)))
+        .filter("whole or near or alike")
+        .select("pid", "ordinal", "near", "alike")
+        .join(norms.distinct().withColumn("pid", F.xxhash64("norm")), "pid")
+        .select("norm", "ordinal", "near", "alike")
+    )
+
+
+def best_matches(norms: DataFrame, blacklist: DataFrame) -> DataFrame:
+    """Best entry per normalised text ``(norm, score, method, entry_id)``; ties go to the first entry."""
+    entries = blacklist.select("ordinal", "id", "norm").withColumn("len", F.length("norm"))
+    entries = entries.filter(F.col("len") >= MIN_LENGTH)
+    chars = entries.agg(F.coalesce(F.sum("len"), F.lit(0))).first()[0]
+    small = chars <= BROADCAST_CHARS
+    named = entries.select("ordinal", F.col("id").alias("entry_id"), F.col("norm").alias("entry_norm"))
+    pairs = candidate_pairs(norms.filter(F.length("norm") >= MIN_LENGTH), entries, small).join(
+        F.broadcast(named) if small else named, "ordinal"
+    )
+    best = F.max_by(
+        F.struct("score", "method", "entry_id"), F.struct(F.col("score"), (-F.col("ordinal")).alias("o"))
+    )
+    return score_pairs(pairs).groupBy("norm").agg(best.alias("m")).select("norm", "m.*")
+
+
+def normalized_paragraphs(chapters: DataFrame) -> DataFrame:
+    """``(book_id, chapter_index, paragraph, norm)`` of all paragraphs."""
+    return chapters.select(
+        "book_id", "chapter_index", F.posexplode(split_paragraphs(F.col("text"))).alias("paragraph", "p")
+    ).select("book_id", "chapter_index", "paragraph", normalize_match_text(strip(F.col("p"))).alias("norm"))
+
+
+def paragraph_matches(chapters: DataFrame, blacklist: DataFrame) -> DataFrame:
+    """``(book_id, chapter_index, paragraph, score, method, entry_id)`` of the matched paragraphs."""
+    paragraphs = normalized_paragraphs(chapters)
+    # Written once: the matches are dear, and their size decides how they go back to the paragraphs.
+    found = pinned(best_matches(paragraphs.select("norm"), blacklist))
+    n, chars = found.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("norm")), F.lit(0))).first()
+    if n <= BROADCAST_ROWS and chars <= BROADCAST_CHARS:
+        return paragraphs.join(F.broadcast(found), "norm").drop("norm")
+    asked = paragraphs.groupBy("norm").agg(F.count(F.lit(1)).alias("_n"))
+    answers = asked.join(found, "norm")
+    matched = lookup_by_key(paragraphs, answers, ["norm"], "_n", ["book_id", "chapter_index", "paragraph"])
+    return matched.filter("score is not null").drop("norm")
