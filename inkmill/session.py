@@ -45,3 +45,12 @@ def pinned(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="inkmill-checkpoint-")
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core a share of an input that comes in fewer pieces than there are cores.
+
+    Large inputs come in many pieces and pass unchanged.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
