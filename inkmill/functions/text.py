@@ -27,12 +27,16 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+# The members of WS as text, for trimming without a regular expression.
+_BLANKS = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
+
+
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"\A[{WS}]+|[{WS}]+\z", "")
+    return F.btrim(c, F.lit(_BLANKS))
 
 
 def rstrip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"[{WS}]+\z", "")
+    return F.rtrim(c, F.lit(_BLANKS))
 
 
 def collapse_spaces(c: Column) -> Column:

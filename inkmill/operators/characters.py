@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from inkmill.functions.text import replace_first
+from inkmill.functions.text import let, replace_first
 from inkmill.operators import rulebook as rb
 
 DAMAGED = r"[\ufffd\u200b-\u200d\ufeff\x00-\x08\x0b\x0c\x0e-\x1f]"
@@ -25,45 +23,53 @@ def damaged_issues(text: Column) -> Column:
 
 
 def character_class(chars) -> str:
-    """Regex class of single characters."""
-    return "[" + "".join("\\" + c if c in r"\[]^-&" else c for c in sorted(chars)) + "]"
-
+    """Regex class of single characters.
 
-def map_literal(pairs: dict[str, str]) -> Column:
-    return F.from_json(F.lit(json.dumps(pairs)), "map<string,string>")
+    Java tests the members of a class one by one, so they are bundled behind ranges.
+    """
+    ordered = sorted(chars)
+    escaped = ["\\" + c if c in r"\[]^-&" else c for c in ordered]
+    bundles = [escaped[i : i + 10] for i in range(0, len(ordered), 10)]
+    if len(bundles) < 3:
+        return "[" + "".join(escaped) + "]"
+    return "[" + "".join(f"[{b[0]}-{b[-1]}&&[{''.join(b)}]]" for b in bundles) + "]"
 
 
 def traditional_hits(text: Column, traditional: dict[str, str]) -> Column:
-    """Array of ``struct<ch, left, right, simplified, repeated>``, one per traditional character."""
-    empty = "array<struct<ch:string,left:string,right:string,simplified:string,repeated:boolean>>"
+    """Array of ``struct<ch, left, right, simplified, repeated>``, one per traditional character.
+
+    ``left`` is a line feed at the beginning of the text and ``right`` is empty at its end.
+    """
     if not traditional:
-        return F.array().cast(empty)
-    cls = character_class(traditional)
-    around = rf"(?s)(?<=(^|.))({cls})(?=(.|\z))"
-    groups = [F.regexp_extract_all(text, F.lit(around), F.lit(i)) for i in (1, 2, 3)]
-    zipped = F.arrays_zip(groups[0].alias("left"), groups[1].alias("ch"), groups[2].alias("right"))
-    hits = F.transform(
-        zipped,
-        lambda z: F.struct(
-            z["ch"].alias("ch"),
-            z["left"].alias("left"),
-            z["right"].alias("right"),
-            F.element_at(map_literal(traditional), z["ch"]).alias("simplified"),
-            (F.length(text) - F.length(F.replace(text, z["ch"], F.lit(""))) > 1).alias("repeated"),
-        ),
-    )
-    return F.when(text.rlike(cls), hits).otherwise(F.array().cast(empty))
+        return F.array().cast("array<struct<ch:string,left:string,right:string,simplified:string,repeated:boolean>>")
+    # One pass: every hit with its neighbours as a text of two or three characters.
+    around = rf"(?s)(?=(.{character_class(traditional)}(?:.|\z)))"
+    old, new = "".join(traditional), "".join(traditional.values())
+
+    def described(windows):
+        found = F.transform(windows, lambda w: F.substring(w, 2, 1))
+        return F.transform(
+            windows,
+            lambda w: let(
+                F.substring(w, 2, 1),
+                lambda ch: F.struct(
+                    ch.alias("ch"),
+                    F.substring(w, 1, 1).alias("left"),
+                    F.substring(w, 3, 1).alias("right"),
+                    F.translate(ch, old, new).alias("simplified"),
+                    (F.size(F.array_remove(found, ch)) < F.size(found) - 1).alias("repeated"),
+                ),
+            ),
+        )
+
+    windows = F.regexp_extract_all(F.concat(F.lit("\n"), text), F.lit(around), F.lit(1))
+    return let(windows, described)
 
 
 def wanted_grams(hit: Column) -> Column:
     """Profile entries needed to judge a hit: the simplified character and its two word forms."""
-    return F.filter(
-        F.array(
-            hit["simplified"],
-            F.when(hit["left"] != "", F.concat(hit["left"], hit["simplified"])),
-            F.when(hit["right"] != "", F.concat(hit["simplified"], hit["right"])),
-        ),
-        lambda g: g.isNotNull(),
+    return F.array(
+        hit["simplified"], F.concat(hit["left"], hit["simplified"]), F.concat(hit["simplified"], hit["right"])
     )
 
 
@@ -74,9 +80,9 @@ def traditional_issue(hit: Column, evidence: Column) -> Column:
         return F.coalesce(F.try_element_at(evidence, gram), F.lit(0.0))
 
     simplified = seen(hit["simplified"])
-    word = (
-        ((hit["left"] != "") & (seen(F.concat(hit["left"], hit["simplified"])) > 0))
-        | ((hit["right"] != "") & (seen(F.concat(hit["simplified"], hit["right"])) > 0))
+    # At an end of the text the pair has no second CJK character and is in no profile.
+    word = (seen(F.concat(hit["left"], hit["simplified"])) > 0) | (
+        (hit["right"] != "") & (seen(F.concat(hit["simplified"], hit["right"])) > 0)
     )
 
     def told(fact):

@@ -52,7 +52,7 @@ def profile_totals(chapters: DataFrame, traditional: dict[str, str]) -> DataFram
     """``(book_id, cjk_total, traditional_total, simplified_ratio)``."""
     text = F.coalesce(F.col("text"), F.lit(""))
     old = _in_cjk(traditional)
-    old_count = F.length(F.regexp_replace(text, "[^" + character_class(old)[1:], "")) if old else F.lit(0)
+    old_count = F.size(_all_of(text, old)) if old else F.lit(0)
     ratio = F.greatest(F.lit(0.0), F.lit(1.0) - F.col("traditional_total") / F.col("cjk_total"))
     return (
         chapters.groupBy(BOOK)

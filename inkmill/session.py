@@ -50,7 +50,8 @@ def pinned(df: DataFrame) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """Give every core a share of an input that comes in fewer pieces than there are cores.
 
-    Large inputs come in many pieces and pass unchanged.
+    Such an input is small: it is dealt out once and written, so that work on it is not pushed back
+    below the dealing. Large inputs come in many pieces and pass unchanged.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return pinned(df.repartition(cores)) if df.rdd.getNumPartitions() < cores else df
