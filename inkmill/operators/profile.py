@@ -14,7 +14,7 @@ BOOK, CHAPTER = "book_id", "chapter_index"
 
 
 def _in_cjk(chars) -> list[str]:
-    return [c for c in chars if "一" <= c <= "鿿"]
+    return [c for c in chars if "一" <= c <= "\u9fff"]
 
 
 def _all_of(text: Column, chars) -> Column:
