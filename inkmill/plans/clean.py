@@ -174,23 +174,28 @@ def judge(
     )
 
 
-def cleaned_chapters(judged: DataFrame, mode: str) -> DataFrame:
-    """Chapter table; a chapter without a change keeps its raw text."""
+def cleaned_text(mode: str) -> Column:
+    """Text of a judged chapter; a chapter without a change keeps its raw text."""
     changed = F.exists("paragraphs", lambda p: p["text"] != p["raw"])
     kept = F.filter(F.transform("paragraphs", lambda p: p["text"]), lambda t: t != "")
+    joined = strip(F.array_join(kept, "\n\n"))
+    return F.when(F.lit(mode == "auto") & changed, joined).otherwise(F.col("text"))
+
+
+def cleaned_chapters(judged: DataFrame, mode: str) -> DataFrame:
+    """Chapter table of a run."""
     applied = F.aggregate(
         "paragraphs",
         F.lit(0),
         lambda n, p: n + F.size(F.filter(p["issues"], lambda i: i["applied"])),
     )
-    text = F.when(F.lit(mode == "auto") & changed, strip(F.array_join(kept, "\n\n"))).otherwise(F.col("text"))
     return judged.select(
         BOOK,
         CHAPTER,
         "title",
         "source_path",
         F.col("text").alias("original_text"),
-        text.alias("cleaned_text"),
+        cleaned_text(mode).alias("cleaned_text"),
         applied.alias("applied_count"),
     ).withColumn("changed", ~F.col("cleaned_text").eqNullSafe(F.col("original_text")))
 
