@@ -28,15 +28,15 @@ def let(value: Column, body) -> Column:
 
 
 # The members of WS as text, for trimming without a regular expression.
-_BLANKS = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
+BLANKS = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 
 
 def strip(c: Column) -> Column:
-    return F.btrim(c, F.lit(_BLANKS))
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def rstrip(c: Column) -> Column:
-    return F.rtrim(c, F.lit(_BLANKS))
+    return F.rtrim(c, F.lit(BLANKS))
 
 
 def collapse_spaces(c: Column) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from inkmill.functions.text import WS, let, replace_first, split_paragraphs, strip
+from inkmill.functions.text import BLANKS, WS, let, replace_first, split_paragraphs, strip
 from inkmill.operators import rulebook as rb
 
 KEYS = ["book_id", "chapter_index"]
@@ -61,6 +61,11 @@ def _replace_near(texts: pa.Array, old: pa.Array, new: pa.Array) -> pa.Array:
     return pa.array([None if t is None else run(t, o, n) for t, o, n in rows], pa.string())
 
 
+# Spark copies deterministic calls into every place that uses them; these are to run once.
+_align = _align.asNondeterministic()
+_replace_near = _replace_near.asNondeterministic()
+
+
 def spans(text: Column, paragraphs: Column) -> Column:
     """``struct<a, b>`` per paragraph: its place in the text, searched forward."""
 
@@ -187,7 +192,7 @@ def _suggestion(issue: Column) -> Column:
 def chapter_changes(chapters: DataFrame, lineage: bool = True) -> DataFrame:
     """Add ``target_text`` and ``changes`` to chapters.
 
-    ``chapters(book_id, chapter_index, original_text, cleaned_text, issues, ops)`` as made by
+    ``chapters(book_id, chapter_index, original_text, cleaned_text, issues, own, lineage)`` as made by
     :func:`from_judged` or :func:`from_tables`. With lineage a change is matched to the issues of its
     own paragraph, else to all issues of its chapter.
     """
@@ -203,28 +208,27 @@ def chapter_changes(chapters: DataFrame, lineage: bool = True) -> DataFrame:
         .withColumn("_before", before)
         .withColumn("_after", after)
     )
-    if lineage:
-        # Suggestions for an unchanged chapter have no lineage; they are aligned.
-        known = F.col("cleaned_text") != F.col("original_text")
-        ops = F.when(known, F.col("ops")).otherwise(F.col("_aligned"))
-        align = differs & ~known
-    else:
-        known, ops, align = F.lit(False), F.col("_aligned"), differs
+    # Suggestions for an unchanged chapter have no lineage; they are aligned.
+    known = F.col("cleaned_text") != F.col("original_text") if lineage else F.lit(False)
+    align = differs & ~known
     staged = staged.withColumn(
         "_aligned", _align(F.when(align, F.col("_before")), F.when(align, F.col("_after")))
     )
     place = F.struct(
         F.col("original_text").alias("original"),
         F.col("target_text").alias("target"),
-        spans(F.col("original_text"), F.col("_before")).alias("os"),
-        spans(F.col("target_text"), F.col("_after")).alias("ts"),
-        ops.alias("ops"),
+        F.when(align, spans(F.col("original_text"), F.col("_before"))).alias("os"),
+        F.when(align, spans(F.col("target_text"), F.col("_after"))).alias("ts"),
+        F.col("_aligned").alias("ops"),
     )
-    staged = staged.withColumn("_raw", let(place, _raw_changes))
+    aligned = let(place, _raw_changes)
+    staged = staged.withColumn("_raw", F.when(known, F.col("lineage")).otherwise(aligned))
 
     def described(c):
-        own = F.filter("issues", lambda i: ~F.lit(lineage) | ~known | (i["paragraph"] == c["at"]))
-        return let(matching_issue(c["original"], c["replacement"], own), lambda i: _described(c, i))
+        # With lineage only the issues of the own paragraph come into question.
+        own = F.when(known, F.get(F.col("own"), c["at"])).otherwise(F.transform("issues", lambda i: i["place"]))
+        nearby = F.transform(own, lambda at: F.get(F.col("issues"), at))
+        return let(matching_issue(c["original"], c["replacement"], nearby), lambda i: _described(c, i))
 
     staged = staged.withColumn("_told", F.transform("_raw", described))
     shown = F.transform("_told", lambda c: c["place"])
@@ -236,12 +240,15 @@ def chapter_changes(chapters: DataFrame, lineage: bool = True) -> DataFrame:
         & (i["original"] != i["replacement"]),
     )
     changes = F.concat(F.col("_told"), F.transform(left, _suggestion))
-    return staged.withColumn("changes", changes).drop("_before", "_after", "_aligned", "_raw", "_told", "ops")
+    return staged.withColumn("changes", changes).drop("_before", "_after", "_aligned", "_raw", "_told", "own", "lineage")
 
 
 _ISSUE_FIELDS = ["paragraph", "category", "confidence", "rule", "reason", "original", "replacement", "applied"]
 
 
+_CHANGES = "array<struct<tag:string,i1:int,i2:int,j1:int,j2:int,original:string,replacement:string,at:int>>"
+
+
 def from_judged(judged: DataFrame, cleaned: Column) -> DataFrame:
     """Chapters ready for review straight from their judged paragraphs, without a join."""
 
@@ -256,30 +263,55 @@ def from_judged(judged: DataFrame, cleaned: Column) -> DataFrame:
 
         return F.transform(p["issues"], one)
 
-    # A removed paragraph is deleted, a changed one replaced; targets are counted without the removed.
+    # A walk over the paragraphs with their separators gives the places; only changes are kept.
+    body = strip(F.col("text"))
+    gaps = F.transform(F.regexp_extract_all(body, F.lit(rf"\n[{WS}]*\n+"), F.lit(0)), lambda g: F.length(g))
+    walked = F.transform(
+        F.arrays_zip(F.col("paragraphs").alias("p"), gaps.alias("gap")),
+        lambda z, at: F.struct(
+            z["p"]["raw"].alias("raw"), z["p"]["text"].alias("text"), F.coalesce(z["gap"], F.lit(0)).alias("gap"),
+            at.alias("at"),
+        ),
+    )
+
     def step(acc, p):
         gone = p["text"] == ""
-        block = F.struct(
+        end_i = acc["i"] + F.length(p["raw"])
+        end_j = acc["j"] + F.length(p["text"])
+        change = F.struct(
             F.when(gone, "delete").otherwise("replace").alias("tag"),
-            acc["i"].alias("i1"), (acc["i"] + 1).alias("i2"), acc["j"].alias("j1"),
-            F.when(gone, acc["j"]).otherwise(acc["j"] + 1).alias("j2"),
+            acc["i"].alias("i1"), end_i.alias("i2"), acc["j"].alias("j1"), end_j.alias("j2"),
+            p["raw"].alias("original"), p["text"].alias("replacement"), p["at"].alias("at"),
         )
         return F.struct(
-            (acc["i"] + 1).alias("i"),
-            F.when(gone, acc["j"]).otherwise(acc["j"] + 1).alias("j"),
-            F.when(p["text"] != p["raw"], F.concat(acc["ops"], F.array(block))).otherwise(acc["ops"]).alias("ops"),
+            (end_i + p["gap"]).alias("i"),
+            F.when(gone, acc["j"]).otherwise(end_j + 2).alias("j"),
+            F.when(p["text"] != p["raw"], F.concat(acc["found"], F.array(change))).otherwise(acc["found"]).alias("found"),
         )
 
-    nothing = F.array().cast("array<struct<tag:string,i1:int,i2:int,j1:int,j2:int>>")
-    ops = F.aggregate(
-        "paragraphs",
-        F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), nothing.alias("ops")),
+    lead = F.length("text") - F.length(F.ltrim(F.col("text"), F.lit(BLANKS)))
+    lineage = F.aggregate(
+        walked,
+        F.struct(lead.alias("i"), F.lit(0).alias("j"), F.array().cast(_CHANGES).alias("found")),
         step,
-        lambda acc: acc["ops"],
+        lambda acc: acc["found"],
+    )
+    # Places of the issues of each paragraph in the list of all issues.
+    counts = F.transform("paragraphs", lambda p: F.size(p["issues"]))
+    ends = F.aggregate(
+        counts,
+        F.struct(F.lit(0).alias("n"), F.array().cast("array<array<int>>").alias("own")),
+        lambda acc, n: F.struct(
+            (acc["n"] + n).alias("n"),
+            F.concat(
+                acc["own"], F.array(F.when(n > 0, F.sequence(acc["n"], acc["n"] + n - 1)).otherwise(F.array().cast("array<int>")))
+            ).alias("own"),
+        ),
+        lambda acc: acc["own"],
     )
     return judged.select(
         *KEYS, "title", F.col("text").alias("original_text"), cleaned.alias("cleaned_text"),
-        F.flatten(F.transform("paragraphs", listed)).alias("issues"), ops.alias("ops"),
+        F.flatten(F.transform("paragraphs", listed)).alias("issues"), ends.alias("own"), lineage.alias("lineage"),
     )
 
 
@@ -295,7 +327,8 @@ def from_tables(cleaned: DataFrame, issues: DataFrame) -> DataFrame:
         cleaned.select(*KEYS, "title", "original_text", "cleaned_text")
         .join(gathered, KEYS, "left")
         .withColumn("issues", F.coalesce("issues", F.array().cast(typed)))
-        .withColumn("ops", F.lit(None).cast(_OPS))
+        .withColumn("own", F.lit(None).cast("array<array<int>>"))
+        .withColumn("lineage", F.lit(None).cast(_CHANGES))
     )
 
 

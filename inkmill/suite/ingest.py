@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from inkmill.functions.numerals import parse_chapter_number
@@ -19,7 +18,9 @@ from inkmill.plans.catalog import (
 )
 from inkmill.plans.ingest import IngestOptions, duplicate_report, failure_report, ingest, ingest_summary
 from inkmill.session import spread
+from inkmill.sources.sinks import chapter_files
 from inkmill.sources.sites import Part, Site, route
+from inkmill.streaming.ingest import event_counts, first_seen, ingest_events
 from inkmill.suite.data import WS, documents, same, sql_chapters, sql_strip, table
 from inkmill.suite.registry import query
 
@@ -389,3 +390,43 @@ def book_text(spark, sf):
         F.concat("book_id", F.lit("/")).alias("source_url"),
     )
     return book_blocks(books, chapters).select("book_id", "block", F.md5("text").alias("digest"))
+
+
+# ---- events and sinks --------------------------------------------------------------------------
+
+
+@query(
+    "event_counts",
+    "SELECT user_id % 100 AS book_id, event_type AS kind, count(*) AS n FROM events GROUP BY 1, 2",
+)
+def event_counts_query(spark, sf):
+    events = table(spark, sf, "events").select((F.col("user_id") % 100).alias("book_id"), F.col("event_type").alias("kind"))
+    return event_counts(events)
+
+
+@query(
+    "ingest_events",
+    f"""WITH {_RUN_SQL} SELECT book_id, 'chapter_' || status AS kind, count(*) AS n FROM outcome GROUP BY 1, 2""",
+)
+def ingest_events_query(spark, sf):
+    return event_counts(ingest_events(_run(spark, sf)[0].outcomes))
+
+
+@query(
+    "chapter_files",
+    f"""WITH {_CH}, n AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(title, '[<>:"/\\\\|?*\\x00-\\x1f]', '_', 'g'),
+   '[{WS}]+', ' ', 'g'), '^[ .]+|[ .]+$', '', 'g') AS clean FROM chapters)
+SELECT book_id, chapter_index, CASE WHEN chapter_index < 10000 THEN lpad(chapter_index::VARCHAR, 4, '0') ELSE chapter_index::VARCHAR END
+   || '_' || CASE WHEN regexp_replace(left(clean, 80), '[ .]+$', '') = '' THEN 'chapter' ELSE regexp_replace(left(clean, 80), '[ .]+$', '') END || '.txt' AS file_name,
+   md5({sql_strip('text')} || chr(10)) AS digest FROM n""",
+)
+def chapter_files_query(spark, sf):
+    return chapter_files(documents(spark, sf)).select("book_id", "chapter_index", "file_name", F.md5("text").alias("digest"))
+
+
+@query(
+    "first_seen",
+    f"WITH {_CH}, d AS (SELECT DISTINCT book_id, {_DIGEST} AS digest FROM chapters) SELECT book_id, digest FROM d",
+)
+def first_seen_query(spark, sf):
+    return first_seen(documents(spark, sf)).select("book_id", "digest")

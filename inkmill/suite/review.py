@@ -15,10 +15,10 @@ _JUDGED = sql_auto(sql_words)
 # Words are parted by exactly one blank line, so places are sums of lengths.
 _PLACES = f"""{_JUDGED},
 lead AS (SELECT book_id, chapter_index, text, length(text) - length(regexp_replace(text, '^[{WS}]+', '')) AS lead FROM chapters),
-at AS (SELECT o.*, l.lead + coalesce(sum(length(raw) + 2) OVER (PARTITION BY o.book_id, o.chapter_index ORDER BY paragraph
+located AS (SELECT o.*, l.lead + coalesce(sum(length(raw) + 2) OVER (PARTITION BY o.book_id, o.chapter_index ORDER BY paragraph
          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS i1
        FROM outs o JOIN lead l USING (book_id, chapter_index)),
-ch AS (SELECT *, CASE WHEN result = '' THEN 'delete' ELSE 'replace' END AS tag FROM at WHERE result <> raw)"""
+ch AS (SELECT *, CASE WHEN result = '' THEN 'delete' ELSE 'replace' END AS tag FROM located WHERE result <> raw)"""
 
 
 def _changed(spark, sf):
@@ -48,7 +48,7 @@ def _decisions(changed):
     "review_apply",
     f"""WITH {_PLACES},
 picked AS (SELECT book_id, chapter_index, paragraph, CASE WHEN i1 % 3 <> 0 THEN result ELSE raw END AS part,
-             i1 % 3 <> 0 AND result <> raw AS touched FROM at),
+             i1 % 3 <> 0 AND result <> raw AS touched FROM located),
 body AS (SELECT book_id, chapter_index, bool_or(touched) AS touched,
            string_agg(part, chr(10) || chr(10) ORDER BY paragraph) AS t FROM picked GROUP BY 1, 2)
 SELECT c.book_id, c.chapter_index, md5(CASE WHEN touched THEN regexp_replace(
