@@ -46,10 +46,9 @@ def traditional_hits(text: Column, traditional: dict[str, str]) -> Column:
     around = rf"(?s)(?=(.{character_class(traditional)}(?:.|\z)))"
     old, new = "".join(traditional), "".join(traditional.values())
 
-    def described(windows):
-        found = F.transform(windows, lambda w: F.substring(w, 2, 1))
+    def described(x):
         return F.transform(
-            windows,
+            x["windows"],
             lambda w: let(
                 F.substring(w, 2, 1),
                 lambda ch: F.struct(
@@ -57,13 +56,17 @@ def traditional_hits(text: Column, traditional: dict[str, str]) -> Column:
                     F.substring(w, 1, 1).alias("left"),
                     F.substring(w, 3, 1).alias("right"),
                     F.translate(ch, old, new).alias("simplified"),
-                    (F.size(F.array_remove(found, ch)) < F.size(found) - 1).alias("repeated"),
+                    (F.size(F.array_remove(x["found"], ch)) < F.size(x["found"]) - 1).alias("repeated"),
                 ),
             ),
         )
 
+    def with_characters(windows):
+        found = F.transform(windows, lambda w: F.substring(w, 2, 1))
+        return let(F.struct(windows.alias("windows"), found.alias("found")), described)
+
     windows = F.regexp_extract_all(F.concat(F.lit("\n"), text), F.lit(around), F.lit(1))
-    return let(windows, described)
+    return let(windows, with_characters)
 
 
 def wanted_grams(hit: Column) -> Column:

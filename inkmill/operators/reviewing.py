@@ -231,14 +231,16 @@ def chapter_changes(chapters: DataFrame, lineage: bool = True) -> DataFrame:
         return let(matching_issue(c["original"], c["replacement"], nearby), lambda i: _described(c, i))
 
     staged = staged.withColumn("_told", F.transform("_raw", described))
-    shown = F.transform("_told", lambda c: c["place"])
-    left = F.filter(
-        "issues",
-        lambda i: ~F.coalesce(F.array_contains(shown, i["place"]), F.lit(False))
-        & (i["confidence"] != "low")
-        & (i["original"] != "")
-        & (i["original"] != i["replacement"]),
-    )
+    def unseen(shown):
+        return F.filter(
+            "issues",
+            lambda i: ~F.coalesce(F.array_contains(shown, i["place"]), F.lit(False))
+            & (i["confidence"] != "low")
+            & (i["original"] != "")
+            & (i["original"] != i["replacement"]),
+        )
+
+    left = let(F.filter(F.transform("_told", lambda c: c["place"]), lambda p: p.isNotNull()), unseen)
     changes = F.concat(F.col("_told"), F.transform(left, _suggestion))
     return staged.withColumn("changes", changes).drop("_before", "_after", "_aligned", "_raw", "_told", "own", "lineage")
 

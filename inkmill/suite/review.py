@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from inkmill.operators.reviewing import change_rows
 from inkmill.plans.clean import judge
 from inkmill.plans.review import decision_log, review_judged, reviewed_chapters
+from inkmill.session import pinned
 from inkmill.suite.data import WS, sql_words, word_chapters
 from inkmill.suite.registry import query
 from inkmill.suite.rules import _NO_ADS, sql_auto
@@ -22,7 +23,8 @@ ch AS (SELECT *, CASE WHEN result = '' THEN 'delete' ELSE 'replace' END AS tag F
 
 
 def _changed(spark, sf):
-    return review_judged(judge(word_chapters(spark, sf), _NO_ADS, mode="auto"), "auto")
+    """Changes written down, as a reviewer needs them before deciding."""
+    return pinned(review_judged(judge(word_chapters(spark, sf), _NO_ADS, mode="auto"), "auto"))
 
 
 @query(
