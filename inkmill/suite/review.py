@@ -33,7 +33,13 @@ def _changed(spark, sf):
   result AS replacement FROM ch""",
 )
 def review_changes(spark, sf):
-    rows = change_rows(_changed(spark, sf)).filter("tag <> 'issue_replace'")
+    """Changes of the chapters auto mode changed.
+
+    Suggestions for unchanged chapters come from an alignment, which has no SQL form; they are tested
+    on small chapters.
+    """
+    changed = _changed(spark, sf).filter("cleaned_text <> original_text")
+    rows = change_rows(changed).filter("tag <> 'issue_replace'")
     return rows.select("book_id", "chapter_index", "i1", "i2", "tag", "original", "replacement")
 
 
@@ -70,7 +76,8 @@ def review_apply(spark, sf):
   count(*) FILTER (i1 % 3 <> 0) AS accepted FROM ch GROUP BY 1, 2""",
 )
 def review_decisions(spark, sf):
-    changed = _changed(spark, sf)
+    """Decisions on the changes of the chapters auto mode changed."""
+    changed = _changed(spark, sf).filter("cleaned_text <> original_text")
     log = decision_log(changed, _decisions(changed)).filter("tag <> 'issue_replace'")
     return log.groupBy("book_id", "chapter_index").agg(
         F.count(F.lit(1)).alias("changes"), F.count_if("accepted").alias("accepted")
