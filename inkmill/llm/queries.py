@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from inkmill.llm.common import table
 from inkmill.llm.exact import exact_groups
+from inkmill.llm.tokens import prefix_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -36,3 +38,17 @@ FROM d""",
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the one that stays for it."""
     return exact_groups(table(spark, sf_dir, "documents"), hash_all=True)
+
+
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    """The installed vocabulary file; another can be named."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op9_token_counts")
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every document; over the limit above 512."""
+    counts = prefix_counts(table(spark, sf_dir, "documents"), tokenizer_path(), steps=False)
+    return counts.withColumn("over_limit", F.col("n_tokens") > 512)
