@@ -38,8 +38,9 @@ CHUNK_BYTES = 4_000_000  # text that a worker looks at together
 _SPACE = r"\p{White_Space}"
 _BLANKS = "\t\n\v\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 _UNIT = (
-    rf"(?:{_SPACE}*[^\P{{White_Space}}\ ])?'(?:s|t|re|ve|m|ll|d)"
-    rf"|{_SPACE}*(?:\p{{L}}+|\p{{N}}+|[^{_SPACE}\p{{L}}\p{{N}}]+)|{_SPACE}+"
+    rf" ?\p{{L}}++"
+    rf"|(?:{_SPACE}*[^\P{{White_Space}}\ ])?'(?:s|t|re|ve|m|ll|d)"
+    rf"|{_SPACE}*+(?:\p{{L}}++|\p{{N}}++|[^{_SPACE}\p{{L}}\p{{N}}]++)|{_SPACE}+"
 )
 _SHORT_ENDINGS = ("'re", "'ve", "'ll")
 
@@ -111,34 +112,34 @@ class Vocabulary:
             at, a, b, later = at[go], a[go], b[go], later[go]
         return fine
 
-    def prefixes(self, pieces: list[bytes]) -> list[np.ndarray]:
-        """Token counts at every prefix of each piece, all pieces of the list side by side."""
-        order = sorted(range(len(pieces)), key=lambda i: -len(pieces[i]))
-        sizes = np.array([len(pieces[i]) for i in order], dtype=np.int64)
-        starts = np.concatenate(([0], np.cumsum(sizes)[:-1])) if len(sizes) else sizes
-        text = np.frombuffer(b"".join(pieces[i] for i in order), dtype=np.uint8).astype(np.int64)
+    def prefixes(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Token counts at every prefix of all pieces, one after the other, and where each piece starts."""
+        sizes = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
+        starts = np.cumsum(sizes) - sizes
+        text = np.frombuffer(b"".join(pieces), dtype=np.uint8).astype(np.int64)
         ends = np.repeat(starts + sizes, sizes)
-        ending: list[np.ndarray] = []  # by length less one: the token that starts at each byte, or -1
+        starting: list[np.ndarray] = []  # by length less one: the token that starts at each byte, or -1
         at, node = np.arange(len(text)), np.zeros(len(text), dtype=np.int64)
         while at.size:
-            step = node << 8 | text[at + len(ending)]
+            step = node << 8 | text[at + len(starting)]
             found = np.minimum(np.searchsorted(self._edges, step), len(self._edges) - 1)
             hit = self._edges[found] == step
             at, node = at[hit], self._child[found[hit]]
             tokens = np.full(len(text), -1, dtype=np.int32)
             tokens[at] = self._token[node]
-            ending.append(tokens)
-            inside = at + len(ending) < ends[at]
+            starting.append(tokens)
+            inside = at + len(starting) < ends[at]
             at, node = at[inside], node[inside]
         last = np.zeros(len(text), dtype=np.int64)
         counts = np.zeros(len(text), dtype=np.int32)
-        active = len(sizes)
-        for i in range(1, int(sizes[0]) + 1 if len(sizes) else 1):
-            active = int(np.searchsorted(-sizes, -i, side="right"))
-            left = starts[:active] + (i - 1)  # last bytes of the prefixes that have no token yet
-            for size in range(min(i, len(ending)), 0, -1):
+        order = np.argsort(-sizes, kind="stable")
+        longest, begins = -sizes[order], starts[order]
+        for i in range(1, int(sizes.max(initial=0)) + 1):
+            # The last bytes of the prefixes of length i, as long as they have no token.
+            left = begins[: np.searchsorted(longest, -i, side="right")] + (i - 1)
+            for size in range(min(i, len(starting)), 0, -1):
                 begin = left - (size - 1)
-                token = ending[size - 1][begin]
+                token = starting[size - 1][begin]
                 maybe = np.flatnonzero(token >= 0)
                 if not maybe.size:
                     continue
@@ -152,10 +153,7 @@ class Vocabulary:
                 left = left[keep]
                 if not left.size:
                     break
-        result: list[np.ndarray] = [counts[:0]] * len(pieces)
-        for i, start, size in zip(order, starts.tolist(), sizes.tolist(), strict=True):
-            result[i] = counts[start : start + size]
-        return result
+        return counts, starts
 
 
 class PrefixCounter:
@@ -169,41 +167,56 @@ class PrefixCounter:
         self._steps: dict[str, bytes] = {}
         self._totals: dict[str, int] = {}
 
-    def _learn(self, units: set[str]) -> None:
-        new = [u for u in units if u not in self._totals]
-        if not new:
-            return
-        pieces: list[bytes] = []
-        cut: list[tuple[int, str]] = []
-        for unit in new:
-            core = unit.lstrip(_BLANKS)
-            run = unit[: len(unit) - len(core)] if core else unit
-            if not core or not run:
-                pieces += [unit.encode(), b""]
-                cut.append((0, ""))
-            else:
-                blank = run[-1] == " "
-                pieces += [run.encode(), (run[-1] + core if blank else core).encode()]
-                cut.append((len(run[:-1].encode()), run[-1]))
-        counts = self.vocabulary.prefixes(pieces)
-        for i, unit in enumerate(new):
-            first, second = counts[2 * i], counts[2 * i + 1]
-            head, run = cut[i]
-            if second.size:
-                blank = run == " "
-                before = int(first[head - 1]) if head else 0
-                # White space at the end of a text is one piece; before anything else its last character is not.
-                alone = 0 if blank else int(self.vocabulary.prefixes([run.encode()])[0][-1])
-                own = second[1:] if blank else second + alone
-                values = np.concatenate((first, own + before))
-            else:
-                values = first
-            if unit[-3:] in _SHORT_ENDINGS and not unit[:-3].strip(_BLANKS):
-                values = values.copy()
-                values[-2] = values[-3] + 1  # the sign alone, then a letter
-            steps = np.diff(values, prepend=0)
-            self._steps[unit] = steps.astype(np.int8).tobytes()
+    def _learn(self, units: set[str], with_steps: bool) -> None:
+        known = self._steps if with_steps else self._totals
+        new = [u for u in units if u not in known]
+        # Most units are a word with one space or none before it: one piece each.
+        plain = [u for u in new if u.lstrip(_BLANKS) in (u, u[1:]) and u[0] in (" ", u.lstrip(_BLANKS)[:1])]
+        plain = [u for u in plain if u not in _SHORT_ENDINGS]
+        if plain:
+            pieces = [u.encode() for u in plain]
+            counts, starts = self.vocabulary.prefixes(pieces)
+            ends = np.append(starts[1:], len(counts))
+            self._totals.update(zip(plain, counts[ends - 1].tolist(), strict=True))
+            if with_steps:
+                steps = np.diff(counts, prepend=0)
+                steps[starts] = 1
+                data = steps.astype(np.int8).tobytes()
+                cuts = zip(starts.tolist(), ends.tolist(), strict=True)
+                self._steps.update(zip(plain, (data[a:b] for a, b in cuts), strict=True))
+        rest = list(set(new).difference(plain))
+        for unit, values in zip(rest, self._values(rest), strict=True):
             self._totals[unit] = int(values[-1])
+            self._steps[unit] = np.diff(values, prepend=0).astype(np.int8).tobytes()
+
+    def _values(self, units: list[str]) -> Iterator[np.ndarray]:
+        """Counts at the prefixes of units with white space of their own.
+
+        At the end of a text white space is one piece; before anything else its last character belongs to
+        the piece that follows if it is a space, and stands alone if not.
+        """
+        parts = []
+        for unit in units:
+            core = unit.lstrip(_BLANKS)
+            run = unit[: len(unit) - len(core)]
+            parts.append((run, run[-1:], run[-1:] + core if run[-1:] == " " and core else core))
+        pieces = list({piece for part in parts for piece in part})
+        data = [piece.encode() for piece in pieces]
+        counts, starts = self.vocabulary.prefixes(data)
+        own = {p: counts[a : a + len(d)] for p, d, a in zip(pieces, data, starts.tolist(), strict=True)}
+        for run, last, tail in parts:
+            values = own[run]
+            if tail:
+                head = len(values) - len(last.encode())
+                before = int(values[head - 1]) if head else 0
+                if last == " ":
+                    added = own[tail][1:]
+                else:
+                    added = own[tail] + (int(own[last][-1]) if last else 0)
+                values = np.concatenate((values, added + before))
+                if tail in _SHORT_ENDINGS:
+                    values[-2] = values[-3] + 1  # the sign alone, then a letter
+            yield values
 
     def _segment(self, text: str) -> list[str]:
         return self._units.findall(text)
@@ -227,7 +240,7 @@ class PrefixCounter:
                 for i in range(0, len(pieces), 2):
                     wanted.update(self._segment(pieces[i]))
                     wanted.update(self._segment("".join(pieces[i : i + 2])))
-        self._learn(wanted)
+        self._learn(wanted, with_steps or any(u is None for u in plain))
         total, step = self._totals.__getitem__, self._steps.__getitem__
         found: list[tuple[int, bytes | None]] = []
         for units, pieces in zip(plain, parts, strict=True):
