@@ -53,7 +53,8 @@ def exact_groups(
     # Level 1 and 2: groups by length, then by length and prefix.
     heads = written(texts.select(length, prefix), "exact-heads")
     lengths = heads.groupBy("_length").count().filter("count > 1").select("_length")
-    pairs = lookup(heads, lengths, ["_length"], "inner").groupBy("_length", "_prefix").count().filter("count > 1")
+    left = written(lookup(heads, lengths, ["_length"], "inner"), "exact-shared-lengths")
+    pairs = left.groupBy("_length", "_prefix").count().filter("count > 1")
     key = F.xxhash64("_length", "_prefix")
     marks = written(_marks(pairs, key), "exact-marks")
 
