@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from inkmill.llm.common import table
 from inkmill.llm.exact import exact_groups
+from inkmill.llm.suffixes import without_repeats
 from inkmill.llm.tokens import prefix_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,3 +53,29 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of every document; over the limit above 512."""
     counts = prefix_counts(table(spark, sf_dir, "documents"), tokenizer_path(), steps=False)
     return counts.withColumn("over_limit", F.col("n_tokens") > 512)
+
+
+@query(
+    "op6_suffix_dedup",
+    """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT doc_id, s, b[s + 1:s + 100] AS win FROM (SELECT doc_id, b, unnest(range(octet_length(b) - 99)) AS s FROM d)),
+late AS (SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY win ORDER BY doc_id, s) AS nth FROM w)
+         WHERE nth > 1),
+gaps AS (SELECT doc_id, s, max(s) OVER (PARTITION BY doc_id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p
+         FROM late),
+parts AS (SELECT doc_id, s, sum(CASE WHEN p IS NULL OR s > p + 100 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY s) AS k
+          FROM gaps),
+runs AS (SELECT doc_id, k, min(s) AS a, max(s) + 100 AS z FROM parts GROUP BY doc_id, k),
+cuts AS (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS p FROM runs),
+kept AS (SELECT c.doc_id, string_agg(hex(b[p + 1:a]), '' ORDER BY a) AS h, max(z) AS z, sum(z - a) AS n, count(*) AS m
+         FROM cuts c JOIN d USING (doc_id) GROUP BY c.doc_id)
+SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed, coalesce(m, 0)::BIGINT AS n_spans,
+       sha256(CASE WHEN h IS NULL THEN b ELSE unhex(h || hex(b[z + 1:])) END) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)""",
+)
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of each document without passages of 100 bytes that occur earlier."""
+    return without_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
+    )
