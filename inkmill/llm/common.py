@@ -78,3 +78,38 @@ def only_ids(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def empty(spark: SparkSession, schema: str | T.StructType) -> DataFrame:
     return spark.createDataFrame([], schema)
+
+
+# ---- a bitmap of fixed size: which keys may occur elsewhere -------------------------------------
+
+_CELLS = 1024  # of 32,768 bits each: 4 MB in all, whatever the input
+_BITS = 32768
+
+
+def bitmap(rows: DataFrame, key: Column, name: str) -> DataFrame:
+    """The keys of ``rows``, 64-bit hashes, as a bitmap in at most 1024 rows of 4 KB. Written."""
+    slot = F.pmod(key, F.lit(_CELLS * _BITS))
+    return written(
+        rows.groupBy(F.floor(slot / _BITS).alias("_cell")).agg(
+            F.bitmap_construct_agg(F.pmod(slot, F.lit(_BITS))).alias("_bits")
+        ),
+        name,
+    )
+
+
+def with_bit(rows: DataFrame, key: Column, marks: DataFrame, name: str) -> DataFrame:
+    """``rows`` with a flag that is false only where the key is surely not in the bitmap.
+
+    The bitmap is broadcast, as its size is fixed. Two keys may share a bit, so whatever is flagged has to be
+    looked up for good; the flag saves moving the rest.
+    """
+    slot = F.pmod(key, F.lit(_CELLS * _BITS))
+    bit = F.pmod(slot, F.lit(_BITS)).cast("int")
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    set_ = F.floor(byte / F.pow(F.lit(2), bit % 8)).cast("int") % 2 == 1
+    return (
+        rows.withColumn("_cell", F.floor(slot / _BITS))
+        .join(F.broadcast(marks), "_cell", "left")
+        .withColumn(name, F.coalesce(set_, F.lit(False)))
+        .drop("_cell", "_bits")
+    )

@@ -14,28 +14,12 @@ answer. Columns of the input other than the two named do not matter.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkmill.llm.common import lookup, lowered, text_or_empty, written
+from inkmill.llm.common import bitmap, lookup, lowered, text_or_empty, with_bit, written
 
 PREFIX = 256  # characters
-_CELLS = 1024  # of 32,768 bits each: 4 MB in all, whatever the input
-_BITS = 32768
-
-
-def _marks(groups: DataFrame, key: Column) -> DataFrame:
-    """A bitmap of the keys in at most ``_CELLS`` rows of 4 KB."""
-    slot = F.pmod(key, F.lit(_CELLS * _BITS))
-    return groups.groupBy(F.floor(slot / _BITS).alias("_cell")).agg(
-        F.bitmap_construct_agg(F.pmod(slot, F.lit(_BITS))).alias("_bits")
-    )
-
-
-def _marked(key: Column) -> Column:
-    bit = F.pmod(F.pmod(key, F.lit(_CELLS * _BITS)), F.lit(_BITS)).cast("int")
-    byte = F.conv(F.hex(F.substring(F.col("_bits"), F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return F.coalesce((F.floor(byte / F.pow(F.lit(2), bit % 8)).cast("int") % 2) == 1, F.lit(False))
 
 
 def exact_groups(
@@ -56,16 +40,10 @@ def exact_groups(
     left = written(lookup(heads, lengths, ["_length"], "inner"), "exact-shared-lengths")
     pairs = left.groupBy("_length", "_prefix").count().filter("count > 1")
     key = F.xxhash64("_length", "_prefix")
-    marks = written(_marks(pairs, key), "exact-marks")
+    marks = bitmap(pairs, key, "exact-marks")
 
     # Level 3: whole texts of the groups that are left.
-    cell = F.floor(F.pmod(key, F.lit(_CELLS * _BITS)) / _BITS)
-    seen = (
-        texts.withColumns({"_length": length, "_prefix": prefix})
-        .withColumn("_cell", cell)
-        .join(F.broadcast(marks), "_cell", "left")
-        .withColumn("_shared", _marked(key))
-    )
+    seen = with_bit(texts.withColumns({"_length": length, "_prefix": prefix}), key, marks, "_shared")
     digest = F.sha2(lowered(F.col("_text")).cast("binary"), 256)
     hashed = written(
         seen.select(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from inkmill.llm.common import table
 from inkmill.llm.exact import exact_groups
+from inkmill.llm.phrases import without_phrases
 from inkmill.llm.suffixes import without_repeats
 from inkmill.llm.tokens import prefix_counts
 
@@ -79,3 +80,25 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeats(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
     )
+
+
+@query(
+    "op10_substring_dedup",
+    r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+w AS (SELECT doc_id, s, array_to_string(ws[s:s + 34], ' ') AS win
+      FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS s FROM d)),
+twice AS (SELECT doc_id, s FROM (SELECT doc_id, s, count(*) OVER (PARTITION BY win) AS n FROM w) WHERE n > 1),
+gone AS (SELECT DISTINCT doc_id, s + o AS i FROM twice, (SELECT unnest(range(35)) AS o)),
+ones AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS i, unnest(ws) AS word FROM d),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS t, count(*) AS n
+         FROM ones ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed,
+       sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)""",
+)
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of each document without passages of 35 words that occur anywhere else."""
+    return without_phrases(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256")
+    )

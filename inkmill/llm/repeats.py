@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from inkmill.llm.common import written
+from inkmill.llm.common import bitmap, with_bit, written
 
 ROWS_PER_BUCKET = 1_500_000  # what a task sorts at once
 SAMPLE_PER_BUCKET = 40  # documents from which splitters are drawn
@@ -177,7 +177,8 @@ def _judge_bucket(lead, context, doc, place, everywhere: bool) -> dict[str, np.n
     kinds = np.repeat([COVERED, EDGE, OPEN], [len(r) for r in rows])
     return {
         "kind": kinds.astype(np.int32),
-        "lead": lead[at], "context": context[at], "doc": doc[at], "place": place[at],
+        "lead": np.where(kinds == COVERED, 0, lead[at]), "context": np.where(kinds == COVERED, 0, context[at]),
+        "doc": doc[at], "place": place[at],
         "n": members[variant[at]], "several": several[variant[at]],
     }
 
@@ -325,7 +326,9 @@ def edge_windows(texts: DataFrame, edges: DataFrame, sequence, width: int) -> Da
     listed = edges.groupBy(F.col("doc").alias("_doc"), tag_of(F.col("place")).alias("_tag")).agg(
         F.collect_list("lead").alias("_leads"), F.collect_list("place").alias("_places")
     )
-    both = texts.select("_doc", "_tag", F.col("_text").cast("binary").alias("_text")).join(
+    marks = bitmap(edges, F.xxhash64("doc", tag_of(F.col("place"))), "edge-documents")
+    asked = with_bit(texts, F.xxhash64("_doc", "_tag"), marks, "_asked")
+    both = asked.filter("_asked").select("_doc", "_tag", F.col("_text").cast("binary").alias("_text")).join(
         listed.hint("merge"), ["_doc", "_tag"]
     )
 
@@ -375,9 +378,9 @@ def repeated(
     sample = anchor_rows(picked, sequence, width, gram)
     first = judged(anchor_rows(texts, sequence, width, gram), sample, share, everywhere, f"{name}-anchors")
     edges = first.filter(f"kind = {EDGE}")
-    windows = written(edge_windows(texts, edges, sequence, width), f"{name}-windows")
-    some = min(1.0, SAMPLE_PER_BUCKET * least * 50 / max(windows.count(), 1))
-    second = judged(windows, windows.sample(some, seed=7), some, everywhere, f"{name}-edges")
+    windows = edge_windows(texts, edges, sequence, width)
+    sample = edge_windows(picked, edges, sequence, width)
+    second = judged(windows, sample, share, everywhere, f"{name}-edges")
     covered = first.filter(f"kind = {COVERED}").unionByName(second.filter(f"kind = {COVERED}"))
     place_ = F.col("place")
     return covered.select(
@@ -386,3 +389,18 @@ def repeated(
         first_window(place_).alias("first"),
         (first_window(place_) + place_.bitwiseAND(F.lit(0xFF))).alias("last"),
     )
+
+
+def with_runs(texts: DataFrame, covered: DataFrame, name: str) -> DataFrame:
+    """``texts`` with the arrays ``_first`` and ``_last`` of what is covered, null where nothing is.
+
+    Documents that are surely not covered do not move.
+    """
+    listed = covered.groupBy("_doc", "_tag").agg(
+        F.collect_list("first").alias("_first"), F.collect_list("last").alias("_last")
+    )
+    flagged = with_bit(texts, F.xxhash64("_doc", "_tag"), bitmap(covered, F.xxhash64("_doc", "_tag"), name), "_asked")
+    moved = flagged.filter("_asked").drop("_asked").join(listed.hint("merge"), ["_doc", "_tag"], "left")
+    none = F.lit(None).cast("array<long>")
+    still = flagged.filter("NOT _asked").drop("_asked").withColumns({"_first": none, "_last": none})
+    return moved.unionByName(still)

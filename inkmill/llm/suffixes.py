@@ -18,10 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkmill.llm.repeats import BYTE_SYMBOLS, numbered, repeated
+from inkmill.llm.repeats import BYTE_SYMBOLS, numbered, repeated, with_runs
 
 WIDTH = 100
-GRAM = 32
+GRAM = 44
 
 
 def byte_sequence(text: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -51,10 +51,6 @@ def without_repeats(
     """Id, ``n_bytes``, ``n_removed``, ``n_spans``, ``spans`` (first byte, end) and the ``kept`` bytes."""
     texts = numbered(docs, id_col, text_col)
     covered = repeated(texts, byte_sequence, width, gram, everywhere=False, name="suffixes")
-    listed = covered.groupBy("_doc", "_tag").agg(
-        F.collect_list("first").alias("_first"), F.collect_list("last").alias("_last")
-    )
-
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, sizes, removed, spans, kept = batch.column(0), [], [], [], []
@@ -84,9 +80,7 @@ def without_repeats(
             )
 
     kind = texts.schema["_id"].dataType.simpleString()
-    both = texts.withColumn("_text", F.col("_text").cast("binary")).join(
-        listed.hint("merge"), ["_doc", "_tag"], "left"
-    )
+    both = with_runs(texts.withColumn("_text", F.col("_text").cast("binary")), covered, "suffix-documents")
     return (
         both.select("_id", "_text", "_first", "_last")
         .mapInArrow(cut, f"_id {kind}, n_bytes long, n_removed long, n_spans long, spans array<long>, kept binary")
