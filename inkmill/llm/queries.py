@@ -12,6 +12,7 @@ from inkmill.llm.exact import exact_groups
 from inkmill.llm.phrases import without_phrases
 from inkmill.llm.suffixes import without_repeats
 from inkmill.llm.tokens import prefix_counts
+from inkmill.llm.warc import archive_folder, read_archives, write_archives
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -102,3 +103,25 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_phrases(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256")
     )
+
+
+@query(
+    "op8_warc",
+    """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+h AS (SELECT page_id, octet_length(b)::BIGINT AS n, sha1(b) AS h, max(page_id) OVER (PARTITION BY b) AS top FROM p),
+v AS (SELECT *, list_transform(range(0, 8), lambda j: ('0x' || substr(h, 5 * j + 1, 5))::BIGINT) AS vs FROM h)
+SELECT page_id, n AS payload_bytes,
+       list_aggregate(list_transform(vs, lambda v: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((v >> 15) & 31), 1)
+         || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((v >> 10) & 31), 1)
+         || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((v >> 5) & 31), 1)
+         || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (v & 31), 1)), 'string_agg', '') AS payload_digest,
+       CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = top THEN NULL ELSE top END AS refers_to
+FROM v""",
+)
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written as a record and read back from the archives."""
+    folder = archive_folder(spark)
+    write_archives(table(spark, sf_dir, "pages"), folder)
+    return read_archives(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
