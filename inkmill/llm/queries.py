@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from inkmill.llm.common import table
 from inkmill.llm.exact import exact_groups
+from inkmill.llm.mixing import by_source, mix, word_count
 from inkmill.llm.phrases import without_phrases
 from inkmill.llm.suffixes import without_repeats
 from inkmill.llm.tokens import prefix_counts
@@ -125,3 +126,14 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = archive_folder(spark)
     write_archives(table(spark, sf_dir, "pages"), folder)
     return read_archives(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op5_mix_sources")
+def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of every document the mix takes."""
+    docs = table(spark, sf_dir, "documents")
+    mixed, plan = mix(docs, F.array("source"), word_count("text"))
+    sources = F.broadcast(by_source(plan, spark))  # one row for each source, as the plan has them
+    return mixed.join(sources, mixed["sources"][0].eqNullSafe(sources["source"])).select(
+        "doc_id", "size", "source_size", "target", "taken"
+    )
