@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from inkmill.llm.common import table
 from inkmill.llm.exact import exact_groups
 from inkmill.llm.mixing import by_source, mix, word_count
+from inkmill.llm.near import near_groups
 from inkmill.llm.phrases import without_phrases
 from inkmill.llm.suffixes import without_repeats
 from inkmill.llm.tokens import prefix_counts
@@ -137,3 +138,28 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.join(sources, mixed["sources"][0].eqNullSafe(sources["source"])).select(
         "doc_id", "size", "source_size", "target", "taken"
     )
+
+
+@query(
+    "op3_near_dedup",
+    r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                            'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) < 2 THEN ws
+             ELSE list_sort(list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))) END AS sh FROM d),
+sets AS (SELECT min(doc_id) AS rep, sh, len(sh) AS n FROM s WHERE len(sh) > 0 GROUP BY sh),
+post AS (SELECT rep, n, unnest(sh) AS x FROM sets),
+inter AS (SELECT a.rep AS u, b.rep AS v, a.n AS nu, b.n AS nv, count(*) AS k
+          FROM post a JOIN post b ON a.x = b.x AND a.rep < b.rep AND 100 * a.n >= 80 * b.n AND 100 * b.n >= 80 * a.n
+          GROUP BY ALL),
+links AS (SELECT u, v FROM inter WHERE 100 * k >= 80 * (nu + nv - k)),
+ways AS (SELECT u, v FROM links UNION SELECT v, u FROM links),
+reach AS (SELECT rep AS node, rep AS root FROM sets UNION SELECT w.v, r.root FROM reach r JOIN ways w ON r.node = w.u),
+comp AS (SELECT node, min(root) AS component_id FROM reach GROUP BY node)
+SELECT s.doc_id, len(s.sh)::BIGINT AS n_shingles, coalesce(component_id, s.doc_id) AS component_id,
+       s.doc_id = coalesce(component_id, s.doc_id) AS kept
+FROM s LEFT JOIN sets ON s.sh = sets.sh LEFT JOIN comp ON sets.rep = comp.node""",
+)
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the component of near duplicates it belongs to."""
+    return near_groups(table(spark, sf_dir, "documents"))
