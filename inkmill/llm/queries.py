@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkmill.llm.common import table
+from inkmill.llm.decontam import leaked
 from inkmill.llm.exact import exact_groups
 from inkmill.llm.mixing import by_source, mix, word_count
 from inkmill.llm.near import near_groups
@@ -163,3 +164,9 @@ FROM s LEFT JOIN sets ON s.sh = sets.sh LEFT JOIN comp ON sets.rep = comp.node""
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the component of near duplicates it belongs to."""
     return near_groups(table(spark, sf_dir, "documents"))
+
+
+@query("op4_decontaminate")
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the benchmark items that leak into it."""
+    return leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
