@@ -13,6 +13,7 @@ from inkmill.llm.exact import exact_groups
 from inkmill.llm.mixing import by_source, mix, word_count
 from inkmill.llm.near import near_groups
 from inkmill.llm.phrases import without_phrases
+from inkmill.llm.quality import classified
 from inkmill.llm.suffixes import without_repeats
 from inkmill.llm.tokens import prefix_counts
 from inkmill.llm.warc import archive_folder, read_archives, write_archives
@@ -170,3 +171,9 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the benchmark items that leak into it."""
     return leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op2_quality")
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its probabilities of being good and toxic, and whether it stays."""
+    return classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
