@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from inkmill.llm.common import table
 from inkmill.llm.decontam import leaked
 from inkmill.llm.exact import exact_groups
+from inkmill.llm.extract import main_texts
 from inkmill.llm.mixing import by_source, mix, word_count
 from inkmill.llm.near import near_groups
 from inkmill.llm.phrases import without_phrases
@@ -177,3 +178,9 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its probabilities of being good and toxic, and whether it stays."""
     return classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op7_main_text")
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return main_texts(table(spark, sf_dir, "pages"))
