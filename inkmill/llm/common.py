@@ -7,7 +7,6 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 #: What counts as white space between words, as bytes, and a word as a pattern.
@@ -64,20 +63,17 @@ def lowered(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
-def only_ids(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` whose key is among ``ids``; of rows that repeat a key, one stays.
-
-    Which of them is settled by a hash over all columns, so reruns agree. Rows without a key go.
-    """
-    inside = W.partitionBy(key).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
-    rows = docs.join(ids.select(key).hint("merge"), key, "left_semi")
-    return rows.withColumn("_nth", F.row_number().over(inside)).filter("_nth = 1").select(
-        *[F.col(f"`{c}`") for c in docs.columns]
-    )
+def kept_rows(docs: DataFrame, ids: DataFrame, key: str = "doc_id", how: str = "left_semi") -> DataFrame:
+    """The rows of ``docs`` whose key is among ``ids``, or with ``left_anti`` is not; null keys are equal."""
+    sought = ids.select(F.col(key).alias("_sought")).hint("merge")
+    return docs.join(sought, docs[key].eqNullSafe(F.col("_sought")), how)
 
 
-def empty(spark: SparkSession, schema: str | T.StructType) -> DataFrame:
-    return spark.createDataFrame([], schema)
+def once(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One of the rows that repeat key and text; which one is settled by a hash over all columns."""
+    names = [f"`{c}`" for c in docs.columns]
+    inside = W.partitionBy(key, F.xxhash64(F.col(text))).orderBy(F.xxhash64(*[F.col(n) for n in names]))
+    return docs.withColumn("_nth", F.row_number().over(inside)).filter("_nth = 1").select(*[F.col(n) for n in names])
 
 
 # ---- a bitmap of fixed size: which keys may occur elsewhere -------------------------------------
