@@ -29,10 +29,10 @@ from pyspark.sql import Window as W
 
 from inkmill.llm.common import bitmap, with_bit, written
 
-ROWS_PER_BUCKET = 1_500_000  # what a task sorts at once
+ROWS_PER_BUCKET = 600_000  # what a task sorts at once
 SAMPLE_PER_BUCKET = 40  # documents from which splitters are drawn
 THINNED = 50  # of their keys, one in so many
-CHUNK = 1 << 20  # symbols hashed at once
+CHUNK = 1 << 18  # symbols hashed at once
 NO_ID = -(1 << 63)  # stands for a null id and sorts first
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -333,16 +333,17 @@ def edge_windows(texts: DataFrame, edges: DataFrame, sequence, width: int) -> Da
     )
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
         for batch in batches:
             for i in range(batch.num_rows):
-                doc, tag, text = batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), batch.column(2)[i].as_py()
+                doc, tag = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+                symbols = sequence(batch.column(2)[i].as_buffer().to_pybytes())[0]
                 leads = batch.column(3)[i].values.to_numpy()
                 places = batch.column(4)[i].values.to_numpy()
                 order = np.argsort(places)
                 leads, places = leads[order], places[order]
-                symbols = sequence(text)[0]
                 first, windows = (places & _PLACE) >> 16, places & 0xFF
-                for some in np.array_split(np.arange(len(places)), len(places) // 20_000 + 1):
+                for some in np.array_split(np.arange(len(places)), len(places) // 5_000 + 1):
                     base = int(first[some].min())
                     top = int((first[some] + windows[some]).max()) + width
                     rolling = Rolling(symbols[base:top])
@@ -351,17 +352,35 @@ def edge_windows(texts: DataFrame, edges: DataFrame, sequence, width: int) -> Da
                     before = np.repeat(((places[some] >> 8) & 0xFF) + first[some], many) - start
                     hashes = rolling.between(start - base, start - base + width)
                     hashes = (hashes ^ mixed((before + 1).astype(np.uint64))).view(np.int64)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(np.repeat(leads[some], many)), pa.array(hashes),
-                            pa.array(np.full(len(start), doc)), pa.array((np.int64(tag) << 48) | (start << 16)),
-                        ],
-                        names=["lead", "context", "doc", "place"],
-                    )
+                    own = [np.repeat(leads[some], many), hashes, np.full(len(start), doc), (tag << 48) | (start << 16)]
+                    held.append(own)
+                    rows += len(start)
+                    if rows > 100_000:
+                        yield _rows(held)
+                        held, rows = [], 0
+        if held:
+            yield _rows(held)
 
     return both.mapInArrow(make, ROW)
 
 
+def _rows(held: list[list[np.ndarray]]) -> pa.RecordBatch:
+    columns = [pa.array(np.concatenate(c)) for c in zip(*held, strict=True)]
+    return pa.RecordBatch.from_arrays(columns, names=["lead", "context", "doc", "place"])
+
+
+def by_bytes(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch that hold about ``most`` bytes in one column, and a row at least."""
+    begin, held = 0, 0
+    for i in range(batch.num_rows):
+        held += batch.column(column)[i].as_buffer().size
+        if held >= most:
+            yield batch.slice(begin, i + 1 - begin)
+            begin, held = i + 1, 0
+    if begin < batch.num_rows:
+        yield batch.slice(begin)
+
+
 def repeated(
     texts: DataFrame, sequence, width: int, gram: int, everywhere: bool, name: str
 ) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkmill.llm.repeats import BYTE_SYMBOLS, numbered, repeated, with_runs
+from inkmill.llm.repeats import BYTE_SYMBOLS, by_bytes, numbered, repeated, with_runs
 
 WIDTH = 100
 GRAM = 44
@@ -52,7 +52,7 @@ def without_repeats(
     texts = numbered(docs, id_col, text_col)
     covered = repeated(texts, byte_sequence, width, gram, everywhere=False, name="suffixes")
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in by_bytes(whole, 1, 4 << 20)):
             ids, sizes, removed, spans, kept = batch.column(0), [], [], [], []
             for i in range(batch.num_rows):
                 text = batch.column(1)[i].as_buffer()
