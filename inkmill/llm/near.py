@@ -3,9 +3,12 @@
 A document is the set of its distinct 2-word shingles, in lower case. Documents with equal sets form a class; one of
 each goes on. In each of ``TREES`` independent trees a document follows a path of selected tokens, at every level the
 shingle with the least hash. A node holds the documents that share a path. Nodes with few documents are compared
-exhaustively; larger ones branch by the next token, so near copies of one text are told apart level by level however
-many there are. A pair with a similarity of 0.8 agrees at a level with probability 0.8; nodes are small after few
-levels, and at four levels 20 trees miss one such pair in 30,000.
+exhaustively; larger ones branch by the next token. A pair with a similarity of 0.8 agrees at a level with probability
+0.8; nodes of unlike documents are small after few levels, and at four levels 20 trees miss one such pair in 30,000.
+
+Many near copies of one text stay together longer. Once four tokens agree, the documents of a large node are also
+compared with leaders: the one that stays in large nodes longest, which is like most others, and the least id. Over
+all trees each document has up to 40 leaders and goes on with the best of them. So no group is compared pair by pair.
 
 Inside a node a sketch of one byte for each lane estimates similarities. Of pairs that may reach the threshold, those
 go on that hold the node's clusters together by best estimates, a second one for each document, and all between clusters
@@ -19,6 +22,7 @@ equal answers.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +38,8 @@ TREES, LEVELS = 20, 4
 LANES = TREES * LEVELS
 #: Depths at which nodes are looked at; beyond ``LEVELS`` a path goes on with the tokens of the next trees.
 DEPTHS = (1, 2, 3, 4, 6, 9, 14, 22, 34, 52, 80)
-SMALL = 48  # a node of so many documents or fewer is compared
+SMALL = 48  # a node of so many documents or fewer is compared exhaustively
+LED = 3  # leaders that a document of a large node goes on with
 SIMILAR = (80, 100)  # a link: 100 * intersection >= 80 * union
 MAYBE = 0.60  # least estimate of a pair that is confirmed; four deviations below 0.8
 SURE = 0.95
@@ -93,41 +98,72 @@ def signatures(texts: DataFrame) -> DataFrame:
     )
 
 
-def leaves(classes: DataFrame) -> DataFrame:
-    """Rows (node, _id) of the nodes that are compared, in all trees; every level is a written table."""
-    trees = F.transform(
-        F.sequence(F.lit(0), F.lit(TREES - 1)),
-        lambda t: F.struct(
-            t.alias("tree"),
-            F.when(t > 0, F.concat(F.slice("lanes", t * LEVELS + 1, F.lit(LANES)), F.slice("lanes", F.lit(1), t * LEVELS)))
-            .otherwise(F.col("lanes"))
-            .alias("path"),
-        ),
+def nodes_of(classes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """The nodes of all trees: (node, _id) of the small ones, and (root, _id, depth) of those that stay large.
+
+    From depth ``LEVELS`` on, what is in a large node keeps that node as its root; the depth is the greatest at which
+    its node was large. Every level is a written table.
+    """
+    own = F.concat(
+        F.slice("lanes", F.col("tree") * LEVELS + 1, F.lit(LANES)), F.slice("lanes", F.lit(1), F.col("tree") * LEVELS)
     )
-    found, rows = [], None
+    trees = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
+    rows = classes.select("_id", "lanes", trees).select(
+        "_id", "tree", F.lit(None).cast("long").alias("root"),
+        F.xxhash64("tree", F.element_at("lanes", F.col("tree") * LEVELS + 1)).alias("node"),
+    )
+    small, large = [], []
     for depth, following in zip(DEPTHS, [*DEPTHS[1:], None], strict=True):
-        if rows is None:
-            one = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
-            rows = classes.select("_id", one, "lanes").select(
-                "_id", "tree", F.xxhash64("tree", F.element_at("lanes", F.col("tree") * LEVELS + 1)).alias("node")
-            )
         counts = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
         level = written(lookup(rows, counts, ["node"], "inner"), f"near-level-{depth}")
-        if following is None:
-            found.append(level.select("node", "_id"))
+        small.append(level.filter(F.col("size") <= SMALL).select("node", "_id"))
+        rest = level.filter(F.col("size") > SMALL)
+        if depth >= LEVELS:
+            rest = rest.withColumn("root", F.coalesce("root", "node"))
+            large.append(rest.select("root", "_id", F.lit(depth).alias("depth")))
+        if following is None or rest.isEmpty():
             break
-        found.append(level.filter(F.col("size") <= SMALL).select("node", "_id"))
-        large = level.filter(F.col("size") > SMALL)
-        if large.isEmpty():
-            break
-        path = trees[F.col("tree")]["path"]
-        rows = large.join(classes.select("_id", "lanes"), "_id").select(
-            "_id", "tree", F.xxhash64(F.lit(following), "tree", F.slice(path, 1, following)).alias("node")
+        rows = rest.join(classes.select("_id", "lanes"), "_id").select(
+            "_id", "tree", "root", F.xxhash64(F.lit(following), "tree", F.slice(own, 1, following)).alias("node")
         )
-    whole = found[0]
-    for part in found[1:]:
-        whole = whole.unionByName(part)
-    return whole
+    return reduce(DataFrame.unionByName, small), reduce(DataFrame.unionByName, large) if large else None
+
+
+def led(large: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs (u, v) of documents in large nodes with the leaders most like them.
+
+    Leaders of a root are its least id, and the one that stayed longest in a large node: what stays agrees with most of
+    the others at every level, so it is near the middle of the group. Each document goes on with its ``LED`` best.
+    """
+    leaders = large.groupBy("root").agg(
+        F.array(F.min("_id"), -F.max(F.struct("depth", -F.col("_id")))["col2"]).alias("leaders")
+    )
+    members = large.select("root", "_id").distinct()
+    asked = (
+        lookup(members, leaders, ["root"], "inner")
+        .select("_id", F.explode("leaders").alias("leader"))
+        .filter("_id <> leader")
+        .distinct()
+    )
+    one = lookup(asked, classes.select("_id", F.col("sketch").alias("one")), ["_id"], "inner")
+    two = lookup(one, classes.select(F.col("_id").alias("leader"), F.col("sketch").alias("two")), ["leader"], "inner")
+
+    def estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (
+                np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype=np.uint8).reshape(-1, LANES) for k in (2, 3)
+            )
+            same = (a == b).sum(axis=1)
+            keep = pa.array(same >= int(np.ceil(MAYBE * LANES)))
+            columns = [batch.column(0), batch.column(1), pa.array(same.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, names=["_id", "leader", "same"]).filter(keep)
+
+    near = two.select("_id", "leader", "one", "two").mapInArrow(estimate, "_id long, leader long, same int")
+    best = near.groupBy("_id").agg(F.collect_list(F.struct("same", (-F.col("leader")).alias("least"))).alias("all"))
+    chosen = best.select("_id", F.explode(F.slice(F.sort_array("all", asc=False), 1, LED)).alias("to")).select(
+        "_id", (-F.col("to.least")).alias("leader")
+    )
+    return chosen.select(F.least("_id", "leader").alias("u"), F.greatest("_id", "leader").alias("v"))
 
 
 # ---- inside a node --------------------------------------------------------------------------------
@@ -178,7 +214,7 @@ def chosen_pairs(sketches: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def candidates(nodes: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (u, v) of documents to confirm, u below v, each once."""
+    """Pairs (u, v) of documents in small nodes to confirm, u below v."""
     rows = lookup(nodes, classes.select("_id", "sketch"), ["_id"], "inner")
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -197,7 +233,7 @@ def candidates(nodes: DataFrame, classes: DataFrame) -> DataFrame:
             yield from _pairs(rest)
 
     sorted_in = rows.repartition(parts, "node").sortWithinPartitions("node", "_id").select("node", "_id", "sketch")
-    return sorted_in.mapInArrow(compare, "u long, v long").distinct()
+    return sorted_in.mapInArrow(compare, "u long, v long")
 
 
 def _pairs(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -258,7 +294,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         .agg(F.min("_id").alias("_id"), F.first("lanes").alias("lanes"), F.first("sketch").alias("sketch")),
         "near-classes",
     )
-    pairs = written(candidates(leaves(classes), classes), "near-pairs")
+    small, large = nodes_of(classes)
+    pairs = candidates(small, classes)
+    if large is not None:
+        pairs = pairs.unionByName(led(large, classes))
+    pairs = written(pairs.distinct(), "near-pairs")
     ends = pairs.select(F.col("u").alias("_id")).unionByName(pairs.select(F.col("v").alias("_id"))).distinct()
     marks = bitmap(ends, F.xxhash64("_id"), "near-ends")
     asked = with_bit(texts, F.xxhash64("_id"), marks, "_asked").filter("_asked").drop("_asked")
