@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkmill.llm.common import SPACES
-from inkmill.llm.repeats import BYTE_SYMBOLS, Rolling, numbered, repeated, with_runs
+from inkmill.llm.repeats import BYTE_SYMBOLS, Rolling, by_bytes, numbered, repeated, with_runs
 from inkmill.llm.suffixes import marked, runs
 
 WIDTH = 35
@@ -83,37 +83,27 @@ def without_phrases(
     covered = repeated(texts, word_sequence, width, gram, everywhere=True, name="phrases")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            begin, n = 0, batch.num_rows
-            while begin < n:
-                end, held = begin, 0
-                while end < n and (end == begin or held < SHARD_BYTES):
-                    held += batch.column(1)[end].as_buffer().size
-                    end += 1
-                words = [batch.column(1)[i].as_py().split() for i in range(begin, end)]
-                masks = []
-                for i in range(begin, end):
-                    first = batch.column(2)[i]
-                    last = batch.column(3)[i].values.to_numpy() + width if first.is_valid else None
-                    masks.append(
-                        marked(len(words[i - begin]), first.values.to_numpy(), last) if first.is_valid else None
-                    )
-                found = _located(words, masks)
-                kept = [
-                    w if m is None else [x for x, gone in zip(w, m.tolist(), strict=True) if not gone]
-                    for w, m in zip(words, found, strict=True)
-                ]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(begin, end - begin),
-                        pa.array([len(w) for w in words], pa.int64()),
-                        pa.array([len(w) - len(k) for w, k in zip(words, kept, strict=True)], pa.int64()),
-                        pa.array([[] if m is None else runs(m).tolist() for m in found], pa.list_(pa.int64())),
-                        pa.array([b" ".join(k).decode() for k in kept], pa.string()),
-                    ],
-                    names=["_id", "n_words", "n_removed", "spans", "kept"],
-                )
-                begin = end
+        for batch in (part for whole in batches for part in by_bytes(whole, 1, SHARD_BYTES)):
+            words = [batch.column(1)[i].as_py().split() for i in range(batch.num_rows)]
+            masks = []
+            for own, first, last in zip(words, batch.column(2), batch.column(3), strict=True):
+                ends = last.values.to_numpy() + width if last.is_valid else None
+                masks.append(marked(len(own), first.values.to_numpy(), ends) if first.is_valid else None)
+            found = _located(words, masks)
+            kept = [
+                w if m is None else [x for x, gone in zip(w, m.tolist(), strict=True) if not gone]
+                for w, m in zip(words, found, strict=True)
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0),
+                    pa.array([len(w) for w in words], pa.int64()),
+                    pa.array([len(w) - len(k) for w, k in zip(words, kept, strict=True)], pa.int64()),
+                    pa.array([[] if m is None else runs(m).tolist() for m in found], pa.list_(pa.int64())),
+                    pa.array([b" ".join(k).decode() for k in kept], pa.string()),
+                ],
+                names=["_id", "n_words", "n_removed", "spans", "kept"],
+            )
 
     kind = texts.schema["_id"].dataType.simpleString()
     both = with_runs(texts.withColumn("_text", F.col("_text").cast("binary")), covered, "phrase-documents")
