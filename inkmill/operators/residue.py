@@ -10,6 +10,8 @@ from inkmill.operators.rulebook import (
     EMPTY_DIALOGUE, ISOLATED_ESCAPE, PAGE_NUMBER, PAGE_NUMBER_WEAK, issue,
 )
 
+# Residue consists of these characters only, which few paragraphs do.
+_ONLY = rf"""\A[\p{{Nd}}{WS}\\"'「」“”….]+\z"""
 _EDGE = rf"""[{WS}\\"']*"""
 _NUMBER = rf"\A{_EDGE}(\p{{Nd}}{{1,4}}){_EDGE}\z"
 _DIALOGUE = rf"""\A[{WS}「」“”"'….]+\z"""
@@ -33,4 +35,4 @@ def residue_issue(paragraph: Column, paragraph_count: Column) -> Column:
             .when(p.rlike(r"""[\\"']""") & p.rlike(_ESCAPES), issue(ISOLATED_ESCAPE, p, ""))
         )
 
-    return let(strip(paragraph), judged)
+    return F.when(paragraph.rlike(_ONLY), let(strip(paragraph), judged))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
+from inkmill.functions.arrays import unnest
 from inkmill.functions.text import BLANKS, WS, let, replace_first, split_paragraphs, strip
 from inkmill.operators import rulebook as rb
 
@@ -336,9 +337,7 @@ def from_tables(cleaned: DataFrame, issues: DataFrame) -> DataFrame:
 
 def change_rows(changed: DataFrame) -> DataFrame:
     """``review_changes``: one row per change, numbered from 0 in each chapter."""
-    return changed.select(*KEYS, F.posexplode("changes").alias("change_index", "c")).select(
-        *KEYS, "change_index", "c.*"
-    ).drop("place")
+    return unnest(changed, KEYS, "changes", "c", "change_index").select(*KEYS, "change_index", "c.*").drop("place")
 
 
 def with_decisions(changed: DataFrame, decisions: DataFrame | None) -> DataFrame:

@@ -11,6 +11,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkmill.functions.arrays import unnest
 from inkmill.functions.text import let, split_paragraphs, strip
 from inkmill.operators import rulebook as rb
 from inkmill.operators.ads import ad_issue
@@ -202,11 +203,9 @@ def cleaned_chapters(judged: DataFrame, mode: str) -> DataFrame:
 
 def chapter_issues(judged: DataFrame) -> DataFrame:
     """Long issue table, one row per finding; ``seq`` is the order within the paragraph."""
-    return (
-        judged.select(BOOK, CHAPTER, F.posexplode("paragraphs").alias("paragraph", "p"))
-        .select(BOOK, CHAPTER, "paragraph", F.posexplode("p.issues").alias("seq", "i"))
-        .select(BOOK, CHAPTER, "paragraph", "seq", *rb.finding_columns(F.col("i")))
-    )
+    rows = unnest(judged, [BOOK, CHAPTER], "paragraphs", "p", "paragraph")
+    found = unnest(rows, [BOOK, CHAPTER, "paragraph"], "p.issues", "i", "seq")
+    return found.select(BOOK, CHAPTER, "paragraph", "seq", *rb.finding_columns(F.col("i")))
 
 
 def clean(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkmill.functions.arrays import unnest
 from inkmill.operators.reviewing import (
     apply_decisions, change_rows, chapter_changes, from_judged, from_tables, with_decisions,
 )
@@ -25,7 +26,7 @@ def decision_log(changed: DataFrame, decisions: DataFrame | None = None) -> Data
     """Every change with the decision that holds for it."""
     decided = with_decisions(changed, decisions)
     zipped = F.arrays_zip(F.col("changes").alias("c"), F.col("accepted").alias("accepted"))
-    return decided.select("book_id", "chapter_index", F.posexplode(zipped).alias("change_index", "z")).select(
+    return unnest(decided, ["book_id", "chapter_index"], zipped, "z", "change_index").select(
         "book_id", "chapter_index", "change_index",
         *[f"z.c.{n}" for n in ("tag", "original", "replacement", "category", "rule", "reason", "confidence", "default_accepted")],
         F.col("z.accepted").alias("accepted"),

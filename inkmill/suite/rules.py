@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from inkmill.functions.arrays import unnest
 from inkmill.functions.text import is_english_or_url, split_paragraphs
 from inkmill.operators import rulebook as rb
 from inkmill.operators.ads import ad_issue, soft_cue_count
@@ -29,10 +30,8 @@ RULES = load_rules()
 
 def paragraphs(chapters):
     """One row per paragraph: ``(book_id, chapter_index, paragraph, n, raw)``."""
-    return (
-        chapters.withColumn("ps", split_paragraphs(F.col("text")))
-        .select("book_id", "chapter_index", F.size("ps").alias("n"), F.posexplode("ps").alias("paragraph", "raw"))
-    )
+    split = chapters.select("book_id", "chapter_index", split_paragraphs(F.col("text")).alias("ps"))
+    return unnest(split, ["book_id", "chapter_index", F.size("ps").alias("n")], "ps", "raw", "paragraph")
 
 
 # ---- SQL pieces --------------------------------------------------------------------------------
@@ -175,11 +174,8 @@ def english_skip(spark, sf):
 
 def _punctuated(spark, sf):
     states = punctuate(split_paragraphs(F.col("text")))
-    return (
-        chinese_chapters(spark, sf)
-        .select("book_id", "chapter_index", F.posexplode(states).alias("paragraph", "s"))
-        .select(*KEYS, "s.*")
-    )
+    rows = unnest(chinese_chapters(spark, sf), ["book_id", "chapter_index"], states, "s", "paragraph")
+    return rows.select(*KEYS, "s.*")
 
 
 @query(
@@ -202,7 +198,7 @@ SELECT book_id, rule, confidence, confidence_score, count(*) AS n,
 FROM i JOIN f ON f.rule = i.i.rule GROUP BY 1, 2, 3, 4""",
 )
 def punctuation_issues(spark, sf):
-    issues = _punctuated(spark, sf).select("book_id", F.posexplode("issues").alias("seq", "i"))
+    issues = unnest(_punctuated(spark, sf), ["book_id"], "issues", "i", "seq")
     fact = rb.fact_of(F.col("i"))
     return (
         issues.select(
