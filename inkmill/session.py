@@ -6,6 +6,7 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+PARTITIONS = "spark.inkmill.input.partitions"
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -47,11 +48,10 @@ def pinned(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give every core a share of an input that comes in fewer pieces than there are cores.
+def dealt(df: DataFrame) -> DataFrame:
+    """``df`` in as many partitions as ``spark.inkmill.input.partitions`` says; as it is where that is not set.
 
-    Such an input is small: it is dealt out once and written, so that work on it is not pushed back
-    below the dealing. Large inputs come in many pieces and pass unchanged.
+    For tables that come in fewer files than there are cores. A large input needs no such setting.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return pinned(df.repartition(cores)) if df.rdd.getNumPartitions() < cores else df
+    parts = df.sparkSession.conf.get(PARTITIONS, None)
+    return df if parts is None else df.repartition(int(parts))

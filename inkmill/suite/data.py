@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkmill.session import spread
+from inkmill.session import dealt
 
 # Letter pairs that become marks, in this order, before single letters are mapped.
 MARKS = [
@@ -31,7 +31,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as chapters: the source is the book, the document number the chapter index."""
-    return spread(table(spark, sf, "documents").select("doc_id", "source", "text")).select(
+    return dealt(table(spark, sf, "documents").select("doc_id", "source", "text")).select(
         F.col("source").alias("book_id"),
         F.col("doc_id").alias("chapter_index"),
         F.substring_index("text", "\n", 1).alias("title"),
