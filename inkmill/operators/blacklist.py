@@ -17,9 +17,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from inkmill.functions.arrays import unnest
 from inkmill.functions.text import let, ngrams, normalize_match_text, split_paragraphs, strip
 from inkmill.operators.keyed import lookup_by_key
-from inkmill.session import pinned
 
 # Lengths and thresholds of a match.
 MIN_LENGTH = 6
@@ -35,11 +35,6 @@ MIN_SEQUENCE_RATIO = LIMIT / (2 - LIMIT)
 UNMATCHED = 1 - LIMIT
 _SHARED_PAIRS = (LIMIT / 2 - UNMATCHED) * (1 + MIN_SEQUENCE_RATIO)
 
-# Entries up to this many characters are broadcast, larger lists are joined by shuffle.
-BROADCAST_CHARS = 4_000_000
-BROADCAST_ROWS = 100_000
-_SALTS = 16
-
 
 class Added(NamedTuple):
     entries: DataFrame
@@ -66,10 +61,10 @@ def add_entries(entries: DataFrame, additions: DataFrame) -> Added:
     """
     new = additions.select(strip(F.col("text")).alias("text"), "ordinal", F.col("created_at").cast("string"))
     new = new.withColumn("norm", normalize_match_text(F.col("text")))
-    last = entries.agg(F.coalesce(F.max("ordinal"), F.lit(-1)).alias("last"))
+    last = F.broadcast(entries.agg(F.coalesce(F.max("ordinal"), F.lit(-1)).alias("last")))  # one row
     usable = (
         new.filter(F.length("norm") >= MIN_LENGTH)
-        .join(F.broadcast(last))
+        .join(last)
         .select(
             F.substring(F.sha2("norm", 256), 1, 16).alias("id"),
             "text",
@@ -116,9 +111,9 @@ def _paragraph_keys(norm: Column) -> Column:
 
 def _rare_grams(entries: DataFrame, size: int, kind: str, may_drop: Column, repeats: bool) -> DataFrame:
     """Grams of each entry without its commonest ones; what is dropped weighs at most ``may_drop``."""
+    long = entries.filter(F.col("len") >= MIN_FUZZY_LENGTH)
     counted = (
-        entries.filter(F.col("len") >= MIN_FUZZY_LENGTH)
-        .select("ordinal", "len", F.explode(_grams(F.col("norm"), size)).alias("gram"))
+        unnest(long, ["ordinal", "len"], _grams(F.col("norm"), size), "gram")
         .groupBy("ordinal", "len", "gram")
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -216,7 +211,7 @@ def score_pairs(pairs: DataFrame) -> DataFrame:
     )
 
 
-def candidate_pairs(norms: DataFrame, entries: DataFrame, small: bool) -> DataFrame:
+def candidate_pairs(norms: DataFrame, entries: DataFrame) -> DataFrame:
     """Pairs ``(norm, ordinal, near, alike)`` that may match.
 
     Partial counts meet before the shuffle. A pair stays if a whole text may contain the other, if
@@ -231,14 +226,9 @@ def candidate_pairs(norms: DataFrame, entries: DataFrame, small: bool) -> DataFr
         F.size(F.array_distinct(_grams(F.col("norm"), 3))).alias("offered_trigrams"),
         _paragraph_keys(F.col("norm")).alias("keys"),
     )
-    offered = counted.select("pid", "len", "offered_trigrams", F.explode("keys").alias("key"))
-    if small:
-        met = offered.join(F.broadcast(keys), "key")
-    else:
-        salted = keys.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
-        met = offered.withColumn("_salt", F.pmod("pid", F.lit(_SALTS)).cast("int")).join(
-            salted, ["key", "_salt"]
-        )
+    offered = unnest(counted, ["pid", "len", "offered_trigrams"], "keys", "key")
+    # Both sides are exchanges of the join's own, so the partition of a common gram can be split.
+    met = offered.join(keys.hint("rebalance"), "key")
     a, b, kind = F.col("len"), F.col("entry_len"), F.substring("key", 1, 1)
     ratio = F.least(a, b) / F.greatest(a, b)
     possible = (
@@ -278,7 +268,7 @@ def candidate_pairs(norms: DataFrame, entries: DataFrame, small: bool) -> DataFr
         .withColumn("alike", F.coalesce(alike, F.lit(False)))
         .filter("whole or near or alike")
         .select("pid", "ordinal", "near", "alike")
-        .join(norms.distinct().withColumn("pid", F.xxhash64("norm")), "pid")
+        .join(norms.withColumn("pid", F.xxhash64("norm")), "pid")
         .select("norm", "ordinal", "near", "alike")
     )
 
@@ -287,12 +277,10 @@ def best_matches(norms: DataFrame, blacklist: DataFrame) -> DataFrame:
     """Best entry per normalised text ``(norm, score, method, entry_id)``; ties go to the first entry."""
     entries = blacklist.select("ordinal", "id", "norm").withColumn("len", F.length("norm"))
     entries = entries.filter(F.col("len") >= MIN_LENGTH)
-    chars = entries.agg(F.coalesce(F.sum("len"), F.lit(0))).first()[0]
-    small = chars <= BROADCAST_CHARS
     named = entries.select("ordinal", F.col("id").alias("entry_id"), F.col("norm").alias("entry_norm"))
-    pairs = candidate_pairs(norms.filter(F.length("norm") >= MIN_LENGTH), entries, small).join(
-        F.broadcast(named) if small else named, "ordinal"
-    )
+    # Paragraphs repeat; each text is matched once.
+    distinct = norms.filter(F.length("norm") >= MIN_LENGTH).distinct()
+    pairs = candidate_pairs(distinct, entries).join(named, "ordinal")
     best = F.max_by(
         F.struct("score", "method", "entry_id"), F.struct(F.col("score"), (-F.col("ordinal")).alias("o"))
     )
@@ -301,20 +289,12 @@ def best_matches(norms: DataFrame, blacklist: DataFrame) -> DataFrame:
 
 def normalized_paragraphs(chapters: DataFrame) -> DataFrame:
     """``(book_id, chapter_index, paragraph, norm)`` of all paragraphs."""
-    return chapters.select(
-        "book_id", "chapter_index", F.posexplode(split_paragraphs(F.col("text"))).alias("paragraph", "p")
-    ).select("book_id", "chapter_index", "paragraph", normalize_match_text(strip(F.col("p"))).alias("norm"))
+    rows = unnest(chapters, ["book_id", "chapter_index"], split_paragraphs(F.col("text")), "p", "paragraph")
+    return rows.select("book_id", "chapter_index", "paragraph", normalize_match_text(strip(F.col("p"))).alias("norm"))
 
 
 def paragraph_matches(chapters: DataFrame, blacklist: DataFrame) -> DataFrame:
     """``(book_id, chapter_index, paragraph, score, method, entry_id)`` of the matched paragraphs."""
     paragraphs = normalized_paragraphs(chapters)
-    # Written once: the matches are dear, and their size decides how they go back to the paragraphs.
-    found = pinned(best_matches(paragraphs.select("norm"), blacklist))
-    n, chars = found.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("norm")), F.lit(0))).first()
-    if n <= BROADCAST_ROWS and chars <= BROADCAST_CHARS:
-        return paragraphs.join(F.broadcast(found), "norm").drop("norm")
-    asked = paragraphs.groupBy("norm").agg(F.count(F.lit(1)).alias("_n"))
-    answers = asked.join(found, "norm")
-    matched = lookup_by_key(paragraphs, answers, ["norm"], "_n", ["book_id", "chapter_index", "paragraph"])
-    return matched.filter("score is not null").drop("norm")
+    found = best_matches(paragraphs.select("norm"), blacklist)
+    return lookup_by_key(paragraphs, found, ["norm"]).filter("score is not null").drop("norm")

@@ -6,40 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-# A key with more rows than this is answered by broadcast, any other by a shuffle join.
-HOT_ROWS = 2_000_000
-_SPREAD = 1024
 
+def lookup_by_key(rows: DataFrame, answers: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join of ``rows`` with ``answers``, one answer per key, where one key may hold much of ``rows``.
 
-def lookup_by_key(
-    rows: DataFrame,
-    answers: DataFrame,
-    keys: list[str],
-    size: str,
-    spread: list[str],
-    hot_rows: int = HOT_ROWS,
-) -> DataFrame:
-    """Left join of ``rows`` with ``answers``, one answer per key.
-
-    ``size`` is the column of ``answers`` that tells how many rows ask for the key. At most
-    ``count(rows) / hot_rows`` keys can be hot, so the hot answers are few whatever the data look
-    like and are broadcast; their rows then carry a salt made from ``spread`` and meet nobody in
-    the shuffle join, which only sees keys of a bounded size.
+    The answers are dealt out anew, so both sides of the join are exchanges of its own: adaptive
+    execution splits the partition of a hot key, and broadcasts the answers only when it has seen that
+    they are small.
     """
-    values = [c for c in answers.columns if c not in keys and c != size]
-    packed = F.struct(*[F.col(v) for v in values])
-    hot = answers.filter(F.col(size) > hot_rows).select(*keys, packed.alias("_hot"))
-    cold = answers.filter(F.col(size) <= hot_rows).select(*keys, F.lit(0).alias("_salt"), packed.alias("_cold"))
-    salt = F.when(F.col("_hot").isNull(), F.lit(0)).otherwise(
-        (F.pmod(F.xxhash64(*spread), F.lit(_SPREAD)) + 1).cast("int")
-    )
-    found = (
-        rows.join(F.broadcast(hot), keys, "left")
-        .withColumn("_salt", salt)
-        .join(cold, [*keys, "_salt"], "left")
-        .withColumn("_found", F.coalesce("_hot", "_cold"))
-    )
-    return found.select(*[F.col(c) for c in rows.columns], *[F.col("_found")[v].alias(v) for v in values])
+    return rows.join(answers.hint("rebalance"), keys, "left")
 
 
 def with_position(

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkmill.functions.text import CJK, cjk_count, cjk_only, split_paragraphs
+from inkmill.functions.arrays import unnest
+from inkmill.functions.text import CJK, cjk_count, cjk_only, let, split_paragraphs
 from inkmill.operators.characters import character_class, traditional_hits, wanted_grams
 from inkmill.operators.keyed import lookup_by_key
 from inkmill.operators.punctuation import punctuate
@@ -29,7 +30,7 @@ def profile_chars(chapters: DataFrame, traditional: dict[str, str]) -> DataFrame
 
     def counted(chars, kind):
         return (
-            chapters.select(BOOK, F.explode(_all_of(F.col("text"), chars)).alias("ch"))
+            unnest(chapters, [BOOK], _all_of(F.col("text"), chars), "ch")
             .groupBy(BOOK, "ch")
             .agg(F.count(F.lit(1)).alias("n"))
             .select(BOOK, "ch", F.lit(kind).alias("kind"), "n")
@@ -42,7 +43,7 @@ def profile_bigrams(chapters: DataFrame) -> DataFrame:
     """``(book_id, bigram, n)`` over the CJK characters of each chapter, punctuation skipped."""
     pairs = F.regexp_extract_all(cjk_only(F.col("text")), F.lit("(?=(..))"), F.lit(1))
     return (
-        chapters.select(BOOK, F.explode(pairs).alias("bigram"))
+        unnest(chapters, [BOOK], pairs, "bigram")
         .groupBy(BOOK, "bigram")
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -78,7 +79,7 @@ def _evidence_grams(chapters: DataFrame, traditional: dict[str, str]) -> DataFra
     else:
         pairs = F.array().cast("array<string>")
     counts = (
-        chapters.select(BOOK, F.explode(F.concat(_all_of(F.col("text"), simplified), pairs)).alias("gram"))
+        unnest(chapters, [BOOK], F.concat(_all_of(F.col("text"), simplified), pairs), "gram")
         .groupBy(BOOK, "gram")
         .agg(F.count(F.lit(1)).cast("double").alias("v"))
     )
@@ -101,15 +102,11 @@ def traditional_evidence(
     hits = F.flatten(F.transform(punctuate(F.col("_suspect")), lambda s: traditional_hits(s["text"], traditional)))
     single = F.filter(hits, lambda h: ~h["repeated"])
     grams = F.array_distinct(F.flatten(F.transform(single, wanted_grams)))
-    asked = F.when(F.size(grams) > 0, F.concat(F.array(F.lit("")), grams)).otherwise(grams)
-    requests = (
-        chapters.filter(F.col("text").rlike(cls))
-        .withColumn("_suspect", suspect)
-        .select(BOOK, CHAPTER, F.explode(asked).alias("gram"))
-    )
-    asked_for = requests.groupBy(BOOK, "gram").agg(F.count(F.lit(1)).alias("_n"))
-    answers = asked_for.join(_evidence_grams(chapters if corpus is None else corpus, traditional), [BOOK, "gram"])
-    found = lookup_by_key(requests, answers, [BOOK, "gram"], "_n", [CHAPTER]).filter("v is not null")
+    asked = let(grams, lambda g: F.when(F.size(g) > 0, F.concat(F.array(F.lit("")), g)).otherwise(g))
+    asking = chapters.filter(F.col("text").rlike(cls)).withColumn("_suspect", suspect)
+    requests = unnest(asking, [BOOK, CHAPTER], asked, "gram")
+    answers = _evidence_grams(chapters if corpus is None else corpus, traditional)
+    found = lookup_by_key(requests, answers, [BOOK, "gram"]).filter("v is not null")
     return found.groupBy(BOOK, CHAPTER).agg(
         F.map_from_entries(F.collect_list(F.struct("gram", "v"))).alias("evidence")
     )

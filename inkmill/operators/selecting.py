@@ -40,13 +40,10 @@ def range_spans(chapters: DataFrame, start: int | None, end: int | None) -> Data
     )
     hit = F.col("number").between(F.col("low"), F.col("high"))
     # Bounds are one row per book and chapters only ship index and number here.
-    sized = wanted.withColumn("_n", F.col("chapter_count"))
     placed = lookup_by_key(
         chapters.select("book_id", "chapter_index", "number"),
-        sized.select("book_id", "by_number", "low", "high", "_n"),
+        wanted.select("book_id", "by_number", "low", "high"),
         ["book_id"],
-        "_n",
-        ["chapter_index"],
     )
     spans = placed.groupBy("book_id").agg(
         F.min(F.when(hit, F.col("chapter_index"))).alias("first_index"),
@@ -66,11 +63,9 @@ def select_range(chapters: DataFrame, start: int | None = None, end: int | None
     if start is None and end is None:
         return chapters
     spans = range_spans(chapters, start, end).filter("selection_error is null")
-    answers = spans.select(
-        "book_id", "by_number", "low", "high", "first_index", "last_index", F.col("chapter_count").alias("_n")
-    )
+    answers = spans.select("book_id", "by_number", "low", "high", "first_index", "last_index")
     numbered = with_position(chapters, ["book_id"], F.col("chapter_index"), "_position")
-    placed = lookup_by_key(numbered, answers, ["book_id"], "_n", ["chapter_index"])
+    placed = lookup_by_key(numbered, answers, ["book_id"])
     chosen = F.when(
         F.col("by_number"), F.col("chapter_index").between(F.col("first_index"), F.col("last_index"))
     ).otherwise(F.col("_position").between(F.col("low"), F.col("high")))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from inkmill.functions.numerals import parse_chapter_number
 from inkmill.functions.text import content_hash
-from inkmill.functions.urls import extract_url, make_page_url
+from inkmill.functions.urls import extract_url, host, make_page_url
 from inkmill.operators.assembling import book_blocks, join_pages, readable_pages
 from inkmill.operators.dedup import mark_duplicates
 from inkmill.operators.elements import Pick
@@ -14,12 +15,13 @@ from inkmill.operators.selecting import (
     chapter_bounds, limit_chapters, range_spans, select_range, with_process_order, with_resume_status,
 )
 from inkmill.plans.catalog import (
-    chapter_links, chapter_texts, chapter_titles, parsed_pages,
+    chapter_links, chapter_texts, chapter_titles, directory_pages, parsed_pages,
 )
 from inkmill.plans.ingest import IngestOptions, duplicate_report, failure_report, ingest, ingest_summary
-from inkmill.session import spread
+from inkmill.session import dealt
 from inkmill.sources.sinks import chapter_files
 from inkmill.sources.sites import Part, Site, route
+from inkmill.sources.state import latest_state
 from inkmill.streaming.ingest import event_counts, first_seen, ingest_events
 from inkmill.suite.data import WS, documents, same, sql_chapters, sql_strip, table
 from inkmill.suite.registry import query
@@ -79,7 +81,7 @@ _CATALOG_SQL = f"""c AS (SELECT source AS book_id, doc_id AS chapter_index, sour
 
 def numbered_catalog(spark, sf):
     number = F.floor(F.col("doc_id") / 20) + 1
-    rows = spread(table(spark, sf, "documents").select("doc_id", "source"))
+    rows = dealt(table(spark, sf, "documents").select("doc_id", "source"))
     return rows.select(
         F.col("source").alias("book_id"),
         F.col("doc_id").alias("chapter_index"),
@@ -130,19 +132,34 @@ def book_bounds(spark, sf):
 
 
 def label_state(spark, sf):
-    """Labelled documents as the state of an earlier run: good ones done, toxic ones known duplicates."""
-    docs = table(spark, sf, "documents").select("doc_id", "source")
+    """Labelled documents as the state of an earlier run: good ones done, toxic ones known duplicates.
+
+    Each has an older transition to another status, which does not count any more. Every tenth document is
+    also known under an older URL, with the hash of its content.
+    """
+    every = table(spark, sf, "documents").select("doc_id", "source", "text")
+    docs = every.select("doc_id", "source")
     labels = table(spark, sf, "labels")
     none = F.lit(None).cast("string")
     status = F.when(F.col("toxic") == 1, "duplicate").when(F.col("quality") == 1, "completed").otherwise("failed")
-    return labels.join(docs, "doc_id").select(
+    now = labels.join(docs, "doc_id").select(
         F.col("source").alias("book_id"),
         F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("url"),
         F.lit("old").alias("title"), status.alias("status"), F.lit("why").alias("reason"),
         none.alias("digest"), none.alias("first_title"), none.alias("first_url"),
         (F.col("doc_id") % 5 != 0).alias("stored"),
-        F.timestamp_seconds(F.lit(0)).alias("updated_at"),
+        F.timestamp_seconds(F.lit(3600)).alias("updated_at"),
+    )
+    other = F.when(F.col("status") == "completed", F.lit("failed")).otherwise(F.lit("completed"))
+    before = now.withColumn("status", other).withColumn("updated_at", F.timestamp_seconds(F.lit(0)))
+    stored = every.filter("doc_id % 10 = 3").select(
+        F.col("source").alias("book_id"),
+        F.concat("source", F.lit("/old"), F.col("doc_id").cast("string")).alias("url"),
+        F.lit("old").alias("title"), F.lit("completed").alias("status"), none.alias("reason"),
+        content_hash("text").alias("digest"), none.alias("first_title"), none.alias("first_url"),
+        F.lit(True).alias("stored"), F.timestamp_seconds(F.lit(0)).alias("updated_at"),
     )
+    return now.unionByName(before).unionByName(stored)
 
 
 _STATUS_SQL = f"""{_CH}, s AS (SELECT source || '/' || d.doc_id AS url, toxic, quality, d.doc_id
@@ -154,16 +171,21 @@ st AS (SELECT c.*, CASE WHEN toxic = 1 THEN 'duplicate' WHEN quality = 1 AND doc
 @query("resume", f"WITH {_STATUS_SQL} SELECT book_id, chapter_index, status FROM st")
 def resume(spark, sf):
     catalog = documents(spark, sf).drop("text")
-    return with_resume_status(catalog, label_state(spark, sf)).select("book_id", "chapter_index", "status")
+    return with_resume_status(catalog, latest_state(label_state(spark, sf))).select("book_id", "chapter_index", "status")
 
 
 # A run over the documents after that state; documents of a length divisible by 11 fail.
 _RUN_SQL = f"""{_STATUS_SQL}, run AS (SELECT *, {_DIGEST} AS digest FROM st WHERE status = 'pending'),
-ok AS (SELECT *, row_number() OVER g AS rn, first_value(title) OVER g AS first_title, first_value(url) OVER g AS first_url
-       FROM run WHERE length(text) % 11 <> 0 AND text <> '' WINDOW g AS (PARTITION BY book_id, digest ORDER BY chapter_index)),
+kept AS (SELECT source AS book_id, {_DIGEST} AS digest, min(source || '/old' || doc_id) AS old_url
+         FROM documents WHERE doc_id % 10 = 3 GROUP BY 1, 2),
+ok AS (SELECT run.*, old_url, row_number() OVER g > 1 OR old_url IS NOT NULL AS again,
+              coalesce(CASE WHEN old_url IS NOT NULL THEN 'old' END, first_value(title) OVER g) AS first_title,
+              coalesce(old_url, first_value(url) OVER g) AS first_url
+       FROM run LEFT JOIN kept USING (book_id, digest)
+       WHERE length(text) % 11 <> 0 AND text <> '' WINDOW g AS (PARTITION BY book_id, digest ORDER BY chapter_index)),
 outcome AS (
-  SELECT book_id, chapter_index, title, url, CASE WHEN rn > 1 THEN 'duplicate' ELSE 'completed' END AS status, digest,
-         CASE WHEN rn > 1 THEN first_title END AS first_title, CASE WHEN rn > 1 THEN first_url END AS first_url FROM ok
+  SELECT book_id, chapter_index, title, url, CASE WHEN again THEN 'duplicate' ELSE 'completed' END AS status, digest,
+         CASE WHEN again THEN first_title END AS first_title, CASE WHEN again THEN first_url END AS first_url FROM ok
   UNION ALL SELECT book_id, chapter_index, title, url, 'failed', NULL, NULL, NULL FROM run
      WHERE length(text) % 11 = 0 OR text = ''
   UNION ALL SELECT book_id, chapter_index, title, url, status, NULL, NULL, NULL FROM st WHERE status <> 'pending')"""
@@ -195,7 +217,7 @@ def ingest_summary_query(spark, sf):
     return ingest_summary(_run(spark, sf)[0].outcomes)
 
 
-@query("ingest_chapters", f"WITH {_RUN_SQL} SELECT book_id, chapter_index, md5(text) AS digest FROM ok WHERE rn = 1")
+@query("ingest_chapters", f"WITH {_RUN_SQL} SELECT book_id, chapter_index, md5(text) AS digest FROM ok WHERE NOT again")
 def ingest_chapters(spark, sf):
     return _run(spark, sf)[0].chapters.select("book_id", "chapter_index", F.md5("text").alias("digest"))
 
@@ -236,7 +258,7 @@ FALLBACK = Site("generic", is_fallback=True)
 
 
 def pages(spark, sf):
-    return spread(table(spark, sf, "pages").select("page_id", "url", "html"))
+    return dealt(table(spark, sf, "pages").select("page_id", "url", "html"))
 
 
 _HOST = "lower(regexp_extract(url, '^https?://([^/?#:]+)', 1))"
@@ -274,13 +296,15 @@ def page_url(spark, sf):
 
 @query(
     "extract_url",
-    "SELECT page_id, url AS bare, url AS marked FROM pages",
+    "SELECT page_id, url AS bare, url AS marked, url AS ended, '第' || page_id || '页' AS no_url FROM pages",
 )
 def extract_url_query(spark, sf):
     pasted = F.concat(F.lit("看这里："), F.col("url"), F.lit("。谢谢"))
     marked = F.concat(F.lit("见 [目录 1]("), F.col("url"), F.lit(") 或 http://no.example/"))
     return table(spark, sf, "pages").select(
-        "page_id", extract_url(pasted).alias("bare"), extract_url(marked).alias("marked")
+        "page_id", extract_url(pasted).alias("bare"), extract_url(marked).alias("marked"),
+        extract_url(F.concat(F.lit("("), F.col("url"), F.lit("),. 完"))).alias("ended"),
+        extract_url(F.concat(F.lit(" 第"), F.col("page_id").cast("string"), F.lit("页\n"))).alias("no_url"),
     )
 
 
@@ -314,6 +338,29 @@ def page_links(spark, sf):
     return links.groupBy("page_id", "title", "chapter_url").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    "directory_walk",
+    f"""WITH RECURSIVE u AS (SELECT url, min(page_id) AS id, {_HOST} AS h FROM pages GROUP BY url),
+o AS (SELECT *, lead(url) OVER w AS next_url, first_value(url) OVER w AS root FROM u
+      WINDOW w AS (PARTITION BY h ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+e AS (SELECT url, coalesce(next_url, root) AS next_url FROM o),
+r AS (SELECT DISTINCT root FROM o),
+walk AS (SELECT root AS book_url, root AS url, 1 AS page_no FROM r
+  UNION ALL SELECT book_url, e.next_url, page_no + 1 FROM walk JOIN e ON e.url = walk.url WHERE e.next_url <> book_url)
+SELECT book_url, url, page_no FROM walk""",
+)
+def directory_walk(spark, sf):
+    """The pages of each host as one directory, in which the last page leads back to the first; all landed twice."""
+    seen = table(spark, sf, "pages").groupBy("url").agg(F.min("page_id").alias("id")).withColumn("h", host(F.col("url")))
+    whole = W.partitionBy("h").orderBy("id")
+    listed = seen.select(
+        "url", F.lead("url").over(whole).alias("next_url"), F.first("url").over(whole).alias("root")
+    )
+    edges = listed.select("url", F.coalesce("next_url", "root").alias("next_url"))
+    roots = listed.select(F.col("root").alias("book_url"), F.col("root").alias("url"))
+    return directory_pages(roots, edges.unionByName(edges))
+
+
 @query("page_text")
 def page_text(spark, sf):
     """Article text of each page; block structure has no SQL form and is tested on small pages."""
@@ -326,24 +373,30 @@ _DIGIT = "零一二三四五六七八九"
 
 @query(
     "chapter_number",
-    "SELECT o_orderkey, o_orderkey AS arabic, o_orderkey % 10000 AS chinese FROM orders WHERE o_orderkey % 10000 > 0",
+    "SELECT o_orderkey, o_orderkey AS arabic, o_orderkey AS chinese, 300000000 + o_orderkey AS large FROM orders",
 )
 def chapter_number(spark, sf):
-    """Chapter numbers written in ASCII digits and as Chinese numerals and read back."""
-    key = F.col("o_orderkey") % 10000
+    """Chapter numbers written in ASCII digits and as Chinese numerals, of any size, and read back."""
 
-    def place(unit: int, name: str):
-        digit = (F.floor(key / unit) % 10).cast("int")
-        return F.when(digit > 0, F.concat(F.substring(F.lit(_DIGIT), digit + 1, F.lit(1)), F.lit(name))).otherwise(
-            F.lit("零")
-        )
+    def section(number):
+        def place(unit: int, name: str):
+            digit = (F.floor(number / unit) % 10).cast("int")
+            return F.when(
+                digit > 0, F.concat(F.substring(F.lit(_DIGIT), digit + 1, F.lit(1)), F.lit(name))
+            ).otherwise(F.lit("零"))
 
-    numeral = F.concat(place(1000, "千"), place(100, "百"), place(10, "十"), place(1, ""))
-    titles = table(spark, sf, "orders").select("o_orderkey", numeral.alias("numeral")).filter(key > 0)
+        return F.concat(place(1000, "千"), place(100, "百"), place(10, "十"), place(1, ""))
+
+    above = F.floor(F.col("o_orderkey") / 10000)
+    numeral = F.concat(
+        F.when(above > 0, F.concat(section(above), F.lit("万"))).otherwise(F.lit("")), section(F.col("o_orderkey") % 10000)
+    )
+    titles = table(spark, sf, "orders").select("o_orderkey", numeral.alias("numeral"))
     return titles.select(
         "o_orderkey",
         parse_chapter_number(F.concat(F.lit(" 第 "), F.col("o_orderkey").cast("string"), F.lit(" 章 x"))).alias("arabic"),
         parse_chapter_number(F.concat(F.lit("第"), F.col("numeral"), F.lit("章"))).alias("chinese"),
+        parse_chapter_number(F.concat(F.lit("第三亿"), F.col("numeral"), F.lit("章"))).alias("large"),
     )
 
 
@@ -364,16 +417,16 @@ def assemble(spark, sf):
     f"""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
 p AS (SELECT doc_id, unnest(ls) AS text, unnest(range(1, len(ls) + 1)) AS page_no FROM l),
 d AS (SELECT *, row_number() OVER (PARTITION BY doc_id, {_DIGEST} ORDER BY page_no) AS rn FROM p),
-e AS (SELECT doc_id, coalesce(min(page_no) FILTER (text = '' OR rn > 1 OR page_no > 8), 1000000) AS stop FROM d GROUP BY 1)
+e AS (SELECT doc_id, coalesce(min(page_no) FILTER (text = '' OR rn > 1), 9223372036854775807) AS stop FROM d GROUP BY 1)
 SELECT doc_id, page_no::INT AS page_no, md5(text) AS digest FROM d JOIN e USING (doc_id) WHERE page_no < stop""",
 )
 def page_stop(spark, sf):
-    """Lines of a document as the pages of a chapter, at most eight."""
+    """Lines of a document as the pages of a chapter."""
     docs = documents(spark, sf).select(F.col("chapter_index").alias("doc_id"), "text")
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("at", "text")).select(
         "doc_id", (F.col("at") + 1).alias("page_no"), F.lit(None).cast("int").alias("page_total"), "text"
     )
-    kept = readable_pages(lines, 8, ["doc_id"])
+    kept = readable_pages(lines, keys=["doc_id"])
     return kept.select("doc_id", "page_no", F.md5("text").alias("digest"))
 
 
