@@ -20,6 +20,7 @@ without a document are not used; of several labels of one document the largest c
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from inkmill.llm.common import LOWER, UPPER, lookup, written
 from inkmill.llm.repeats import by_bytes
 
-SAMPLE = 20_000  # labelled documents the classifier is fitted on, at most
+SAMPLE = 8_000  # labelled documents the classifier is fitted on, at most
 KEEP_QUALITY, DROP_TOXIC = 0.5, 0.5
 SITE_WEIGHT = 0.5
 MIN_WORD_DOCS = 4  # documents of the sample that have to hold a word before it counts
@@ -139,20 +140,21 @@ def fit(texts: list[bytes], quality: np.ndarray, toxic: np.ndarray) -> Model:
     if len(set(toxic[known])) == 2:
         # Distinct texts, so that copies of one do not make its words look telling.
         known = [i for i in {texts[i]: i for i in known.tolist()}.values()]
-        sets = [set(plain_words(texts[i])) for i in known]
         labels = toxic[known]
-        seen: dict[bytes, list[int]] = {}
-        for own, label in zip(sets, labels.tolist(), strict=True):
-            for word in own:
-                seen.setdefault(word, [0, 0])[label] += 1
+        # Only words of several toxic texts can tell; the others are not held.
+        held = Counter(w for i, y in zip(known, labels, strict=True) if y for w in set(plain_words(texts[i])))
+        seen = {word: [0, n] for word, n in held.items() if n >= MIN_WORD_DOCS}
+        for i, label in zip(known, labels.tolist(), strict=True):
+            if not label:
+                for word in seen.keys() & set(plain_words(texts[i])):
+                    seen[word][0] += 1
         yes, no = labels.sum(), len(labels) - labels.sum()
         weights = {}
         for word, (a, b) in seen.items():
-            if b >= MIN_WORD_DOCS:
-                odds = np.log((b + 0.05) / (yes + 0.1)) - np.log((a + 0.05) / (no + 0.1))
-                deviation = np.sqrt(1 / (b + 0.05) + 1 / (a + 0.5))
-                if odds > 1.5 and odds > 2.5 * deviation:
-                    weights[word] = odds - deviation
+            odds = np.log((b + 0.05) / (yes + 0.1)) - np.log((a + 0.05) / (no + 0.1))
+            deviation = np.sqrt(1 / (b + 0.05) + 1 / (a + 0.5))
+            if odds > 1.5 and odds > 2.5 * deviation:
+                weights[word] = odds - deviation
         top = sorted(weights, key=lambda w: (-weights[w], w))[:TOP_WORDS]
         model.words = {w: float(weights[w]) for w in top}
         hits = np.array([model.hits(texts[i]) for i in known])
