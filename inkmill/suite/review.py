@@ -8,9 +8,9 @@ from inkmill.operators.reviewing import change_rows
 from inkmill.plans.clean import judge
 from inkmill.plans.review import decision_log, review_judged, reviewed_chapters
 from inkmill.session import pinned
-from inkmill.suite.data import WS, sql_words, word_chapters
+from inkmill.suite.data import WS, sql_strip, sql_words, word_chapters
 from inkmill.suite.registry import query
-from inkmill.suite.rules import _NO_ADS, sql_auto
+from inkmill.suite.rules import _DAMAGED, _NO_ADS, sql_auto
 
 _JUDGED = sql_auto(sql_words)
 # Words are parted by exactly one blank line, so places are sums of lengths.
@@ -27,19 +27,56 @@ def _changed(spark, sf):
     return pinned(review_judged(judge(word_chapters(spark, sf), _NO_ADS, mode="auto"), "auto"))
 
 
-@query(
-    "review_changes",
-    f"""WITH {_PLACES} SELECT book_id, chapter_index, i1::INT AS i1, (i1 + length(raw))::INT AS i2, tag, raw AS original,
-  result AS replacement FROM ch""",
-)
-def review_changes(spark, sf):
-    """Changes of the chapters auto mode changed.
+# Every finding with its place in the chapter; what auto mode removes as residue hides the others of its paragraph.
+_LISTED = f"""{_PLACES},
+every AS (
+  SELECT book_id, chapter_index, paragraph, 0 AS grp, 0 AS seq, split_part(hit, ' ', 2) AS confidence, s AS original, '' AS replacement
+  FROM res WHERE hit IS NOT NULL
+  UNION ALL
+  SELECT p.book_id, p.chapter_index, p.paragraph, 1, p.seq, f.confidence, p.i.original, p.i.replacement
+  FROM (SELECT book_id, chapter_index, paragraph, unnest(issues) AS i, unnest(range(len(issues))) AS seq FROM k) p
+  JOIN fact f ON f.rule = p.i.rule
+  UNION ALL
+  SELECT book_id, chapter_index, paragraph, 2, seq, 'high', c, ''
+  FROM (SELECT book_id, chapter_index, paragraph, unnest(regexp_extract_all(text, '{_DAMAGED}')) AS c,
+          unnest(range(len(regexp_extract_all(text, '{_DAMAGED}')))) AS seq FROM k)
+  UNION ALL
+  SELECT book_id, chapter_index, paragraph, 3, pos, CASE score WHEN 0.96 THEN 'high' WHEN 0.35 THEN 'low' ELSE 'medium' END, ch, new
+  FROM t),
+listed AS (SELECT * FROM every WHERE grp = 0 UNION ALL
+           SELECT * FROM every ANTI JOIN gone USING (book_id, chapter_index, paragraph) WHERE grp > 0),
+touched AS (SELECT DISTINCT book_id, chapter_index FROM ch),
+-- In a chapter that auto mode left alone, doubtful page numbers are suggested to go: the k-th of equal ones takes
+-- the k-th place in the text where it is found.
+asked AS (SELECT i.book_id, i.chapter_index, i.original AS o,
+            row_number() OVER (PARTITION BY i.book_id, i.chapter_index, i.original ORDER BY i.paragraph) AS nth
+          FROM listed i ANTI JOIN touched u USING (book_id, chapter_index) WHERE grp = 0),
+places AS (SELECT l.*, o, ((length(raw) - length(replace(raw, o, ''))) // length(o))::BIGINT AS n
+           FROM located l JOIN (SELECT DISTINCT book_id, chapter_index, o FROM asked) USING (book_id, chapter_index)),
+upto AS (SELECT *, sum(n) OVER (PARTITION BY book_id, chapter_index, o ORDER BY paragraph) AS top FROM places),
+suggested AS (SELECT book_id, chapter_index, paragraph, i1, raw,
+                left(raw, instr(raw, o) - 1) || substr(raw, instr(raw, o) + length(o)) AS result
+              FROM upto JOIN asked USING (book_id, chapter_index, o) WHERE nth > top - n AND nth <= top),
+changes AS (SELECT book_id, chapter_index, paragraph, i1, raw, result, tag, true AS own FROM ch
+            UNION ALL SELECT book_id, chapter_index, paragraph, i1, raw, result,
+              CASE WHEN result = '' THEN 'delete' ELSE 'replace' END, false FROM suggested),
+fitting AS (SELECT c.book_id, c.chapter_index, i.paragraph, i.grp, i.seq, row_number() OVER (
+     PARTITION BY c.book_id, c.chapter_index, c.paragraph ORDER BY i.confidence <> 'high', i.paragraph, i.grp, i.seq) AS nth
+   FROM changes c JOIN listed i ON i.book_id = c.book_id AND i.chapter_index = c.chapter_index
+     AND (NOT c.own OR i.paragraph = c.paragraph)
+     AND (({sql_strip('i.original')} <> '' AND (contains(c.raw, {sql_strip('i.original')}) OR contains({sql_strip('i.original')}, {sql_strip('c.raw')})))
+       OR ({sql_strip('i.replacement')} <> '' AND contains(c.result, {sql_strip('i.replacement')})))),
+shown AS (SELECT DISTINCT book_id, chapter_index, paragraph, grp, seq FROM fitting WHERE nth = 1),
+unseen AS (SELECT * FROM listed ANTI JOIN shown USING (book_id, chapter_index, paragraph, grp, seq)
+           WHERE confidence <> 'low' AND original <> '' AND original <> replacement),
+review AS (SELECT book_id, chapter_index, i1::INT AS i1, (i1 + length(raw))::INT AS i2, tag, raw AS original, result AS replacement FROM changes
+  UNION ALL SELECT book_id, chapter_index, 0, 0, 'issue_replace', original, replacement FROM unseen)"""
 
-    Suggestions for unchanged chapters come from an alignment, which has no SQL form; they are tested
-    on small chapters.
-    """
-    changed = _changed(spark, sf).filter("cleaned_text <> original_text")
-    rows = change_rows(changed).filter("tag <> 'issue_replace'")
+
+@query("review_changes", f"WITH {_LISTED} SELECT * FROM review")
+def review_changes(spark, sf):
+    """Changes of all chapters, and suggestions that no change shows."""
+    rows = change_rows(_changed(spark, sf))
     return rows.select("book_id", "chapter_index", "i1", "i2", "tag", "original", "replacement")
 
 
@@ -72,13 +109,14 @@ def review_apply(spark, sf):
 
 @query(
     "review_decisions",
-    f"""WITH {_PLACES} SELECT book_id, chapter_index, count(*) AS changes,
-  count(*) FILTER (i1 % 3 <> 0) AS accepted FROM ch GROUP BY 1, 2""",
+    f"""WITH {_LISTED} SELECT book_id, chapter_index, count(*) AS changes, count(*) FILTER (tag = 'issue_replace') AS suggestions,
+  count(*) FILTER (tag <> 'issue_replace' AND i1 % 3 <> 0) AS accepted FROM review GROUP BY 1, 2""",
 )
 def review_decisions(spark, sf):
-    """Decisions on the changes of the chapters auto mode changed."""
-    changed = _changed(spark, sf).filter("cleaned_text <> original_text")
-    log = decision_log(changed, _decisions(changed)).filter("tag <> 'issue_replace'")
+    """Decisions on all changes and suggestions."""
+    changed = _changed(spark, sf)
+    log = decision_log(changed, _decisions(changed))
     return log.groupBy("book_id", "chapter_index").agg(
-        F.count(F.lit(1)).alias("changes"), F.count_if("accepted").alias("accepted")
+        F.count(F.lit(1)).alias("changes"), F.count_if(F.col("tag") == "issue_replace").alias("suggestions"),
+        F.count_if("accepted").alias("accepted"),
     )
