@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from inkmill.operators.reviewing import change_rows
-from inkmill.plans.clean import judge
+from inkmill.plans.clean import clean, judge
 from inkmill.plans.review import decision_log, review_judged, reviewed_chapters
 from inkmill.session import pinned
 from inkmill.suite.data import WS, sql_strip, sql_words, word_chapters
@@ -30,19 +30,20 @@ def _changed(spark, sf):
 # Every finding with its place in the chapter; what auto mode removes as residue hides the others of its paragraph.
 _LISTED = f"""{_PLACES},
 every AS (
-  SELECT book_id, chapter_index, paragraph, 0 AS grp, 0 AS seq, split_part(hit, ' ', 2) AS confidence, s AS original, '' AS replacement
-  FROM res WHERE hit IS NOT NULL
+  SELECT book_id, chapter_index, paragraph, 0 AS grp, 0 AS seq, split_part(hit, ' ', 1) AS rule, split_part(hit, ' ', 2) AS confidence,
+         NULL::DOUBLE AS score, s AS original, '' AS replacement FROM res WHERE hit IS NOT NULL
   UNION ALL
-  SELECT p.book_id, p.chapter_index, p.paragraph, 1, p.seq, f.confidence, p.i.original, p.i.replacement
+  SELECT p.book_id, p.chapter_index, p.paragraph, 1, p.seq, f.rule, f.confidence, NULL, p.i.original, p.i.replacement
   FROM (SELECT book_id, chapter_index, paragraph, unnest(issues) AS i, unnest(range(len(issues))) AS seq FROM k) p
   JOIN fact f ON f.rule = p.i.rule
   UNION ALL
-  SELECT book_id, chapter_index, paragraph, 2, seq, 'high', c, ''
+  SELECT book_id, chapter_index, paragraph, 2, seq, CASE WHEN c = chr(65533) THEN 'replacement_character'
+         ELSE 'control_or_zero_width_character' END, 'high', NULL, c, ''
   FROM (SELECT book_id, chapter_index, paragraph, unnest(regexp_extract_all(text, '{_DAMAGED}')) AS c,
           unnest(range(len(regexp_extract_all(text, '{_DAMAGED}')))) AS seq FROM k)
   UNION ALL
-  SELECT book_id, chapter_index, paragraph, 3, pos, CASE score WHEN 0.96 THEN 'high' WHEN 0.35 THEN 'low' ELSE 'medium' END, ch, new
-  FROM t),
+  SELECT book_id, chapter_index, paragraph, 3, pos, 'contextual_traditional_character',
+         CASE score WHEN 0.96 THEN 'high' WHEN 0.35 THEN 'low' ELSE 'medium' END, score, ch, new FROM t),
 listed AS (SELECT * FROM every WHERE grp = 0 UNION ALL
            SELECT * FROM every ANTI JOIN gone USING (book_id, chapter_index, paragraph) WHERE grp > 0),
 touched AS (SELECT DISTINCT book_id, chapter_index FROM ch),
@@ -73,6 +74,24 @@ review AS (SELECT book_id, chapter_index, i1::INT AS i1, (i1 + length(raw))::INT
   UNION ALL SELECT book_id, chapter_index, 0, 0, 'issue_replace', original, replacement FROM unseen)"""
 
 
+@query(
+    "issues",
+    f"""WITH {_LISTED} SELECT l.book_id, l.chapter_index, l.paragraph,
+  row_number() OVER (PARTITION BY l.book_id, l.chapter_index, l.paragraph ORDER BY l.grp, l.seq) - 1 AS seq,
+  f.category, f.confidence, f.confidence_score, f.rule, md5(l.original) AS original, md5(l.replacement) AS replacement,
+  CASE WHEN f.confidence = 'high' THEN f.action ELSE 'report' END AS action, f.confidence = 'high' AS applied
+FROM listed l JOIN fact f ON f.rule = l.rule AND f.confidence = l.confidence
+  AND (l.score IS NULL OR l.score = f.confidence_score)""",
+)
+def issues(spark, sf):
+    """Every finding of auto mode, in the order of its paragraph."""
+    found = clean(word_chapters(spark, sf), _NO_ADS, mode="auto").issues
+    return found.select(
+        "book_id", "chapter_index", "paragraph", F.col("seq").cast("long").alias("seq"), "category", "confidence", "confidence_score", "rule",
+        F.md5("original").alias("original"), F.md5("replacement").alias("replacement"), "action", "applied",
+    )
+
+
 @query("review_changes", f"WITH {_LISTED} SELECT * FROM review")
 def review_changes(spark, sf):
     """Changes of all chapters, and suggestions that no change shows."""

@@ -141,11 +141,38 @@ def quoted_regex(pattern: str) -> str:
     return "'" + pattern + "'"
 
 
-_FACT_ROWS = ", ".join(
-    f"('{f.rule}', '{f.category}', '{f.confidence}', {f.score}::DOUBLE, '{f.action}')"
-    for f in rb.FACTS
-    if f.category == "punctuation"
-)
+# What each finding is worth, spelled out apart from the library so that the comparison can tell.
+_ALL_FACTS = """
+  ('standalone_page_number', 'web_residue', 'high', 0.95::DOUBLE, 'remove'),
+  ('standalone_page_number', 'web_residue', 'medium', 0.6::DOUBLE, 'report'),
+  ('empty_dialogue_fragment', 'web_residue', 'high', 0.96::DOUBLE, 'remove'),
+  ('isolated_quote_escape', 'web_residue', 'high', 0.97::DOUBLE, 'remove'),
+  ('strong_promotion_phrase', 'advertisement', 'high', 0.99::DOUBLE, 'delete'),
+  ('promotional_url', 'advertisement', 'high', 0.98::DOUBLE, 'delete'),
+  ('url_in_text', 'advertisement', 'medium', 0.62::DOUBLE, 'report'),
+  ('multiple_soft_promotion_cues', 'advertisement', 'medium', 0.58::DOUBLE, 'report'),
+  ('escaped_quote_artifact', 'punctuation', 'high', 0.96::DOUBLE, 'replace'),
+  ('mixed_dash_sequence', 'punctuation', 'high', 0.94::DOUBLE, 'replace'),
+  ('repeated_cjk_comma', 'punctuation', 'high', 0.98::DOUBLE, 'replace'),
+  ('repeated_cjk_period', 'punctuation', 'high', 0.98::DOUBLE, 'replace'),
+  ('ascii_comma_in_chinese', 'punctuation', 'high', 0.95::DOUBLE, 'replace'),
+  ('ascii_period_in_chinese', 'punctuation', 'high', 0.95::DOUBLE, 'replace'),
+  ('ascii_question_in_chinese', 'punctuation', 'high', 0.95::DOUBLE, 'replace'),
+  ('ascii_exclamation_in_chinese', 'punctuation', 'high', 0.95::DOUBLE, 'replace'),
+  ('ascii_ellipsis_in_chinese', 'punctuation', 'high', 0.93::DOUBLE, 'replace'),
+  ('straight_quote_in_chinese', 'punctuation', 'high', 0.9::DOUBLE, 'replace'),
+  ('unclosed_dialogue_quote', 'punctuation', 'high', 0.93::DOUBLE, 'replace'),
+  ('long_repeated_expression', 'punctuation', 'low', 0.35::DOUBLE, 'report'),
+  ('unmatched_chinese_quotes', 'punctuation', 'medium', 0.55::DOUBLE, 'report'),
+  ('replacement_character', 'abnormal_character', 'high', 0.99::DOUBLE, 'remove'),
+  ('control_or_zero_width_character', 'abnormal_character', 'high', 0.98::DOUBLE, 'remove'),
+  ('contextual_traditional_character', 'traditional_character', 'medium', 0.58::DOUBLE, 'report'),
+  ('contextual_traditional_character', 'traditional_character', 'high', 0.96::DOUBLE, 'replace'),
+  ('contextual_traditional_character', 'traditional_character', 'medium', 0.72::DOUBLE, 'report'),
+  ('contextual_traditional_character', 'traditional_character', 'low', 0.35::DOUBLE, 'report'),
+  ('user_ad_blacklist', 'advertisement', 'high', 1.0::DOUBLE, 'delete'),
+  ('user_ad_blacklist', 'advertisement', 'medium', 0.78::DOUBLE, 'report')
+"""
 
 # ---- punctuation -------------------------------------------------------------------------------
 
@@ -191,7 +218,7 @@ def punctuation_text(spark, sf):
     "punctuation_issues",
     f"""WITH {sql_punctuated(sql_chinese)},
 i AS (SELECT book_id, chapter_index, paragraph, unnest(issues) AS i, unnest(range(len(issues))) AS seq FROM k),
-f(rule, category, confidence, confidence_score, action) AS (VALUES {_FACT_ROWS})
+f(rule, category, confidence, confidence_score, action) AS (VALUES {_ALL_FACTS})
 SELECT book_id, rule, confidence, confidence_score, count(*) AS n,
        sum(length(i.original)) AS original_chars, sum(length(i.replacement)) AS replacement_chars,
        sum(seq) AS seq_total, max(md5(i.original || '|' || i.replacement)) AS last_digest
@@ -435,11 +462,6 @@ def ad_soft(spark, sf):
 
 # ---- the clean plan ----------------------------------------------------------------------------
 
-_ALL_FACTS = ", ".join(
-    f"('{f.rule}', '{f.category}', '{f.confidence}', {f.score}::DOUBLE, '{f.action}')" for f in rb.FACTS
-)
-
-
 def sql_issues(projection) -> str:
     """CTE ``issue``: every finding in detect mode, rules without advertisements and residue included."""
     return f"""{sql_judged(projection)},
