@@ -92,12 +92,23 @@ def report_lines(chapters: DataFrame, issues: DataFrame, mode: str) -> DataFrame
 
 
 def write_reports(chapters: DataFrame, issues: DataFrame, path: str, mode: str) -> None:
-    """JSON report, change log, CSV report and text summary under one folder, each split by book."""
-    from inkmill.plans.report import book_summary
+    """JSON report, change log, CSV report and text summary under one folder, each split by book.
 
-    book_summary(chapters, issues).withColumn("mode", F.lit(mode)).withColumn(
-        "generated_at", F.current_timestamp()
-    ).write.mode("overwrite").json(f"{path}/summary")
+    Chapters and issues are written once, as tables beside the reports, and all reports are made from those.
+    """
+    from inkmill.plans.report import run_summary
+
+    spark = chapters.sparkSession
+    narrow = chapters.select("book_id", "chapter_index", "title", "source_path", "changed", "applied_count")
+    written = []
+    for name, table in (("chapters", narrow), ("issues", issues)):
+        table.write.mode("overwrite").parquet(f"{path}/{name}")
+        written.append(spark.read.schema(table.schema).parquet(f"{path}/{name}"))
+    chapters, issues = written
+    # The summary heads the report and the change log alike.
+    summary = run_summary(chapters, issues, mode)
+    for name in ("clean_report_summary", "clean_log_summary"):
+        summary.write.mode("overwrite").json(f"{path}/{name}")
     report_chapters(chapters, issues).write.mode("overwrite").partitionBy("book_id").json(f"{path}/clean_report_json")
     change_log(issues).write.mode("overwrite").partitionBy("book_id").json(f"{path}/clean_log_json")
     ordered = report_rows(chapters, issues).repartitionByRange("book_id", "chapter_index").sortWithinPartitions(

@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from inkmill.functions.text import content_hash
 from inkmill.plans.clean import chapter_issues, judge
-from inkmill.plans.ingest import IngestOptions, ingest
+from inkmill.plans.ingest import IngestOptions, ingest, next_state
 from inkmill.sources.rules import Rules
 from inkmill.sources.state import STATE_SCHEMA, latest_state
 
@@ -16,8 +16,9 @@ LANDED = "book_id string, chapter_index int, title string, url string, number bi
 
 
 def landed_chapters(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
-    """Stream of chapter rows that land as parquet files."""
-    return spark.readStream.schema(LANDED).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+    """Stream of chapter rows that land as parquet files, with the time their file landed."""
+    rows = spark.readStream.schema(LANDED).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+    return rows.withColumn("landed_at", F.col("_metadata.file_modification_time"))
 
 
 def ingest_stream(
@@ -34,16 +35,21 @@ def ingest_stream(
         spark = batch.sparkSession
         earlier = [f"{out}/state/batch={i}" for i in range(batch_id) if _exists(spark, f"{out}/state/batch={i}/_SUCCESS")]
         state = spark.read.schema(STATE_SCHEMA).parquet(*earlier) if earlier else None
-        # The last row of a chapter that landed twice in a batch counts.
-        rest = [c for c in batch.columns if c not in ("book_id", "url")]
-        rows = batch.groupBy("book_id", "url").agg(F.max_by(F.struct(*rest), F.xxhash64(*rest)).alias("r")).select(
+        # Of a chapter that landed twice in a batch the row that landed last counts; a hash parts equal times.
+        rest = [c for c in batch.columns if c not in ("book_id", "url", "landed_at")]
+        order = F.struct(*[c for c in ("landed_at",) if c in batch.columns], F.xxhash64(*rest))
+        rows = batch.groupBy("book_id", "url").agg(F.max_by(F.struct(*rest), order).alias("r")).select(
             "book_id", "url", "r.*"
         )
         catalog = rows.select("book_id", "chapter_index", "title", "url", "number")
         done = ingest(catalog, rows.select("book_id", "url", "text", "error"), state, options)
+        # The run is worked out once, for the outcomes; texts and state follow from what was written.
         done.outcomes.write.mode("overwrite").parquet(f"{out}/outcomes/batch={batch_id}")
-        done.chapters.write.mode("overwrite").parquet(f"{out}/chapters/batch={batch_id}")
-        done.state.write.mode("overwrite").parquet(f"{out}/state/batch={batch_id}")
+        outcomes = spark.read.schema(done.outcomes.schema).parquet(f"{out}/outcomes/batch={batch_id}")
+        kept = outcomes.filter("status = 'completed'").select("book_id", "url")
+        texts = rows.select("book_id", "chapter_index", "title", "url", "text").join(kept, ["book_id", "url"], "left_semi")
+        texts.select(*done.chapters.columns).write.mode("overwrite").parquet(f"{out}/chapters/batch={batch_id}")
+        next_state(outcomes).write.mode("overwrite").parquet(f"{out}/state/batch={batch_id}")
 
     return (
         landed.writeStream.foreachBatch(run)

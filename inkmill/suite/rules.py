@@ -18,6 +18,7 @@ from inkmill.plans.report import (
     category_counts, chapter_issue_totals, chapter_summary, confidence_counts, rule_counts,
 )
 from inkmill.sources.rules import load_rules, make_rules
+from inkmill.sources.sinks import report_lines
 from inkmill.suite.data import (
     CJK, WS, chinese_chapters, line_chapters, quoted, sql_chinese, sql_lines, sql_paragraphs, sql_strip,
     sql_words, table, word_chapters,
@@ -593,6 +594,26 @@ def chapter_summary_query(spark, sf):
     return chapter_summary(clean(word_chapters(spark, sf), _NO_ADS, mode="auto").chapters)
 
 
+_HEAD = ["'小说内容检测报告'", f"'{'=' * 24}'", "'处理模式：auto'", "'章节数量：' || chapters", "'问题总数：' || total",
+         "'自动修改：' || applied", "''", "'分类统计：'"]
+
+
+@query(
+    "report_lines",
+    f"""WITH {sql_auto(sql_words)},
+tot AS (SELECT c.book_id, c.chapters, coalesce(total, 0) AS total, coalesce(applied, 0) AS applied
+        FROM (SELECT book_id, count(*) AS chapters FROM chapters GROUP BY 1) c
+        LEFT JOIN (SELECT book_id, count(*) AS total, count(*) FILTER (may_apply) AS applied FROM done GROUP BY 1) USING (book_id))
+{" UNION ALL ".join(f"SELECT book_id, 'a0{i}' AS place, {line} AS line FROM tot" for i, line in enumerate(_HEAD))}
+UNION ALL SELECT book_id, 'b' || category, '  ' || category || ': ' || count(*) FROM done GROUP BY book_id, category
+UNION ALL SELECT book_id, 'c00', '' FROM tot UNION ALL SELECT book_id, 'c01', '置信度统计：' FROM tot
+UNION ALL SELECT book_id, 'd' || confidence, '  ' || confidence || ': ' || count(*) FROM done GROUP BY book_id, confidence""",
+)
+def report_lines_query(spark, sf):
+    done = clean(word_chapters(spark, sf), _NO_ADS, mode="auto")
+    return report_lines(done.chapters, done.issues, "auto")
+
+
 # ---- blacklist ---------------------------------------------------------------------------------
 
 
