@@ -4,7 +4,8 @@ Texts are compared in lower case (A-Z) with single spaces between words, as byte
 a document if some stretch of it is within ``floor(edits * L)`` edits, a tenth by default.
 
 * Windows as long as the item are proposed where a band of diagonals shares enough 8-grams with it. With e edits at
-  least D - 8e of the item's D distinct grams survive next to each other, so no such passage is lost.
+  least D - 8e of the item's D distinct grams survive next to each other, so from items of 35 bytes on no passage is
+  lost; for shorter ones a single gram is enough.
 * Windows and items are embedded by the CGK random walk, which maps edit to Hamming distance, several times.
   Bit samples of the embeddings are compared, as often as ``recall`` asks for at an agreement of ``AGREE``.
 * Windows that collide are verified by exact edit distance (bit-parallel, best stretch around the window).
