@@ -15,7 +15,7 @@ from inkmill.operators.selecting import (
     chapter_bounds, limit_chapters, range_spans, select_range, with_process_order, with_resume_status,
 )
 from inkmill.plans.catalog import (
-    chapter_links, chapter_texts, chapter_titles, directory_pages, parsed_pages,
+    books, chapter_links, chapter_texts, chapter_titles, directory_pages, parsed_pages,
 )
 from inkmill.plans.ingest import IngestOptions, duplicate_report, failure_report, ingest, ingest_summary
 from inkmill.session import dealt
@@ -368,6 +368,46 @@ def page_text(spark, sf):
     return texts.select("page_id", "url", F.length("text").alias("chars"), content_hash("text").alias("digest"), "error")
 
 
+_ARTICLE = "regexp_replace(regexp_extract(html, '<article>(.*?)</article>', 1, 's'), '<[^>]*>', '', 'g')"
+
+
+@query(
+    "page_digest",
+    f"""WITH a AS (SELECT page_id, url, regexp_replace({_sql_unescape(_ARTICLE)}, '[{WS}]+', '', 'g') AS t FROM pages)
+SELECT page_id, url, CASE WHEN t <> '' THEN sha256(t) END AS digest, CASE WHEN t = '' THEN 'empty content' END AS error FROM a""",
+)
+def page_digest(spark, sf):
+    """Article text of each page by the hash that white space does not change."""
+    texts = chapter_texts(parsed_pages(pages(spark, sf), [PAGE_SITE]), [PAGE_SITE])
+    return texts.select("page_id", "url", F.when(F.col("text") != "", content_hash("text")).alias("digest"), "error")
+
+
+# The provided pages name their host in the footer; their advert stands for a description.
+META_SITE = Site(
+    "meta",
+    ("example.com", "example.net", "example.org"),
+    title=(Part(Pick("h1")),),
+    author=(Part(Pick("footer"), before="·", after="©"),),
+    description=(Part(Pick(cls="ad")),),
+)
+
+
+def _sql_line(c: str) -> str:
+    return f"trim(regexp_replace({_sql_unescape(c)}, '[{WS}]+', ' ', 'g'))"
+
+
+@query(
+    "book_meta",
+    f"""WITH m AS (SELECT page_id, url, regexp_extract(html, '<h1>(.*?)</h1>', 1, 's') AS t,
+   regexp_extract(html, '<footer>&copy; (.*?) &middot;', 1) AS a, regexp_extract(html, '<div class="ad">(.*?)</div>', 1, 's') AS d FROM pages)
+SELECT page_id, url AS book_url, {_sql_line('t')} AS title, {_sql_line('a')} AS author, {_sql_line('d')} AS description,
+       CASE WHEN {_sql_line('t')} = '' THEN 'no book title' END AS error FROM m""",
+)
+def book_meta(spark, sf):
+    """Title, author and description of each page seen as the page of a book."""
+    return books(parsed_pages(pages(spark, sf), [META_SITE]), [META_SITE])
+
+
 _DIGIT = "零一二三四五六七八九"
 
 
