@@ -20,6 +20,7 @@ from pyspark.sql.types import DoubleType
 from inkmill.functions.arrays import unnest
 from inkmill.functions.text import let, ngrams, normalize_match_text, split_paragraphs, strip
 from inkmill.operators.keyed import lookup_by_key
+from inkmill.session import stored
 
 # Lengths and thresholds of a match.
 MIN_LENGTH = 6
@@ -218,7 +219,8 @@ def candidate_pairs(norms: DataFrame, entries: DataFrame) -> DataFrame:
     enough neighbouring pairs are shared for the sequence ratio (``near``), or enough trigrams for
     their overlap (``alike``); what the entry left out counts as shared.
     """
-    keys = _entry_keys(entries).withColumnRenamed("len", "entry_len")
+    # The keys of the list are written first: by their size the planner broadcasts them or shuffles both sides.
+    keys = stored(_entry_keys(entries).withColumnRenamed("len", "entry_len"), "blacklist-keys")
     # Lengths are taken before the explode, else Spark would take them again for every key.
     counted = norms.select(
         F.xxhash64("norm").alias("pid"),

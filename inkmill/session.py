@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,13 +32,13 @@ def local_session(cores: str = "8", app: str = "inkmill", **conf: str) -> SparkS
     return spark
 
 
-def pinned(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder of the session and go on from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for what is written on the way.
 
     A cluster names a shared folder in ``spark.checkpoint.dir``; only a local session without one
     gets a folder of its own.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = context.getConf().get("spark.checkpoint.dir")
         if folder is None:
@@ -45,9 +46,22 @@ def pinned(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
             folder = tempfile.mkdtemp(prefix="inkmill-checkpoint-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def pinned(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the checkpoint folder of the session and go on from there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder, whose size the planner knows."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def dealt(df: DataFrame) -> DataFrame:
     """``df`` in as many partitions as ``spark.inkmill.input.partitions`` says; as it is where that is not set.
 
