@@ -26,7 +26,7 @@ from inkmill.llm.suffixes import marked, runs
 
 WIDTH = 35
 GRAM = 10
-SHARD_BYTES = 1_000_000  # of text whose passages share an automaton
+SHARD_BYTES = 250_000  # of text whose passages share an automaton
 
 _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[list(SPACES)] = True
