@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkmill.llm.common import SPACES
-from inkmill.llm.repeats import BYTE_SYMBOLS, Rolling, by_bytes, numbered, repeated, with_runs
+from inkmill.llm.repeats import BYTE_SYMBOLS, Rolling, by_bytes, lean, numbered, repeated, with_runs
 from inkmill.llm.suffixes import marked, runs
 
 WIDTH = 35
@@ -83,6 +83,7 @@ def without_phrases(
     covered = repeated(texts, word_sequence, width, gram, everywhere=True, name="phrases")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for batch in (part for whole in batches for part in by_bytes(whole, 1, SHARD_BYTES)):
             words = [batch.column(1)[i].as_py().split() for i in range(batch.num_rows)]
             masks = []
