@@ -201,14 +201,12 @@ def judged(rows: DataFrame, sample: DataFrame, share: float, everywhere: bool, n
     parameter = spark.sparkContext.broadcast(cuts)
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lean()
         for batch in batches:
             columns = [batch.column(i).to_numpy() for i in range(4)]
             bucket = np.searchsorted(parameter.value, _packed(*columns), side="right").astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(bucket), *batch.columns], names=["bucket", *batch.schema.names])
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lean()
         held = [b for b in batches if b.num_rows]
         if not held:
             return
@@ -246,11 +244,6 @@ def judged(rows: DataFrame, sample: DataFrame, share: float, everywhere: bool, n
     return table.filter(f"kind <> {OPEN}").select(*columns).unionByName(settled.select(*columns))
 
 
-def lean() -> None:
-    """Have Arrow give back what it frees, so that a worker holds a batch and no earlier ones."""
-    pa.set_memory_pool(pa.system_memory_pool())
-
-
 # ---- documents as sequences -------------------------------------------------------------------
 
 Sequences = Callable[[list[bytes]], tuple[list[np.ndarray], Callable[[int, np.ndarray], np.ndarray] | None]]
@@ -284,7 +277,6 @@ def anchor_rows(texts: DataFrame, sequence, width: int, gram: int) -> DataFrame:
     """Rows (lead, context, doc, place) of all anchors."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lean()
         for batch in batches:
             docs, tags, data = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
             for symbols, heads, chosen in chunks(data, sequence, width):
@@ -341,7 +333,6 @@ def edge_windows(texts: DataFrame, edges: DataFrame, sequence, width: int) -> Da
     )
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lean()
         held, rows = [], 0
         for batch in batches:
             for i in range(batch.num_rows):
