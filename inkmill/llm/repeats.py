@@ -148,6 +148,7 @@ def _packed(lead: np.ndarray, context: np.ndarray, doc: np.ndarray, place: np.nd
 
 
 ROW = "lead long, context long, doc long, place long"
+BUCKETED = f"bucket int, {ROW}"
 JUDGED = f"kind int, {ROW}, n long, several boolean"
 COVERED, EDGE, OPEN = 0, 1, 2
 
@@ -183,13 +184,23 @@ def _judge_bucket(lead, context, doc, place, everywhere: bool) -> dict[str, np.n
     }
 
 
-def judged(rows: DataFrame, sample: DataFrame, share: float, everywhere: bool, name: str) -> DataFrame:
+def bucketed(batch: pa.RecordBatch, cuts) -> pa.RecordBatch:
+    """A batch with the bucket of each row, if splitters are given."""
+    if cuts is None:
+        return batch
+    columns = [batch.column(i).to_numpy() for i in range(4)]
+    bucket = np.searchsorted(cuts.value, _packed(*columns), side="right").astype(np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(bucket), *batch.columns], names=["bucket", *batch.schema.names])
+
+
+def judged(rows: Callable, sample: DataFrame, share: float, everywhere: bool, name: str) -> DataFrame:
     """Covered rows and edges of ``rows``, by buckets between splitters that ``sample`` gives.
 
+    ``rows`` makes the rows with their buckets from the splitters, in the same Python worker that makes them.
     ``sample`` holds a ``share`` of the rows, at random; the driver sees some tens of keys for each bucket.
     The result is a written table.
     """
-    spark = rows.sparkSession
+    spark = sample.sparkSession
     if share < 1:
         share /= THINNED
         sample = sample.filter(F.pmod(F.xxhash64("context", "place"), F.lit(THINNED)) == 0)
@@ -200,12 +211,6 @@ def judged(rows: DataFrame, sample: DataFrame, share: float, everywhere: bool, n
     cuts = packed[np.linspace(0, len(packed), buckets + 1)[1:-1].astype(int)] if len(packed) else packed
     parameter = spark.sparkContext.broadcast(cuts)
 
-    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = [batch.column(i).to_numpy() for i in range(4)]
-            bucket = np.searchsorted(parameter.value, _packed(*columns), side="right").astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(bucket), *batch.columns], names=["bucket", *batch.schema.names])
-
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
         if not held:
@@ -222,7 +227,7 @@ def judged(rows: DataFrame, sample: DataFrame, share: float, everywhere: bool, n
             for begin in range(0, len(found["kind"]), 100_000):
                 yield pa.RecordBatch.from_pydict({k: pa.array(v[begin : begin + 100_000]) for k, v in found.items()})
 
-    sorted_in = rows.mapInArrow(dealt, f"bucket int, {ROW}").repartitionById(buckets, F.col("bucket"))
+    sorted_in = rows(parameter).repartitionById(buckets, F.col("bucket"))
     table = written(sorted_in.mapInArrow(judge, JUDGED), name)
     # Across buckets: at most two open contexts of each.
     same = W.partitionBy("lead", "context")
@@ -273,7 +278,7 @@ def tag_of(places: Column) -> Column:
     return F.shiftright(places, 48)
 
 
-def anchor_rows(texts: DataFrame, sequence, width: int, gram: int) -> DataFrame:
+def anchor_rows(texts: DataFrame, sequence, width: int, gram: int, cuts=None) -> DataFrame:
     """Rows (lead, context, doc, place) of all anchors."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,15 +298,16 @@ def anchor_rows(texts: DataFrame, sequence, width: int, gram: int) -> DataFrame:
                 where = place(
                     tags[number[piece]], first - starts[piece] + begin[piece], at - first, last - first
                 )
-                yield pa.RecordBatch.from_arrays(
+                made = pa.RecordBatch.from_arrays(
                     [
                         pa.array(lead.view(np.int64) ^ np.int64(NO_ID)), pa.array(context.view(np.int64)),
                         pa.array(docs[number[piece]]), pa.array(where),
                     ],
                     names=["lead", "context", "doc", "place"],
                 )
+                yield bucketed(made, cuts)
 
-    return texts.select("_doc", "_tag", F.col("_text").cast("binary")).mapInArrow(make, ROW)
+    return texts.select("_doc", "_tag", F.col("_text").cast("binary")).mapInArrow(make, BUCKETED if cuts else ROW)
 
 
 def chunks(data: pa.Array, sequence, width: int):
@@ -321,7 +327,7 @@ def chunks(data: pa.Array, sequence, width: int):
         begin = end
 
 
-def edge_windows(texts: DataFrame, edges: DataFrame, sequence, width: int) -> DataFrame:
+def edge_windows(texts: DataFrame, edges: DataFrame, sequence, width: int, cuts=None) -> DataFrame:
     """The single windows of edges as rows: the lead stays, the context is the hash of the window."""
     listed = edges.groupBy(F.col("doc").alias("_doc"), tag_of(F.col("place")).alias("_tag")).agg(
         F.collect_list("lead").alias("_leads"), F.collect_list("place").alias("_places")
@@ -356,12 +362,12 @@ def edge_windows(texts: DataFrame, edges: DataFrame, sequence, width: int) -> Da
                     held.append(own)
                     rows += len(start)
                     if rows > 100_000:
-                        yield _rows(held)
+                        yield bucketed(_rows(held), cuts)
                         held, rows = [], 0
         if held:
-            yield _rows(held)
+            yield bucketed(_rows(held), cuts)
 
-    return both.mapInArrow(make, ROW)
+    return both.mapInArrow(make, BUCKETED if cuts else ROW)
 
 
 def _rows(held: list[list[np.ndarray]]) -> pa.RecordBatch:
@@ -395,11 +401,14 @@ def repeated(
     share = min(1.0, wanted / max(count, 1))
     picked = texts if share == 1.0 else texts.sample(share, seed=7)
     sample = anchor_rows(picked, sequence, width, gram)
-    first = judged(anchor_rows(texts, sequence, width, gram), sample, share, everywhere, f"{name}-anchors")
+    first = judged(
+        lambda cuts: anchor_rows(texts, sequence, width, gram, cuts), sample, share, everywhere, f"{name}-anchors"
+    )
     edges = first.filter(f"kind = {EDGE}")
-    windows = edge_windows(texts, edges, sequence, width)
     sample = edge_windows(picked, edges, sequence, width)
-    second = judged(windows, sample, share, everywhere, f"{name}-edges")
+    second = judged(
+        lambda cuts: edge_windows(texts, edges, sequence, width, cuts), sample, share, everywhere, f"{name}-edges"
+    )
     covered = first.filter(f"kind = {COVERED}").unionByName(second.filter(f"kind = {COVERED}"))
     place_ = F.col("place")
     return covered.select(
