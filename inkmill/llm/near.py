@@ -7,15 +7,16 @@ exhaustively; larger ones branch by the next token. A pair with a similarity of
 0.8; nodes of unlike documents are small after few levels, and at four levels 20 trees miss one such pair in 30,000.
 
 Many near copies of one text stay together longer. Once four tokens agree, the documents of a large node are also
-compared with leaders: the one that stays in large nodes longest, which is like most others, and the least id. Over
+compared with leaders: the one that stays in large nodes longest, which is like most others, and the least number. Over
 all trees each document has up to 40 leaders and goes on with the best of them. So no group is compared pair by pair.
 
 Inside a node a sketch of one byte for each lane estimates similarities. Of pairs that may reach the threshold, those
 go on that hold the node's clusters together by best estimates, a second one for each document, and all between clusters
 whose estimates are less than sure. They are confirmed on full sets. Components join them over all documents.
 
-Texts without words have empty sets and are linked with nothing, null texts too; a text of one word is one shingle. A null id
-never is the smallest; its ``component_id`` is null unless another id is reachable. Rows that repeat an id carry
+Texts without words have empty sets and are linked with nothing, null texts too; a text of one word is one shingle. Classes
+have numbers of their own, so different texts without an id, or with one id, are linked each by itself. A null id
+never is the smallest; its ``component_id`` is null unless another id is reachable. Rows that repeat id and text carry
 equal answers.
 """
 
@@ -65,11 +66,11 @@ def _signed(values: np.ndarray) -> np.ndarray:
 
 
 def signatures(texts: DataFrame) -> DataFrame:
-    """``_id``, set size ``n``, set hash (``a``, ``b``), ``lanes`` and ``sketch`` from (_id, _text binary)."""
+    """``_id``, ``_hash``, set size ``n``, set hash (``a``, ``b``), ``lanes`` and ``sketch`` from (_id, _hash, _text binary)."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in by_bytes(whole, 1, 1 << 21)):
-            sets = [shingles(batch.column(1)[i].as_buffer()) for i in range(batch.num_rows)]
+        for batch in (part for whole in batches for part in by_bytes(whole, 2, 1 << 21)):
+            sets = [shingles(batch.column(2)[i].as_buffer()) for i in range(batch.num_rows)]
             sizes = np.array([len(s) for s in sets], dtype=np.int64)
             filled = np.flatnonzero(sizes)
             a, b = np.zeros(len(sets), np.uint64), np.zeros(len(sets), np.uint64)
@@ -87,14 +88,14 @@ def signatures(texts: DataFrame) -> DataFrame:
             tail = mixed(lanes.astype(np.uint64)).astype(np.uint8)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0), pa.array(sizes), pa.array(_signed(a)), pa.array(_signed(b)),
+                    batch.column(0), batch.column(1), pa.array(sizes), pa.array(_signed(a)), pa.array(_signed(b)),
                     pa.ListArray.from_arrays(offsets, flat), pa.array([r.tobytes() for r in tail], pa.binary()),
                 ],
-                names=["_id", "n", "a", "b", "lanes", "sketch"],
+                names=["_id", "_hash", "n", "a", "b", "lanes", "sketch"],
             )
 
-    return texts.select("_id", "_text").mapInArrow(
-        sign, "_id long, n long, a long, b long, lanes array<int>, sketch binary"
+    return texts.select("_id", "_hash", "_text").mapInArrow(
+        sign, "_id long, _hash long, n long, a long, b long, lanes array<int>, sketch binary"
     )
 
 
@@ -132,7 +133,7 @@ def nodes_of(classes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
 def led(large: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs (u, v) of documents in large nodes with the leaders most like them.
 
-    Leaders of a root are its least id, and the one that stayed longest in a large node: what stays agrees with most of
+    Leaders of a root are its least number, and the one that stayed longest in a large node: what stays agrees with most of
     the others at every level, so it is near the middle of the group. Each document goes on with its ``LED`` best.
     """
     leaders = large.groupBy("root").agg(
@@ -280,18 +281,39 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("u", "v", "_one", "_two").mapInArrow(confirm, "u long, v long")
 
 
+def texts_of(ids: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """One row (_id, _text) for each class of ``ids``: the text of the row that stands for it. Written."""
+    sought = ids.join(classes.select("_id", "_least", "_hash"), "_id")
+    marks = bitmap(sought, F.xxhash64("_least", "_hash"), "near-ends")
+    named = texts.withColumnRenamed("_id", "_least")
+    asked = with_bit(named, F.xxhash64("_least", "_hash"), marks, "_asked").filter("_asked").drop("_asked")
+    found = asked.join(sought.hint("merge"), ["_least", "_hash"]).dropDuplicates(["_least", "_hash"])
+    return written(found.select("_id", "_text"), "near-texts")
+
+
+def least_ids(reached: DataFrame, classes: DataFrame) -> DataFrame:
+    """``_id`` and ``_component``, the least document id of its component, of every class that is linked."""
+    linked = reached.withColumnRenamed("node", "_id").join(classes.select("_id", "_least"), "_id")
+    least = linked.groupBy("component").agg(F.min("_least").alias("_component"))
+    return lookup(linked.select("_id", "component"), least, ["component"], "inner").select("_id", "_component")
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Id, ``n_shingles``, ``component_id`` and ``kept`` of every document."""
     texts = docs.select(
         F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LAST)).alias("_id"),
         F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).cast("binary").alias("_text"),
-    )
+    ).withColumn("_hash", F.xxhash64("_text"))
     signed = written(signatures(texts), "near-signatures")
     keys = ["n", "a", "b"]
+    # A class has a number, its least id, and with the hash of a text under that id the row that stands for it.
     classes = written(
         signed.filter("n > 0")
         .groupBy(*keys)
-        .agg(F.min("_id").alias("_id"), F.first("lanes").alias("lanes"), F.first("sketch").alias("sketch")),
+        .agg(F.min(F.struct("_id", "_hash")).alias("_one"), F.first("lanes").alias("lanes"), F.first("sketch").alias("sketch"))
+        .select(
+            F.monotonically_increasing_id().alias("_id"), F.col("_one._id").alias("_least"), "_one._hash", *keys, "lanes", "sketch"
+        ),
         "near-classes",
     )
     small, large = nodes_of(classes)
@@ -300,16 +322,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         pairs = pairs.unionByName(led(large, classes))
     pairs = written(pairs.distinct(), "near-pairs")
     ends = pairs.select(F.col("u").alias("_id")).unionByName(pairs.select(F.col("v").alias("_id"))).distinct()
-    marks = bitmap(ends, F.xxhash64("_id"), "near-ends")
-    asked = with_bit(texts, F.xxhash64("_id"), marks, "_asked").filter("_asked").drop("_asked")
-    # Ids that several texts share: the text of the class is the one whose set is known under the id.
-    wanted = written(
-        asked.join(ends.hint("merge"), "_id", "left_semi").dropDuplicates(["_id"]), "near-texts"
-    )
+    wanted = texts_of(ends, classes, texts)
     links = written(confirmed(pairs, wanted), "near-links")
     reached = components(links)
-    named = classes.select(*keys, F.col("_id").alias("node")).join(reached, "node", "left").select(
-        *keys, F.coalesce("component", "node").alias("_component")
+    named = classes.select("_id", "_least", *keys).join(least_ids(reached, classes), "_id", "left").select(
+        *keys, F.coalesce("_component", "_least").alias("_component")
     )
     full = lookup(signed.filter("n > 0").select("_id", *keys), named, keys).select("_id", "n", "_component")
     none = signed.filter("n = 0").select("_id", "n", F.col("_id").alias("_component"))

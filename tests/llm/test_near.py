@@ -85,6 +85,33 @@ def test_edges(spark):
     assert near_groups(docs.limit(0)).count() == 0
 
 
+def test_texts_that_share_an_id(spark):
+    """Many different texts without an id, or with the same one, are linked each by itself."""
+    rng = random.Random(6)
+    last = (1 << 63) - 1
+
+    def fresh():
+        return [f"w{rng.randrange(10**6)}" for _ in range(60)]
+
+    def copy(text):
+        return [*text[:-1], f"x{rng.randrange(10**6)}"]
+
+    rows = []
+    for i in range(150):
+        text = fresh()
+        own = last if i % 3 else 5
+        rows.append((own, text))
+        if i % 2:
+            rows += [(1000 + i, copy(text))] * (1 + i % 3)
+        if i % 5 == 0:
+            rows += [(own, copy(text)), (own, text)]
+    rows = [(i, " ".join(text)) for i, text in rows]
+    rng.shuffle(rows)
+    docs = spark.createDataFrame([(None if i == last else i, t) for i, t in rows], "doc_id long, text string").repartition(4)
+    want = [tuple(None if x == last else x for x in r) for r in brute(rows)]
+    assert sorted(map(tuple, near_groups(docs).collect()), key=str) == sorted(want, key=str)
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(0, 40)] + [(100, 90), (90, 95), (7, 7), (60, 61), (61, 60)]
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "u long, v long")).collect()}
