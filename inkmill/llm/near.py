@@ -8,7 +8,11 @@ exhaustively; larger ones branch by the next token. A pair with a similarity of
 
 Many near copies of one text stay together longer. Once four tokens agree, the documents of a large node are also
 compared with leaders: the one that stays in large nodes longest, which is like most others, and the least number. Over
-all trees each document has up to 40 leaders and goes on with the best of them. So no group is compared pair by pair.
+all trees each document has up to 40 leaders and goes on with the best of them. That links dense groups at little cost.
+Members of large nodes that it leaves in different components are then joined exactly, on full sets: with shingles in
+order from rare to common, two sets similar enough share one in their prefixes, and both have enough left after the
+first one they share. Members of one component are not compared again, so dense groups are not compared pair by pair, and
+families that share a common core but are not alike enough meet on their rare shingles only.
 
 Inside a node a sketch of one byte for each lane estimates similarities. Of pairs that may reach the threshold, those
 go on that hold the node's clusters together by best estimates, a second one for each document, and all between clusters
@@ -40,7 +44,8 @@ LANES = TREES * LEVELS
 #: Depths at which nodes are looked at; beyond ``LEVELS`` a path goes on with the tokens of the next trees.
 DEPTHS = (1, 2, 3, 4, 6, 9, 14, 22, 34, 52, 80)
 SMALL = 48  # a node of so many documents or fewer is compared exhaustively
-LED = 3  # leaders that a document of a large node goes on with
+LED = 3  # leaders that a document of a large node goes on with before the exact join
+CELLS = 20  # bits of a shingle's cell, in which members are counted to order shingles from rare to common
 SIMILAR = (80, 100)  # a link: 100 * intersection >= 80 * union
 MAYBE = 0.60  # least estimate of a pair that is confirmed; four deviations below 0.8
 SURE = 0.95
@@ -281,6 +286,136 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("u", "v", "_one", "_two").mapInArrow(confirm, "u long, v long")
 
 
+# ---- members of large nodes, exactly ----------------------------------------------------------------
+
+
+def _commonness(texts: DataFrame) -> np.ndarray:
+    """In how many of the texts the shingles of each cell occur. Of fixed size."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = np.zeros(1 << CELLS, dtype=np.int64)
+        for batch in batches:
+            for text in batch.column(0):
+                np.add.at(cells, shingles(text.as_buffer()) >> np.uint64(64 - CELLS), 1)
+        full = np.flatnonzero(cells)
+        for begin in range(0, len(full), 100_000):
+            some = full[begin : begin + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(cells[some])], names=["cell", "n"])
+
+    found = texts.select("_text").mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    rows = found.select("cell", F.least("n", F.lit((1 << 31) - 1)).cast("int").alias("n")).toPandas()
+    cells = np.zeros(1 << CELLS, dtype=np.int32)
+    cells[rows["cell"].to_numpy(dtype=np.int64)] = rows["n"].to_numpy(dtype=np.int32)
+    return cells
+
+
+def _met(group: np.ndarray, ids: np.ndarray, n: np.ndarray, left: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of one shingle, of different groups, whose sets may be similar enough.
+
+    ``left`` is how many shingles a set has from this one on. Of the first shingle that two sets share, both have at
+    least as many as they must share. Rows of the largest group are met by the others only.
+    """
+    part, whole = SIMILAR
+    kinds, kind, sizes = np.unique(group, return_inverse=True, return_counts=True)
+    if len(kinds) < 2:
+        return
+    others = np.flatnonzero(kind != np.argmax(sizes))
+    step = max(1, (1 << 18) // len(ids))
+    for begin in range(0, len(others), step):
+        some = others[begin : begin + step]
+        both = n[some, None] + n[None, :]
+        needed = (part * both + part + whole - 1) // (part + whole)
+        near = (group[some, None] != group[None, :]) & (left[some, None] >= needed) & (left[None, :] >= needed)
+        i, j = np.nonzero(near)
+        if i.size:
+            one, two = ids[some[i]], ids[j]
+            yield np.minimum(one, two), np.maximum(one, two)
+
+
+def joined(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (u, v) of ``members`` (_id, _group) of different groups to confirm, with all that are similar enough."""
+    own = written(members.join(texts.hint("merge"), "_id"), "near-members")
+    common = own.sparkSession.sparkContext.broadcast(_commonness(own))
+    parts = int(own.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, whole = SIMILAR
+        for batch in (some for whole_batch in batches for some in by_bytes(whole_batch, 2, 1 << 21)):
+            firsts, sizes = [], []
+            for text in batch.column(2):
+                own_set = shingles(text.as_buffer())
+                order = np.lexsort((own_set, common.value[own_set >> np.uint64(64 - CELLS)]))
+                n = len(own_set)
+                firsts.append(own_set[order[: n - (part * n + whole - 1) // whole + 1]])
+                sizes.append(n)
+            many = np.array([len(f) for f in firsts])
+            at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            n = np.repeat(np.array(sizes, dtype=np.int64), many)
+            doc = np.repeat(np.arange(len(many)), many)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(_signed(np.concatenate(firsts))), pa.array(batch.column(0).to_numpy()[doc]),
+                    pa.array(batch.column(1).to_numpy()[doc]), pa.array(n.astype(np.int32)), pa.array((n - at).astype(np.int32)),
+                ],
+                names=["shingle", "_id", "_group", "n", "left"],
+            )
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if held and batch.column(0)[batch.num_rows - 1] != held[0].column(0)[0]:
+                whole = pa.Table.from_batches([*held, batch]).combine_chunks().to_batches()[0]
+                keys = whole.column(0).to_numpy()
+                # The last shingle of a batch may go on in the next one.
+                cut = int(np.searchsorted(keys, keys[-1]))
+                yield from _meetings(whole.slice(0, cut))
+                held = [whole.slice(cut)]
+            else:
+                held.append(batch)
+                if len(held) == 1 and batch.column(0)[0] != batch.column(0)[batch.num_rows - 1]:
+                    keys = batch.column(0).to_numpy()
+                    cut = int(np.searchsorted(keys, keys[-1]))
+                    yield from _meetings(batch.slice(0, cut))
+                    held = [batch.slice(cut)]
+        if held:
+            yield from _meetings(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+
+    rows = own.select("_id", "_group", "_text").mapInArrow(prefixes, "shingle long, _id long, _group long, n int, left int")
+    sorted_in = rows.repartition(parts, "shingle").sortWithinPartitions("shingle")
+    return sorted_in.mapInArrow(meet, "u long, v long")
+
+
+def _meetings(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    if not batch.num_rows:
+        return
+    keys, ids, group, n, left = (batch.column(k).to_numpy() for k in range(5))
+    starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    sizes = np.diff(np.append(starts, len(keys)))
+    us, vs, held = [], [], 0
+    for start, size in zip(starts[sizes > 1].tolist(), sizes[sizes > 1].tolist(), strict=True):
+        own = slice(start, start + size)
+        for u, v in _met(group[own], ids[own], n[own].astype(np.int64), left[own].astype(np.int64)):
+            us.append(u)
+            vs.append(v)
+            held += len(u)
+            if held > 100_000:
+                yield _distinct(us, vs)
+                us, vs, held = [], [], 0
+    if us:
+        yield _distinct(us, vs)
+
+
+def _distinct(us: list[np.ndarray], vs: list[np.ndarray]) -> pa.RecordBatch:
+    pairs = np.unique(np.stack((np.concatenate(us), np.concatenate(vs)), axis=1), axis=0)
+    columns = [pa.array(np.ascontiguousarray(pairs[:, k])) for k in (0, 1)]
+    return pa.RecordBatch.from_arrays(columns, names=["u", "v"])
+
+
+# ---- all documents ------------------------------------------------------------------------------------
+
+
 def texts_of(ids: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
     """One row (_id, _text) for each class of ``ids``: the text of the row that stands for it. Written."""
     sought = ids.join(classes.select("_id", "_least", "_hash"), "_id")
@@ -322,9 +457,19 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         pairs = pairs.unionByName(led(large, classes))
     pairs = written(pairs.distinct(), "near-pairs")
     ends = pairs.select(F.col("u").alias("_id")).unionByName(pairs.select(F.col("v").alias("_id"))).distinct()
+    if large is not None:
+        large = written(large.select("_id").distinct(), "near-large")
+        ends = ends.unionByName(large).distinct()
     wanted = texts_of(ends, classes, texts)
     links = written(confirmed(pairs, wanted), "near-links")
     reached = components(links)
+    if large is not None:
+        grouped = large.join(reached.withColumnRenamed("node", "_id"), "_id", "left")
+        members = grouped.select("_id", F.coalesce("component", "_id").alias("_group"))
+        more = written(joined(members, wanted).distinct(), "near-more-pairs")
+        links = written(confirmed(more, wanted), "near-more-links")
+        if not links.isEmpty():
+            reached = components(links.unionByName(reached.select(F.col("node").alias("u"), F.col("component").alias("v"))))
     named = classes.select("_id", "_least", *keys).join(least_ids(reached, classes), "_id", "left").select(
         *keys, F.coalesce("_component", "_least").alias("_component")
     )

@@ -112,6 +112,23 @@ def test_texts_that_share_an_id(spark):
     assert sorted(map(tuple, near_groups(docs).collect()), key=str) == sorted(want, key=str)
 
 
+def test_family_of_a_template(spark):
+    """Hundreds of letters with one core, below the threshold to each other, and pairs of them just above it."""
+    rng = random.Random(8)
+    core = [f"c{i}" for i in range(175)]
+    rows = []
+    for i in range(400):
+        own = [f"x{rng.randrange(10**9)}" for _ in range(26)]
+        rows.append((i, " ".join(core + own)))
+        if i % 5 == 0:
+            kept = 5 if i % 2 else 8
+            rows.append((1000 + i, " ".join(core + own[:kept] + [f"x{rng.randrange(10**9)}" for _ in range(26 - kept)])))
+    want = brute(rows)
+    assert sum(not r[3] for r in want) == 80
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted(map(tuple, near_groups(docs).collect())) == want
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(0, 40)] + [(100, 90), (90, 95), (7, 7), (60, 61), (61, 60)]
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "u long, v long")).collect()}
