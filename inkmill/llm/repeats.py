@@ -5,15 +5,16 @@ the start of the ``gram`` symbols in it whose hash is least (the leftmost of equ
 anchors at equal places, so only the suffixes that start at anchors are sorted, a few per cent of all. What the
 windows of one anchor cover is its context.
 
-* An anchor's row is (lead, context, document, place). ``lead`` begins with the first bytes of the suffix and
+* An anchor's row is (lead, context, document, tag, place). ``lead`` begins with the first bytes of the suffix and
   ends with a hash of its gram; ``context`` is a hash of all its context, and where the anchor lies in it.
-* Splitters drawn from a sample cut the rows into buckets by (lead, context, document, place): a group of any
+* Splitters drawn from a sample cut the rows into buckets by (lead, context, document, tag, place): a group of any
   size is cut as well, so no bucket grows with a hot group. A bucket is sorted by multikey quicksort.
 * Anchors with one context have equal windows. Of anchors with one lead and several contexts, one per context
   goes on as an edge: its windows are compared one by one, as rows of the same kind.
 * The first and last context of each bucket are left open and settled across buckets.
 
-Documents compare by (id, tag), where the tag of 15 bits tells apart different texts that share an id.
+Documents compare by (id, tag). Where different texts share an id, or have none, the tag is the 64-bit hash of the text;
+else it is 0.
 Hashes have 64 bits and are compared only between rows that agree in ``lead`` already.
 """
 
@@ -37,7 +38,6 @@ NO_ID = -(1 << 63)  # stands for a null id and sorts first
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_PLACE = np.int64((1 << 48) - 1)
 _POWERS: list[np.ndarray] = []
 
 
@@ -140,20 +140,21 @@ def multikey_order(keys: list[np.ndarray]) -> np.ndarray:
     return order
 
 
-def _packed(lead: np.ndarray, context: np.ndarray, doc: np.ndarray, place: np.ndarray) -> np.ndarray:
+def _packed(*columns: np.ndarray) -> np.ndarray:
     """Keys as byte strings that sort like the rows."""
     sign = np.uint64(1 << 63)
-    words = np.stack([c.astype(np.int64).view(np.uint64) ^ sign for c in (lead, context, doc, place)], axis=1)
-    return np.ascontiguousarray(words.astype(">u8")).view("S32").ravel()
+    words = np.stack([c.astype(np.int64).view(np.uint64) ^ sign for c in columns], axis=1)
+    return np.ascontiguousarray(words.astype(">u8")).view(f"S{8 * len(columns)}").ravel()
 
 
-ROW = "lead long, context long, doc long, place long"
+COLUMNS = ["lead", "context", "doc", "tag", "place"]
+ROW = ", ".join(f"{c} long" for c in COLUMNS)
 BUCKETED = f"bucket int, {ROW}"
 JUDGED = f"kind int, {ROW}, n long, several boolean"
 COVERED, EDGE, OPEN = 0, 1, 2
 
 
-def _judge_bucket(lead, context, doc, place, everywhere: bool) -> dict[str, np.ndarray]:
+def _judge_bucket(lead, context, doc, tag, place, everywhere: bool) -> dict[str, np.ndarray]:
     """What a sorted bucket tells: covered rows, edges, and the open contexts at its ends.
 
     ``everywhere``: rows are covered if their context occurs at all elsewhere, else only if it does earlier.
@@ -170,7 +171,7 @@ def _judge_bucket(lead, context, doc, place, everywhere: bool) -> dict[str, np.n
         covered = members[variant] > 1
     else:
         first = firsts[variant]
-        covered = (doc != doc[first]) | (place != place[first])
+        covered = (doc != doc[first]) | (tag != tag[first]) | (place != place[first])
     is_open = np.zeros(len(firsts), dtype=bool)
     is_open[[0, -1]] = True
     rows = [np.flatnonzero(covered), firsts[several & ~is_open], firsts[is_open]]
@@ -179,7 +180,7 @@ def _judge_bucket(lead, context, doc, place, everywhere: bool) -> dict[str, np.n
     return {
         "kind": kinds.astype(np.int32),
         "lead": np.where(kinds == COVERED, 0, lead[at]), "context": np.where(kinds == COVERED, 0, context[at]),
-        "doc": doc[at], "place": place[at],
+        "doc": doc[at], "tag": tag[at], "place": place[at],
         "n": members[variant[at]], "several": several[variant[at]],
     }
 
@@ -188,7 +189,7 @@ def bucketed(batch: pa.RecordBatch, cuts) -> pa.RecordBatch:
     """A batch with the bucket of each row, if splitters are given."""
     if cuts is None:
         return batch
-    columns = [batch.column(i).to_numpy() for i in range(4)]
+    columns = [batch.column(i).to_numpy() for i in range(len(COLUMNS))]
     bucket = np.searchsorted(cuts.value, _packed(*columns), side="right").astype(np.int32)
     return pa.RecordBatch.from_arrays([pa.array(bucket), *batch.columns], names=["bucket", *batch.schema.names])
 
@@ -204,10 +205,10 @@ def judged(rows: Callable, sample: DataFrame, share: float, everywhere: bool, na
     if share < 1:
         share /= THINNED
         sample = sample.filter(F.pmod(F.xxhash64("context", "place"), F.lit(THINNED)) == 0)
-    keys = sample.select("lead", "context", "doc", "place").toPandas()
+    keys = sample.select(*COLUMNS).toPandas()
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(least, int(len(keys) / share / ROWS_PER_BUCKET) + 1)
-    packed = np.sort(_packed(*[keys[c].to_numpy(dtype=np.int64) for c in ("lead", "context", "doc", "place")]))
+    packed = np.sort(_packed(*[keys[c].to_numpy(dtype=np.int64) for c in COLUMNS]))
     cuts = packed[np.linspace(0, len(packed), buckets + 1)[1:-1].astype(int)] if len(packed) else packed
     parameter = spark.sparkContext.broadcast(cuts)
 
@@ -218,7 +219,7 @@ def judged(rows: Callable, sample: DataFrame, share: float, everywhere: bool, na
         whole = pa.Table.from_batches(held)
         del held
         bucket = whole.column("bucket").to_numpy()
-        columns = [whole.column(c).to_numpy() for c in ("lead", "context", "doc", "place")]
+        columns = [whole.column(c).to_numpy() for c in COLUMNS]
         del whole
         for own in np.unique(bucket):
             part = columns if (bucket == own).all() else [c[bucket == own] for c in columns]
@@ -234,8 +235,8 @@ def judged(rows: Callable, sample: DataFrame, share: float, everywhere: bool, na
     spread = (
         table.filter(f"kind = {OPEN}")
         .withColumn("total", F.sum("n").over(same))
-        .withColumn("least", F.min(F.struct("doc", "place")).over(same))
-        .withColumn("first", F.struct("doc", "place") == F.col("least"))
+        .withColumn("least", F.min(F.struct("doc", "tag", "place")).over(same))
+        .withColumn("first", F.struct("doc", "tag", "place") == F.col("least"))
         .withColumn("most", F.max("several").over(W.partitionBy("lead")))
         .withColumn("contexts", F.size(F.collect_set("context").over(W.partitionBy("lead"))))
     )
@@ -245,7 +246,7 @@ def judged(rows: Callable, sample: DataFrame, share: float, everywhere: bool, na
         .dropDuplicates(["lead", "context"])
         .withColumn("kind", F.lit(EDGE))
     )
-    columns = ["kind", "lead", "context", "doc", "place"]
+    columns = ["kind", *COLUMNS]
     return table.filter(f"kind <> {OPEN}").select(*columns).unionByName(settled.select(*columns))
 
 
@@ -255,31 +256,34 @@ Sequences = Callable[[list[bytes]], tuple[list[np.ndarray], Callable[[int, np.nd
 
 
 def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``_doc``, ``_tag`` and ``_text`` next to the id."""
+    """``_doc``, ``_tag`` and ``_text`` next to the id.
+
+    The tag is 0 only for ids that surely have one text; an id's texts all have a tag of 0, or their hashes.
+    """
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    return docs.select(
+    texts = docs.select(
         F.col(f"`{id_col}`").alias("_id"),
         F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID)).alias("_doc"),
-        F.pmod(F.xxhash64(text), F.lit(1 << 15)).alias("_tag"),
         text.alias("_text"),
     )
+    hashes = texts.groupBy("_doc").agg(F.min(F.xxhash64("_text")).alias("least"), F.max(F.xxhash64("_text")).alias("most"))
+    marks = bitmap(hashes.filter("least <> most"), F.xxhash64("_doc"), "shared-ids")
+    flagged = with_bit(texts, F.xxhash64("_doc"), marks, "_shared")
+    tag = F.when(F.col("_shared"), F.xxhash64("_text")).otherwise(F.lit(0).cast("long"))
+    return flagged.select("_id", "_doc", tag.alias("_tag"), "_text")
 
 
-def place(tag: np.ndarray, first: np.ndarray, before: np.ndarray, windows: np.ndarray) -> np.ndarray:
-    """Tag, first window, and how many windows there are and lie before the anchor, in one number."""
-    return (tag << 48) | (first << 16) | (before << 8) | windows
+def place(first: np.ndarray, before: np.ndarray, windows: np.ndarray) -> np.ndarray:
+    """First window, and how many windows there are and lie before the anchor, in one number."""
+    return (first << 16) | (before << 8) | windows
 
 
 def first_window(places: Column) -> Column:
-    return F.shiftright(places.bitwiseAND(F.lit((1 << 48) - 1)), 16)
-
-
-def tag_of(places: Column) -> Column:
-    return F.shiftright(places, 48)
+    return F.shiftright(places, 16)
 
 
 def anchor_rows(texts: DataFrame, sequence, width: int, gram: int, cuts=None) -> DataFrame:
-    """Rows (lead, context, doc, place) of all anchors."""
+    """Rows (lead, context, doc, tag, place) of all anchors."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -295,15 +299,13 @@ def anchor_rows(texts: DataFrame, sequence, width: int, gram: int, cuts=None) ->
                 piece = np.searchsorted(starts, at, side="right") - 1
                 lead = (heads[at].astype(np.uint64) << np.uint64(32)) | (grams >> np.uint64(32))
                 context = rolling.between(first, last + width) ^ mixed((at - first + 1).astype(np.uint64))
-                where = place(
-                    tags[number[piece]], first - starts[piece] + begin[piece], at - first, last - first
-                )
+                where = place(first - starts[piece] + begin[piece], at - first, last - first)
                 made = pa.RecordBatch.from_arrays(
                     [
                         pa.array(lead.view(np.int64) ^ np.int64(NO_ID)), pa.array(context.view(np.int64)),
-                        pa.array(docs[number[piece]]), pa.array(where),
+                        pa.array(docs[number[piece]]), pa.array(tags[number[piece]]), pa.array(where),
                     ],
-                    names=["lead", "context", "doc", "place"],
+                    names=COLUMNS,
                 )
                 yield bucketed(made, cuts)
 
@@ -329,10 +331,10 @@ def chunks(data: pa.Array, sequence, width: int):
 
 def edge_windows(texts: DataFrame, edges: DataFrame, sequence, width: int, cuts=None) -> DataFrame:
     """The single windows of edges as rows: the lead stays, the context is the hash of the window."""
-    listed = edges.groupBy(F.col("doc").alias("_doc"), tag_of(F.col("place")).alias("_tag")).agg(
+    listed = edges.groupBy(F.col("doc").alias("_doc"), F.col("tag").alias("_tag")).agg(
         F.collect_list("lead").alias("_leads"), F.collect_list("place").alias("_places")
     )
-    marks = bitmap(edges, F.xxhash64("doc", tag_of(F.col("place"))), "edge-documents")
+    marks = bitmap(edges, F.xxhash64("doc", "tag"), "edge-documents")
     asked = with_bit(texts, F.xxhash64("_doc", "_tag"), marks, "_asked")
     both = asked.filter("_asked").select("_doc", "_tag", F.col("_text").cast("binary").alias("_text")).join(
         listed.hint("merge"), ["_doc", "_tag"]
@@ -348,7 +350,7 @@ def edge_windows(texts: DataFrame, edges: DataFrame, sequence, width: int, cuts=
                 places = batch.column(4)[i].values.to_numpy()
                 order = np.argsort(places)
                 leads, places = leads[order], places[order]
-                first, windows = (places & _PLACE) >> 16, places & 0xFF
+                first, windows = places >> 16, places & 0xFF
                 for some in np.array_split(np.arange(len(places)), len(places) // 5_000 + 1):
                     base = int(first[some].min())
                     top = int((first[some] + windows[some]).max()) + width
@@ -358,7 +360,8 @@ def edge_windows(texts: DataFrame, edges: DataFrame, sequence, width: int, cuts=
                     before = np.repeat(((places[some] >> 8) & 0xFF) + first[some], many) - start
                     hashes = rolling.between(start - base, start - base + width)
                     hashes = (hashes ^ mixed((before + 1).astype(np.uint64))).view(np.int64)
-                    own = [np.repeat(leads[some], many), hashes, np.full(len(start), doc), (tag << 48) | (start << 16)]
+                    same = [np.full(len(start), x, dtype=np.int64) for x in (doc, tag)]
+                    own = [np.repeat(leads[some], many), hashes, *same, start << 16]
                     held.append(own)
                     rows += len(start)
                     if rows > 100_000:
@@ -372,7 +375,7 @@ def edge_windows(texts: DataFrame, edges: DataFrame, sequence, width: int, cuts=
 
 def _rows(held: list[list[np.ndarray]]) -> pa.RecordBatch:
     columns = [pa.array(np.concatenate(c)) for c in zip(*held, strict=True)]
-    return pa.RecordBatch.from_arrays(columns, names=["lead", "context", "doc", "place"])
+    return pa.RecordBatch.from_arrays(columns, names=COLUMNS)
 
 
 def by_bytes(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
@@ -413,7 +416,7 @@ def repeated(
     place_ = F.col("place")
     return covered.select(
         F.col("doc").alias("_doc"),
-        tag_of(place_).alias("_tag"),
+        F.col("tag").alias("_tag"),
         first_window(place_).alias("first"),
         (first_window(place_) + place_.bitwiseAND(F.lit(0xFF))).alias("last"),
     )

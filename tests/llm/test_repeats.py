@@ -127,6 +127,28 @@ def test_rows_that_share_an_id(spark):
     assert got[3:] == [(2, 0, 0), (2, size, size)]
 
 
+def test_thousands_of_texts_without_an_id(spark):
+    """Different texts without an id, or with the same one, are documents of their own."""
+    rng = random.Random(11)
+    words = ["".join(rng.choices("abcdef", k=6)) for _ in range(3000)]
+    passages = [" ".join(rng.choices(words, k=40)) for _ in range(40)]
+    texts = []
+    for _ in range(2500):
+        text = rng.choices(words, k=rng.randint(1, 40))
+        if rng.random() < 0.3:
+            text.insert(rng.randrange(len(text)), rng.choice(passages))
+        texts.append(" ".join(text))
+    rows = [(None if i % 5 else 7, text) for i, text in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    hashed = docs.select("doc_id", F.xxhash64("text"), "text").collect()
+    ordered = sorted(hashed, key=lambda r: (r[0] is not None, r[1]))
+    want = [(r[0], *found[1:]) for r, found in zip(ordered, brute_bytes([(k, r[2]) for k, r in enumerate(ordered)], 100).values())]
+    got = without_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    got = without_phrases(docs).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256))
+    assert sorted(map(tuple, got.collect()), key=str) == brute_words(rows, 35)
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert without_repeats(docs).count() == 0
