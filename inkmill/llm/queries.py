@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from inkmill.llm.common import table
 from inkmill.llm.decontam import leaked
+from inkmill.llm.dialogue import damaged, repair
 from inkmill.llm.exact import exact_groups
 from inkmill.llm.extract import main_texts
 from inkmill.llm.mixing import by_source, mix, word_count
@@ -184,3 +185,65 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
     return main_texts(table(spark, sf_dir, "pages"))
+
+
+# CRC-32 as a table of 256 values worked out by its rule: eight shifts of the reversed polynomial.
+_CRC = """
+steps AS (SELECT i, 0 AS k, i::BIGINT AS c FROM range(256) t(i) UNION ALL
+          SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM steps WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS t FROM steps WHERE k = 8)"""
+
+
+def sql_crc32(codes: str) -> str:
+    """CRC-32 of a list of byte values, beside the table ``crc``."""
+    return f"xor(list_reduce(list_prepend(4294967295, {codes}), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+@query(
+    "op11_conversation_repair",
+    rf"""
+WITH RECURSIVE {_CRC},
+given AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+            coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+kinds AS (SELECT given.*, {sql_crc32("list_transform(range(1, length(k) + 1), lambda j: ascii(k[j])::BIGINT)")} % 20 AS kind FROM given, crc),
+hurt AS (SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role,
+           CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+           unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM kinds),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+             left(role, 1) AS x, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS trimmed FROM hurt),
+judged AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again, trimmed = '' AS blank, right(trimmed, 1) NOT IN ('.', '!', '?') AS cut,
+             lag(x) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM placed),
+rows_ AS (SELECT *, NOT (blank OR again) AS stays FROM judged),
+told AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+           count(*) FILTER (blank) AS blank, count(*) FILTER (again AND NOT blank) AS duplicate,
+           count(*) FILTER (cut AND stays) AS truncated,
+           count(*) FILTER (before IS NOT NULL AND before || x NOT IN ('su', 'ua', 'au')) AS illegal FROM rows_ GROUP BY conv_id),
+-- What may be put in before the next row: from each state to the next ones, with what is written.
+puts(q, q2, cost, audit, lines) AS (VALUES ('-', '-', 0, '', []::VARCHAR[]), ('s', 's', 0, '', []), ('u', 'u', 0, '', []), ('a', 'a', 0, '', []),
+  ('-', 'u', 2, 'I', ['user:']), ('s', 'u', 2, 'I', ['user:']), ('a', 'u', 2, 'I', ['user:']), ('u', 'a', 2, 'I', ['assistant:']),
+  ('-', 'a', 4, 'II', ['user:', 'assistant:']), ('s', 'a', 4, 'II', ['user:', 'assistant:'])),
+edits(q, x, e, cost, q2, name) AS (VALUES
+  ('-', 's', 'K', 0, 's', NULL), ('-', 'u', 'K', 0, 'u', NULL), ('s', 'u', 'K', 0, 'u', NULL), ('a', 'u', 'K', 0, 'u', NULL),
+  ('u', 'a', 'K', 0, 'a', NULL), ('-', NULL, 'R', 2, 'u', 'user'), ('s', NULL, 'R', 2, 'u', 'user'), ('a', NULL, 'R', 2, 'u', 'user'),
+  ('u', NULL, 'R', 2, 'a', 'assistant'), ('-', NULL, 'D', 3, '-', NULL), ('s', NULL, 'D', 3, 's', NULL), ('u', NULL, 'D', 3, 'u', NULL),
+  ('a', NULL, 'D', 3, 'a', NULL)),
+items AS (
+  SELECT conv_id, n, 0::BIGINT AS i, p.q2 AS q, {{'cost': p.cost::BIGINT, 'audit': p.audit, 'lines': p.lines}} AS v
+  FROM told, puts p WHERE p.q = '-'
+  UNION ALL
+  SELECT t.conv_id, t.n, t.i + 1, p.q2, min({{'cost': t.v.cost + e.cost + p.cost + CASE WHEN r.cut AND e.e <> 'D' THEN 1 ELSE 0 END,
+      'audit': t.v.audit || e.e || p.audit,
+      'lines': list_concat(t.v.lines, CASE WHEN e.e = 'D' THEN [] ELSE [coalesce(e.name, r.role) || ':' || r.text] END, p.lines)}})
+  FROM items t JOIN rows_ r ON r.conv_id IS NOT DISTINCT FROM t.conv_id AND r.i = t.i + 1
+    JOIN edits e ON e.q = t.q AND (e.x IS NULL OR e.x = r.x) AND (r.stays OR e.e = 'D') JOIN puts p ON p.q = e.q2
+  GROUP BY t.conv_id, t.n, t.i, p.q2),
+best AS (SELECT conv_id, min(v) AS v FROM items WHERE i = n AND q IN ('-', 'a') GROUP BY conv_id),
+all_ AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT a.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(v.cost, 0)::BIGINT AS cost,
+  coalesce(v.audit, '') AS audit, sha256(coalesce(array_to_string(v.lines, chr(10)), '')) AS repaired_sha256
+FROM all_ a LEFT JOIN told ON told.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM a.conv_id""",
+)
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation with its faults and its cheapest repair after damage."""
+    return repair(damaged(table(spark, sf_dir, "conversations")))
