@@ -161,8 +161,8 @@ class Block:
         self.rows.append((role, initial, text, stays, int(cut), copies - stays))
         self.bytes += len(text)
 
-    def full(self) -> bool:
-        return len(self.rows) >= BLOCK or self.bytes >= BLOCK_BYTES
+    def full(self, most: int) -> bool:
+        return len(self.rows) >= most or self.bytes >= BLOCK_BYTES
 
 
 class Conversation:
@@ -234,7 +234,7 @@ def _batch(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict(out)
 
 
-def _ranges(kind: pa.DataType):
+def _ranges(kind: pa.DataType, most: int):
     """Repairs the conversations of a sorted range; those that may go on elsewhere come out as blocks."""
 
     def repair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,7 +268,7 @@ def _ranges(kind: pa.DataType):
                             made.append((own, part, 0, whole.result(), None))
                     # The first conversation of a range may have begun in the one before.
                     own, blocks, passing, any_row = conv, [Block()], not any_row, True
-                if blocks[-1].full():
+                if blocks[-1].full(most):
                     if len(blocks) >= HELD:
                         passing = True
                     if passing:
@@ -335,7 +335,7 @@ def damaged(conversations: DataFrame) -> DataFrame:
     )
 
 
-def repair(rows: DataFrame) -> DataFrame:
+def repair(rows: DataFrame, block: int = BLOCK) -> DataFrame:
     """Counts, cost, audit and digest of each conversation of ``rows(conv_id, turn, role, text, copies)``.
 
     Rows of no copies only name their conversation.
@@ -376,7 +376,7 @@ def repair(rows: DataFrame) -> DataFrame:
     conv = kinds["conv_id"]
     kind = to_arrow_type(conv)
     schema = f"conv_id {conv.simpleString()}, part int, seq long, {_RESULT}, {_BLOCK}"
-    first = written(ranged.mapInArrow(_ranges(kind), schema), "dialogue-ranges")
+    first = written(ranged.mapInArrow(_ranges(kind, block), schema), "dialogue-ranges")
     open_ = first.filter("_rows IS NOT NULL")
     met = open_.repartition("conv_id").sortWithinPartitions("conv_id", "part", "seq").mapInArrow(_meet(kind), schema)
     return first.filter("_rows IS NULL").select("conv_id", *RESULT).unionByName(met.select("conv_id", *RESULT))

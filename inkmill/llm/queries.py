@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkmill.llm.collocations import collocations
 from inkmill.llm.common import table
 from inkmill.llm.decontam import leaked
 from inkmill.llm.dialogue import damaged, repair
@@ -18,6 +19,7 @@ from inkmill.llm.phrases import without_phrases
 from inkmill.llm.quality import classified
 from inkmill.llm.suffixes import without_repeats
 from inkmill.llm.tokens import prefix_counts
+from inkmill.llm.toxicity import scored
 from inkmill.llm.warc import archive_folder, read_archives, write_archives
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -247,3 +249,40 @@ FROM all_ a LEFT JOIN told ON told.conv_id IS NOT DISTINCT FROM a.conv_id LEFT J
 def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation with its faults and its cheapest repair after damage."""
     return repair(damaged(table(spark, sf_dir, "conversations")))
+
+
+@query(
+    "op12_collocations",
+    r"""
+WITH t AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+             'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+pieces AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS p FROM t),
+words AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS ws FROM pieces),
+totals AS (SELECT lang, sum(len(ws))::HUGEINT AS n FROM words GROUP BY lang),
+grams AS (SELECT lang, m, array_to_string(ws[i:i + m - 1], ' ') AS phrase
+          FROM (SELECT lang, ws, m, unnest(range(1, len(ws) - m + 2)) AS i FROM words, range(1, 6) s(m) WHERE len(ws) >= m)),
+f AS (SELECT lang, m, phrase, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 100),
+-- A longer phrase never occurs more often, so the counts have to be equal.
+hidden AS (SELECT DISTINCT a.lang, a.phrase FROM f a JOIN f b ON a.lang = b.lang AND a.f = b.f AND a.m > 1 AND b.m > a.m
+           WHERE contains(' ' || b.phrase || ' ', ' ' || a.phrase || ' ')),
+candidates AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f ANTI JOIN hidden USING (lang, phrase) WHERE m > 1),
+cuts AS (SELECT c.lang, c.phrase, c.a, k, array_to_string(ws[:k], ' ') AS x, array_to_string(ws[k + 1:], ' ') AS y
+         FROM candidates c, range(1, 5) s(k) WHERE k < m),
+scored AS (SELECT c.lang, c.phrase, c.a, k, l.f AS l, r.f AS r, n,
+             (1000::HUGEINT * c.a * n) // (l.f::HUGEINT * r.f) AS score
+           FROM cuts c JOIN f l ON l.lang = c.lang AND l.phrase = x JOIN f r ON r.lang = c.lang AND r.phrase = y
+             JOIN totals t ON t.lang = c.lang),
+best AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS nth FROM scored),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best WHERE nth = 1)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM ranked WHERE rank <= 2000""",
+)
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best collocations of each language."""
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+@query("op13_toxicity")
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How likely every document is toxic, from its text alone."""
+    return scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -103,10 +103,9 @@ def test_brute_force_and_cut_conversations(spark, monkeypatch, block):
     rows = some(rng, [None, *range(60)], 4)
     rows += [(100, i % 9, rng.choice(["user", "assistant"]), f"text {i}.", 1) for i in range(5)]
     want = brute(rows)
-    monkeypatch.setattr(dl, "BLOCK", block)
     monkeypatch.setattr(dl, "HELD", 2)
     df = spark.createDataFrame(rows, SCHEMA).repartition(3)
-    assert results(dl.repair(df)) == want
+    assert results(dl.repair(df, block)) == want
 
 
 def test_one_conversation_holds_all_rows(spark):
