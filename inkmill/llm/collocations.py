@@ -10,8 +10,8 @@ extension to the right keeps. The same rows keyed by their last m - 1 words give
   size; bits that two phrases share only let more rows through, and counts are exact.
 * A stripe may have as many next words as there are words. The stripe of no words, and those of prefixes that are marked
   as hot, are dealt out over ``SHARDS`` by the next word; marks are bits too, alike in all tasks.
-* Tasks sum counters up to ``HELD`` entries before they put them out. Merging streams over sorted prefixes and holds
-  one stripe, or one shard of it.
+* Stripes lie in buckets by a hash of prefix and shard, one for each ``BUCKET_BYTES`` of text; a row has those of one bucket.
+  Tasks sum counters up to ``HELD`` entries before they put them out. Merging streams over sorted buckets and holds one.
 
 Null texts are empty, null languages ``und``. Empty texts have no words. Very long texts are read whole, in one go each.
 Repeated rows count each time. Equal scores are ordered by count, then by phrase as bytes. Other columns are not read.
@@ -35,7 +35,8 @@ from inkmill.llm.repeats import by_bytes, mixed
 LONGEST, AT_LEAST, FIRST = 5, 100, 2_000
 SHARDS = 64
 HOT = 100_000  # how often a prefix occurs whose stripe is dealt out
-HELD = 1_500_000  # entries that a task sums up before it puts them out
+HELD = 1_000_000  # entries that a task sums up before it puts them out
+BUCKET_BYTES = 1 << 21  # of text, to one bucket of stripes
 TEXT_BYTES = 1 << 22  # texts whose words are counted at once
 SALT = 64  # parts in which the first of a language are sought before they meet
 
@@ -91,13 +92,12 @@ def phrase_hash(lang: str, phrase: bytes) -> int:
     return int(key.view(np.int64)[0])
 
 
-STRIPE = "lang string, prefix binary, shard int, nexts array<binary>, counts array<long>"
-_STRIPE_NAMES = ["lang", "prefix", "shard", "nexts", "counts"]
+STRIPES = "bucket int, stripes array<struct<lang:string,prefix:binary,shard:int,nexts:array<binary>,counts:array<long>>>"
 MERGED = "lang string, prefix binary, next binary, n long, hash long"
-_ENTRY = ["lang", "prefix", "shard", "next"]
+_ENTRY = ["bucket", "lang", "prefix", "shard", "next"]
 
 
-def _entries(lang: str, texts: list[bytes], m: int, marks: Bits | None, hot: Bits | None) -> pa.Table:
+def _entries(lang: str, texts: list[bytes], m: int, buckets: int, marks: Bits | None, hot: Bits | None) -> pa.Table:
     """Counted (prefix, next) of phrases of ``m`` words; a null next stands for what is not followed up."""
     tokens = pieces_of(_BREAK.join(texts))
     coded = pa.array(tokens, pa.binary()).dictionary_encode()
@@ -112,7 +112,8 @@ def _entries(lang: str, texts: list[bytes], m: int, marks: Bits | None, hot: Bit
         n = np.bincount(ids[real], minlength=len(listed))
         at = np.flatnonzero(n)
         shard = (hashes[at] % np.uint64(SHARDS)).astype(np.int32)
-        return _table(lang, pa.array([b""] * len(at), pa.binary()), shard, words.take(pa.array(at)), n[at])
+        key = np.full(len(at), _seed(lang))
+        return _table(buckets, lang, key, pa.array([b""] * len(at), pa.binary()), shard, words.take(pa.array(at)), n[at])
     size = len(ids) - (m - 2)  # places where a prefix of m - 1 words may begin
     if size <= 0:
         return _none()
@@ -143,20 +144,23 @@ def _entries(lang: str, texts: list[bytes], m: int, marks: Bits | None, hot: Bit
     next_ = following[first]
     nexts = words.take(pa.array(np.where(next_ < 0, 0, next_), mask=next_ < 0))
     dealt = hashes[np.maximum(next_, 0)] % np.uint64(SHARDS)
-    shard = np.where((next_ >= 0) & hot.has(keys[starts[first]]), dealt, 0).astype(np.int32)
-    return _table(lang, text, shard, nexts, n)
+    own = keys[starts[first]]
+    shard = np.where((next_ >= 0) & hot.has(own), dealt, 0).astype(np.int32)
+    return _table(buckets, lang, own, text, shard, nexts, n)
 
 
-def _table(lang, prefix, shard, nexts, n) -> pa.Table:
+def _table(buckets, lang, keys, prefix, shard, nexts, n) -> pa.Table:
+    bucket = (mixed(keys + shard.astype(np.uint64)) % np.uint64(buckets)).astype(np.int32)
     langs = pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(n), np.int32)), pa.array([lang])).cast(pa.string())
     return pa.table(
-        [langs, prefix.cast(pa.binary()), pa.array(shard, pa.int32()), nexts.cast(pa.binary()), pa.array(n, pa.int64())],
+        [pa.array(bucket), langs, prefix.cast(pa.binary()), pa.array(shard, pa.int32()), nexts.cast(pa.binary()), pa.array(n, pa.int64())],
         names=[*_ENTRY, "n"],
     )
 
 
 def _none() -> pa.Table:
-    return _table("", pa.array([], pa.binary()), np.zeros(0, np.int32), pa.array([], pa.binary()), np.zeros(0, np.int64))
+    none = pa.array([], pa.binary())
+    return _table(1, "", np.zeros(0, np.uint64), none, np.zeros(0, np.int32), none, np.zeros(0, np.int64))
 
 
 def _summed(tables: list[pa.Table]) -> pa.Table:
@@ -166,21 +170,28 @@ def _summed(tables: list[pa.Table]) -> pa.Table:
 
 
 def _stripes(entries: pa.Table) -> Iterator[pa.RecordBatch]:
-    """Entries as stripes, one row for each prefix and shard."""
+    """Entries as stripes, those of a bucket in one row."""
     if not entries.num_rows:
         return
-    whole = entries.sort_by([(c, "ascending") for c in _ENTRY[:3]]).combine_chunks()
-    columns = [whole.column(c).combine_chunks() for c in [*_ENTRY, "n"]]
-    columns = [c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in columns]
-    begin = np.flatnonzero(_changes(columns[:3]))
+    whole = entries.sort_by([(c, "ascending") for c in _ENTRY[:4]]).combine_chunks()
+    columns = [_plain(whole.column(c)) for c in [*_ENTRY, "n"]]
+    begin = np.flatnonzero(_changes(columns[:4]))
     offsets = pa.array(np.append(begin, len(columns[0])), pa.int32())
-    keys = [c.take(pa.array(begin)) for c in columns[:3]]
-    made = pa.RecordBatch.from_arrays(
-        [*keys, pa.ListArray.from_arrays(offsets, columns[3]), pa.ListArray.from_arrays(offsets, columns[4])],
-        names=_STRIPE_NAMES,
+    keys = [c.take(pa.array(begin)) for c in columns[:4]]
+    made = pa.StructArray.from_arrays(
+        [*keys[1:], pa.ListArray.from_arrays(offsets, columns[4]), pa.ListArray.from_arrays(offsets, columns[5])],
+        names=["lang", "prefix", "shard", "nexts", "counts"],
     )
-    for i in range(0, made.num_rows, 50_000):
-        yield made.slice(i, 50_000)
+    rows = np.flatnonzero(_changes(keys[:1]))
+    listed = pa.ListArray.from_arrays(pa.array(np.append(rows, len(made)), pa.int32()), made)
+    batch = pa.RecordBatch.from_arrays([keys[0].take(pa.array(rows)), listed], names=["bucket", "stripes"])
+    for i in range(0, batch.num_rows, 500):
+        yield batch.slice(i, 500)
+
+
+def _plain(c: pa.ChunkedArray) -> pa.Array:
+    c = c.combine_chunks()
+    return c.chunk(0) if isinstance(c, pa.ChunkedArray) else c
 
 
 def _changes(columns: list[pa.Array]) -> np.ndarray:
@@ -194,7 +205,7 @@ def _changes(columns: list[pa.Array]) -> np.ndarray:
     return new
 
 
-def stripes(texts: DataFrame, m: int, marks=None, hot=None) -> DataFrame:
+def stripes(texts: DataFrame, m: int, buckets: int, marks=None, hot=None) -> DataFrame:
     """Stripes of all prefixes of ``m - 1`` words that may be frequent, summed up in each task."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,7 +216,7 @@ def stripes(texts: DataFrame, m: int, marks=None, hot=None) -> DataFrame:
         for batch in (part for whole in batches for part in by_bytes(whole, 1, TEXT_BYTES)):
             langs, data = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for lang in sorted(set(langs)):
-                made = _entries(lang, [t for x, t in zip(langs, data, strict=True) if x == lang], m, own, warm)
+                made = _entries(lang, [t for x, t in zip(langs, data, strict=True) if x == lang], m, buckets, own, warm)
                 held.append(made)
                 rows += made.num_rows
             if rows > 2 * summed + HELD // 2:
@@ -217,7 +228,7 @@ def stripes(texts: DataFrame, m: int, marks=None, hot=None) -> DataFrame:
         if held:
             yield from _stripes(_summed(held))
 
-    return texts.mapInArrow(count, STRIPE)
+    return texts.mapInArrow(count, STRIPES)
 
 
 def merged(found: DataFrame, at_least: int) -> DataFrame:
@@ -252,39 +263,32 @@ def merged(found: DataFrame, at_least: int) -> DataFrame:
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
         rows = summed = 0
+        own = None
         for batch in batches:
-            for part in (batch.slice(i, 2_000) for i in range(0, batch.num_rows, 2_000)):
-                flat = _flat(part)
-                # Whatever stands before the last stripe that has begun is complete.
-                begun = np.flatnonzero(_changes([flat.column(c).combine_chunks() for c in _ENTRY[:3]]))
-                if held and rows and not _same(held[-1], flat):
+            for i, bucket in enumerate(batch.column(0).to_pylist()):
+                if held and bucket != own:
                     yield from close(pa.concat_tables(held))
                     held, rows, summed = [], 0, 0
-                if len(begun) > 1:
-                    yield from close(pa.concat_tables([*held, flat.slice(0, int(begun[-1]))]))
-                    held, rows, summed, flat = [], 0, 0, flat.slice(int(begun[-1]))
-                held.append(flat)
-                rows += flat.num_rows
-                if rows > 2 * summed + HELD // 4:
+                own = bucket
+                held.append(_flat(batch.slice(i, 1)))
+                rows += held[-1].num_rows
+                if rows > 2 * summed + HELD // 8:
                     held = [_summed(held)]
                     rows = summed = held[0].num_rows
-        if rows:
+        if held:
             yield from close(pa.concat_tables(held))
 
-    dealt = found.repartition("lang", "prefix", "shard").sortWithinPartitions("lang", "prefix", "shard")
-    return dealt.mapInArrow(merge, MERGED)
-
-
-def _flat(stripes_: pa.RecordBatch) -> pa.Table:
-    nexts = stripes_.column(3)
-    at = pa.array(np.repeat(np.arange(stripes_.num_rows), pc.list_value_length(nexts).to_numpy(zero_copy_only=False)))
-    keys = [stripes_.column(i).take(at) for i in range(3)]
-    return pa.table([*keys, nexts.flatten(), stripes_.column(4).flatten()], names=[*_ENTRY, "n"])
+    return found.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(merge, MERGED)
 
 
-def _same(before: pa.Table, after: pa.Table) -> bool:
-    """Whether two tables belong to one stripe."""
-    return all(before.column(c)[-1] == after.column(c)[0] for c in _ENTRY[:3])
+def _flat(row: pa.RecordBatch) -> pa.Table:
+    """The entries of a row's stripes."""
+    listed = row.column(1).flatten()
+    lang, prefix, shard, nexts, counts = listed.flatten()
+    at = pa.array(np.repeat(np.arange(len(listed)), pc.list_value_length(nexts).to_numpy(zero_copy_only=False)))
+    keys = [c.take(at) for c in (lang, prefix, shard)]
+    bucket = pa.array(np.full(len(at), row.column(0)[0].as_py(), dtype=np.int32))
+    return pa.table([bucket, *keys, nexts.flatten(), counts.flatten()], names=[*_ENTRY, "n"])
 
 
 def _spread(spark: SparkSession, rows: DataFrame, name: str):
@@ -299,12 +303,14 @@ def phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", at_
     spark = docs.sparkSession
     texts = docs.select(
         F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")).alias("lang"),
-        text_or_empty(f"`{text_col}`").cast("binary").alias("_text"),
+        text_or_empty(text_col).cast("binary").alias("_text"),
     )
+    size = texts.agg(F.sum(F.length("_text")).alias("n")).first().n or 0
+    buckets = size // BUCKET_BYTES + 1
     levels = []
     marks = warm = None
     for m in range(1, longest + 1):
-        level = written(merged(stripes(texts, m, marks, warm), at_least), f"collocations-{m}")
+        level = written(merged(stripes(texts, m, buckets, marks, warm), at_least), f"collocations-{m}")
         levels.append(level.withColumn("words", F.lit(m)))
         often = level.filter("hash IS NOT NULL")
         if m < longest:

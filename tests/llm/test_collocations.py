@@ -56,7 +56,7 @@ def corpus(rng, n, words):
 EDGES = [("", "en"), (None, "en"), ("...", "fr"), ("a b", None), ("A B c É é", "en"), ("x\x00y x\x00y", "en"), (" \t ", "fr")]
 
 
-@pytest.mark.parametrize("settings", [{}, {"HELD": 50, "SHARDS": 3, "TEXT_BYTES": 300}])
+@pytest.mark.parametrize("settings", [{}, {"HELD": 50, "SHARDS": 3, "TEXT_BYTES": 300, "BUCKET_BYTES": 100}])
 def test_brute_force(spark, monkeypatch, settings):
     """Whole results, also where tasks put out their counters again and again and all stripes are dealt out."""
     for name, value in settings.items():
@@ -90,7 +90,8 @@ def test_hot_stripe_is_dealt_out(spark):
     docs = spark.createDataFrame([(" ".join(f"the w{i}" for i in range(5000)) + " ", "en")] * 3, "text string, lang string")
     hot = spark.sparkContext.broadcast(b"\xff" * (co._BITS // 8))
     texts = docs.repartition(1).selectExpr("lang", "cast(text AS binary) AS _text")
-    rows = co.stripes(texts, 2, hot, hot).select("prefix", "shard", "nexts").collect()
+    rows = co.stripes(texts, 2, 100, hot, hot).selectExpr("bucket", "inline(stripes)").collect()
+    assert len({r.bucket for r in rows}) > 20
     sizes = [len(r.nexts) for r in rows if bytes(r.prefix) == b"the"]
     assert len(sizes) == co.SHARDS and max(sizes) < 5 * 5000 / co.SHARDS
 
