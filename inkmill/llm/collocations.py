@@ -92,7 +92,8 @@ def phrase_hash(lang: str, phrase: bytes) -> int:
     return int(key.view(np.int64)[0])
 
 
-STRIPES = "bucket int, stripes array<struct<lang:string,prefix:binary,shard:int,nexts:array<binary>,counts:array<long>>>"
+STRIPES = "bucket int, stripes binary"
+_PACKED = pa.ipc.IpcWriteOptions(compression="zstd")
 MERGED = "lang string, prefix binary, next binary, n long, hash long"
 _ENTRY = ["bucket", "lang", "prefix", "shard", "next"]
 
@@ -170,23 +171,26 @@ def _summed(tables: list[pa.Table]) -> pa.Table:
 
 
 def _stripes(entries: pa.Table) -> Iterator[pa.RecordBatch]:
-    """Entries as stripes, those of a bucket in one row."""
+    """Entries as stripes, in order of their prefixes; those of a bucket are one packed block."""
     if not entries.num_rows:
         return
     whole = entries.sort_by([(c, "ascending") for c in _ENTRY[:4]]).combine_chunks()
-    columns = [_plain(whole.column(c)) for c in [*_ENTRY, "n"]]
-    begin = np.flatnonzero(_changes(columns[:4]))
-    offsets = pa.array(np.append(begin, len(columns[0])), pa.int32())
-    keys = [c.take(pa.array(begin)) for c in columns[:4]]
-    made = pa.StructArray.from_arrays(
-        [*keys[1:], pa.ListArray.from_arrays(offsets, columns[4]), pa.ListArray.from_arrays(offsets, columns[5])],
-        names=["lang", "prefix", "shard", "nexts", "counts"],
-    )
-    rows = np.flatnonzero(_changes(keys[:1]))
-    listed = pa.ListArray.from_arrays(pa.array(np.append(rows, len(made)), pa.int32()), made)
-    batch = pa.RecordBatch.from_arrays([keys[0].take(pa.array(rows)), listed], names=["bucket", "stripes"])
-    for i in range(0, batch.num_rows, 500):
-        yield batch.slice(i, 500)
+    bucket = _plain(whole.column(0))
+    begin = np.flatnonzero(_changes([bucket]))
+    ends = np.append(begin[1:], len(bucket))
+    whole = whole.drop_columns(["bucket"])
+    for some in np.array_split(np.arange(len(begin)), len(begin) // 200 + 1):
+        blocks = [_block(whole.slice(int(begin[i]), int(ends[i] - begin[i]))) for i in some]
+        yield pa.RecordBatch.from_arrays(
+            [bucket.take(pa.array(begin[some])), pa.array(blocks, pa.binary())], names=["bucket", "stripes"]
+        )
+
+
+def _block(entries: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, entries.schema, options=_PACKED) as out:
+        out.write_table(entries)
+    return sink.getvalue().to_pybytes()
 
 
 def _plain(c: pa.ChunkedArray) -> pa.Array:
@@ -270,7 +274,7 @@ def merged(found: DataFrame, at_least: int) -> DataFrame:
                     yield from close(pa.concat_tables(held))
                     held, rows, summed = [], 0, 0
                 own = bucket
-                held.append(_flat(batch.slice(i, 1)))
+                held.append(unpacked(bucket, batch.column(1)[i]))
                 rows += held[-1].num_rows
                 if rows > 2 * summed + HELD // 8:
                     held = [_summed(held)]
@@ -281,14 +285,10 @@ def merged(found: DataFrame, at_least: int) -> DataFrame:
     return found.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(merge, MERGED)
 
 
-def _flat(row: pa.RecordBatch) -> pa.Table:
-    """The entries of a row's stripes."""
-    listed = row.column(1).flatten()
-    lang, prefix, shard, nexts, counts = listed.flatten()
-    at = pa.array(np.repeat(np.arange(len(listed)), pc.list_value_length(nexts).to_numpy(zero_copy_only=False)))
-    keys = [c.take(at) for c in (lang, prefix, shard)]
-    bucket = pa.array(np.full(len(at), row.column(0)[0].as_py(), dtype=np.int32))
-    return pa.table([bucket, *keys, nexts.flatten(), counts.flatten()], names=[*_ENTRY, "n"])
+def unpacked(bucket: int, block: pa.Scalar) -> pa.Table:
+    """The entries of a bucket's stripes."""
+    entries = pa.ipc.open_stream(block.as_buffer()).read_all()
+    return entries.add_column(0, "bucket", pa.array(np.full(entries.num_rows, bucket, dtype=np.int32)))
 
 
 def _spread(spark: SparkSession, rows: DataFrame, name: str):

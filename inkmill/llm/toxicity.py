@@ -21,16 +21,18 @@ Other columns are not read. An empty table gives no rows.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cache
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from zlib import crc32
 
-from inkmill.llm.common import LOWER, UPPER, bitmap, lookup, with_bit, written
+from inkmill.llm.common import bitmap, lookup, with_bit, written
 from inkmill.llm.quality import logistic
 from inkmill.llm.repeats import by_bytes
 
@@ -39,13 +41,14 @@ CELLS = 1 << 22
 MOST = 50_000  # cells that a model keeps
 SAMPLE = 8_000  # labelled documents that the curve is fitted on, at most
 EVIDENCE = 18.0  # how many nats a cell has to tell, so that none of some million cells does by chance
-PREFIXES = (4, 5, 6, 8)  # beginnings of words that are cells, next to whole words
-KNOWN_WORDS = 200_000  # words a worker remembers
+PREFIXES = (4, 5, 6, 8)  # bytes of beginnings of words that are cells, next to whole words
+KNOWN_WORDS = 600_000  # words a worker remembers
 
 # ---- the character model ------------------------------------------------------------------------
 
 SYMBOLS, ORDER = 32, 4
 GRAMS = SYMBOLS**ORDER
+_CONTEXTS = SYMBOLS ** (ORDER - 1)
 BREAK, DIGIT, SIGN, HIGH = 0, 27, 28, 29
 _KIND = np.full(256, SIGN, dtype=np.int64)
 _KIND[[0x20, 9, 10, 11, 12, 13]] = BREAK
@@ -127,66 +130,66 @@ def lattice(token: str) -> list[list[Arc]]:
     return arcs
 
 
-def _codes(text: str) -> list[int]:
-    return symbols(text.encode()).tolist()
+@cache
+def _codes(letters: str) -> tuple[int, ...]:
+    return tuple(symbols(letters.encode()).tolist())
 
 
-def decode(token: str, costs: np.ndarray) -> str:
+def decode(token: str, costs) -> str:
     """The likeliest text behind a token, by Viterbi over places and the last three symbols; ties go to the least text."""
     best: list[dict[int, tuple[float, str]]] = [{0: (0.0, "")}] + [{} for _ in token]
     for i, arcs in enumerate(lattice(token)):
+        coded = [(best[end], letters, price, _codes(letters)) for end, letters, price in arcs]
         for context, (cost, text) in best[i].items():
-            for end, letters, price in arcs:
+            for ends, letters, price, steps in coded:
                 c, state = cost + price, context
-                for s in _codes(letters):
-                    c += float(costs[state * SYMBOLS + s])
-                    state = (state * SYMBOLS + s) % SYMBOLS ** (ORDER - 1)
-                made = (c, text + letters)
-                if state not in best[end] or made < best[end][state]:
-                    best[end][state] = made
-    ends = [(cost + float(costs[state * SYMBOLS + BREAK]), text) for state, (cost, text) in best[-1].items()]
-    return min(ends)[1]
+                for s in steps:
+                    c += costs[state * SYMBOLS + s]
+                    state = (state * SYMBOLS + s) % _CONTEXTS
+                held = ends.get(state)
+                if held is None or c < held[0] or (c == held[0] and text + letters < held[1]):
+                    ends[state] = (c, text + letters)
+    return min((cost + costs[state * SYMBOLS + BREAK], text) for state, (cost, text) in best[-1].items())[1]
 
 
 #: A trace of the channel: three single characters in a row with blanks between, a letter next to a sign or digit, or a run of three.
 _SPACED = r"(?<![^\s])\S(?:[ ]\S){2,}(?![^\s])"
-_MIXED = r"[^\W\d_]+[0-9@$!|+(<€£¡*#%._~`/\\-]+[^\W_]|[0-9@$!|+(<€£¡][^\W\d_]|[^\W\d_]*([^\W\d_])\1\1"
+_MIXED = r"[^\W\d_][0-9@$!|+(<€£¡*#%._~`/\\-]+[^\W_]|[0-9@$!|+(<€£¡][^\W\d_]|([^\W\d_])\1\1"
 _TOKEN = re.compile(_SPACED + r"|\S+")
+_RUN = re.compile(_SPACED)
+_MAY_RUN = re.compile(r" \S \S(?!\S)")
 _TRACE = re.compile(_MIXED)
-_QUICK = re.compile(r"[0-9@$|+(<€£¡*#%_~`/\\-]|(?<![^\s])\S \S \S(?![^\s])|([^\W\d_])\1\1|[^\W\d_][.!][^\W\d_]")
 LONGEST_TOKEN = 64  # longer ones are decoded in parts of this length
 _ENDS = "\"'()[]{}<>.,;:!?-_*~`/\\"
 
 
 class Restorer:
-    """Texts without disguise, with the words met before remembered."""
+    """Texts without disguise."""
 
     def __init__(self, costs: np.ndarray) -> None:
-        self._costs = costs
-        self._known: dict[str, str] = {}
-
-    def _token(self, token: str) -> str:
-        if token not in self._known:
-            if len(self._known) >= KNOWN_WORDS:
-                self._known.clear()
-            bare = token.strip(_ENDS)
-            parts = [bare[i : i + LONGEST_TOKEN] for i in range(0, len(bare), LONGEST_TOKEN)]
-            restored = "".join(decode(p, self._costs) for p in parts)
-            self._known[token] = restored if bare else token
-        return self._known[token]
+        self._costs = array("f", costs.tolist())
 
-    def restore(self, text: str) -> str:
-        """The text in lower case; tokens that show a trace of the channel are replaced by what is likeliest behind them."""
-        low = text.lower()
-        if not _QUICK.search(low):
-            return low
+    def token(self, token: str) -> str:
+        """A token as it is, or if it shows a trace of the channel, what is likeliest behind it."""
+        spaced = len(token) > 4 and token[1] == " "
+        if not spaced and not _TRACE.search(token):
+            return token
+        bare = token.strip(_ENDS)
+        parts = [bare[i : i + LONGEST_TOKEN] for i in range(0, len(bare), LONGEST_TOKEN)]
+        return "".join(decode(p, self._costs) for p in parts) if bare else token
 
-        def one(m: re.Match) -> str:
-            token = m.group()
-            spaced = len(token) > 4 and token[1] == " "
-            return self._token(token) if spaced or _TRACE.search(token) else token
+    def restore(self, text: str) -> str:
+        """The text in lower case with its disguised tokens restored."""
+        return _TOKEN.sub(lambda m: self.token(m.group()), text.lower())
 
-        return _TOKEN.sub(one, low)
+    @staticmethod
+    def tokens(text: str) -> list[str]:
+        """What may be words: tokens, and runs of single characters as one token each."""
+        low = text.lower()
+        found = low.split()
+        if _MAY_RUN.search(low):
+            found += _RUN.findall(low)
+        return found
 
 
 # ---- scoring --------------------------------------------------------------------------------------
@@ -196,39 +199,53 @@ _SPLIT = re.compile(r"[^\W\d_]+")
 
 def cells(word: str) -> list[int]:
     """Cells of a word: itself and its beginnings, each hashed with its kind."""
-    made = [crc32(b"=" + word.encode()) % CELLS]
-    return made + [crc32(b"^" + word[:n].encode()) % CELLS for n in PREFIXES if len(word) >= n]
+    b = word.encode()
+    return [crc32(b, 1) % CELLS, *[crc32(b[:n]) % CELLS for n in PREFIXES if len(b) >= n]]
+
 
+class Seen:
+    """Tokens met before, restored once, with the cells or the weights of their words."""
 
-class Cells:
-    """Cells of whole texts, with the words met before remembered."""
+    def __init__(self, restorer: Restorer, weights: dict[int, float] | None = None) -> None:
+        self._restorer, self._weights = restorer, weights
+        self._known: set[str] = set()
+        self._told: dict[str, tuple] = {}
 
-    def __init__(self, weights: dict[int, float] | None = None) -> None:
-        self._weights = weights
-        self._known: dict[str, object] = {}
+    def _meet(self, tokens: set[str]) -> None:
+        """Works out tokens that are new; only those that tell something are kept with it."""
+        if len(self._known) >= KNOWN_WORDS:
+            self._known.clear()
+            self._told.clear()
+            return self._meet_all(tokens)
+        return self._meet_all(tokens - self._known)
 
-    def _word(self, word: str):
-        if word not in self._known:
-            if len(self._known) >= KNOWN_WORDS:
-                self._known.clear()
-            made = cells(word)
+    def _meet_all(self, new: set[str]) -> None:
+        for token in new:
+            words = _SPLIT.findall(self._restorer.token(token))
             if self._weights is None:
-                self._known[word] = made
+                self._told[token] = tuple(c for w in words for c in cells(w))
             else:
-                self._known[word] = max((self._weights.get(c, 0.0) for c in made), default=0.0)
-        return self._known[word]
+                best = (max((self._weights.get(c, 0.0) for c in cells(w)), default=0.0) for w in words)
+                if found := tuple(x for x in best if x):
+                    self._told[token] = found
+        self._known |= new
 
     def distinct(self, text: str) -> np.ndarray:
+        """The cells of a text."""
+        tokens = set(self._restorer.tokens(text))
+        self._meet(tokens)
         found: set[int] = set()
-        for word in set(_SPLIT.findall(text)):
-            found.update(self._word(word))
+        for token in tokens:
+            found.update(self._told[token])
         return np.fromiter(found, dtype=np.int64, count=len(found))
 
     def signs(self, text: str) -> tuple[float, float, float]:
         """The strongest sign, all of them, and how many there are for the length."""
-        words = _SPLIT.findall(text)
-        found = [w for w in map(self._word, words) if w]
-        return max(found, default=0.0), float(np.log1p(sum(found))), 10 * len(found) / (len(words) + 20)
+        tokens = self._restorer.tokens(text)
+        self._meet(set(tokens))
+        told = self._told
+        found = [x for t in tokens if t in told for x in told[t]]
+        return max(found, default=0.0), float(np.log1p(sum(found))), 10 * len(found) / (len(tokens) + 20)
 
 
 @dataclass
@@ -239,8 +256,8 @@ class Model:
     weights: dict[int, float] = field(default_factory=dict)
     curve: np.ndarray = field(default_factory=lambda: np.zeros(4))
 
-    def score(self, restorer: Restorer, seen: Cells, text: str) -> float:
-        x = float(np.array(seen.signs(restorer.restore(text))) @ self.curve[:-1] + self.curve[-1])
+    def score(self, seen: Seen, text: str) -> float:
+        x = float(np.array(seen.signs(text)) @ self.curve[:-1] + self.curve[-1])
         return float(1 / (1 + np.exp(-np.clip(x, -30, 30))))
 
 
@@ -275,12 +292,12 @@ def _telling(labelled: DataFrame, costs) -> dict[int, float]:
     """Cells that tell toxic documents, with the logarithm of how much more often they hold them."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer, seen = Restorer(costs.value), Cells()
+        seen = Seen(Restorer(costs.value))
         held = np.zeros((2, CELLS), dtype=np.int32)
         docs = np.zeros(2, dtype=np.int64)
         for batch in (p for whole in batches for p in by_bytes(whole, 1, 1 << 22)):
             for text, toxic in zip(_strings(batch.column(1)), batch.column(2).to_pylist(), strict=True):
-                held[toxic, seen.distinct(restorer.restore(text))] += 1
+                held[toxic, seen.distinct(text)] += 1
                 docs[toxic] += 1
         at = np.flatnonzero(held.any(axis=0))
         yield pa.RecordBatch.from_arrays(
@@ -337,9 +354,9 @@ def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     told = spark.sparkContext.broadcast(weights)
 
     def signs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer, seen = Restorer(shared.value), Cells(told.value)
+        seen = Seen(Restorer(shared.value), told.value)
         for batch in (p for whole in batches for p in by_bytes(whole, 1, 1 << 22)):
-            found = [seen.signs(restorer.restore(t)) for t in _strings(batch.column(1))]
+            found = [seen.signs(t) for t in _strings(batch.column(1))]
             yield pa.RecordBatch.from_arrays(
                 [*[pa.array([f[i] for f in found], pa.float64()) for i in range(3)], batch.column(2)],
                 names=["a", "b", "c", "toxic"],
@@ -353,9 +370,9 @@ def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = learnt.value
-        restorer, seen = Restorer(own.costs), Cells(own.weights)
+        seen = Seen(Restorer(own.costs), own.weights)
         for batch in (p for whole in batches for p in by_bytes(whole, 1, 1 << 22)):
-            values = [own.score(restorer, seen, t) for t in _strings(batch.column(1))]
+            values = [own.score(seen, t) for t in _strings(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.float64())], names=["_id", "score"])
 
     found = texts.mapInArrow(score, f"_id {kind}, score double")

@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
 from inkmill.llm import collocations as co
@@ -90,9 +91,10 @@ def test_hot_stripe_is_dealt_out(spark):
     docs = spark.createDataFrame([(" ".join(f"the w{i}" for i in range(5000)) + " ", "en")] * 3, "text string, lang string")
     hot = spark.sparkContext.broadcast(b"\xff" * (co._BITS // 8))
     texts = docs.repartition(1).selectExpr("lang", "cast(text AS binary) AS _text")
-    rows = co.stripes(texts, 2, 100, hot, hot).selectExpr("bucket", "inline(stripes)").collect()
-    assert len({r.bucket for r in rows}) > 20
-    sizes = [len(r.nexts) for r in rows if bytes(r.prefix) == b"the"]
+    blocks = co.stripes(texts, 2, 100, hot, hot).collect()
+    rows = [e for r in blocks for e in co.unpacked(r.bucket, pa.scalar(bytes(r.stripes), pa.binary())).to_pylist()]
+    assert len({r["bucket"] for r in rows}) > 20
+    sizes = list(Counter(r["shard"] for r in rows if r["prefix"] == b"the").values())
     assert len(sizes) == co.SHARDS and max(sizes) < 5 * 5000 / co.SHARDS
 
 

@@ -56,7 +56,7 @@ def every_path(token):
 
 
 def language_cost(text, costs):
-    s = [tx.BREAK] * 3 + tx._codes(text) + [tx.BREAK]
+    s = [tx.BREAK] * 3 + list(tx._codes(text)) + [tx.BREAK]
     return sum(float(costs[((a * 32 + b) * 32 + c) * 32 + d]) for a, b, c, d in zip(s, s[1:], s[2:], s[3:]))
 
 
