@@ -1,24 +1,24 @@
 """User blacklist of advertisements: maintenance, and similarity matching of paragraphs.
 
 A match is an entry inside the paragraph, the paragraph inside an entry, or two texts alike by
-sequence ratio or trigram overlap. Paragraphs meet entries on shared grams only. On the entry side
-the commonest grams are left out as far as the threshold allows: a pair that scores at least
-``LIMIT`` still shares one of the others, so no match is lost.
+sequence ratio or trigram overlap. Paragraphs meet entries by a prefix index on both sides: the tokens of either are put
+in one order, rare ones first, and only so many of the first are offered that two texts which score at least ``LIMIT``
+share one, so no match is lost. Sizes and places in the order bound a pair before its text is moved.
 """
 
 from __future__ import annotations
 
 import difflib
+from collections.abc import Iterator
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from inkmill.functions.arrays import unnest
-from inkmill.functions.text import let, ngrams, normalize_match_text, split_paragraphs, strip
+from inkmill.functions.text import normalize_match_text, split_paragraphs, strip
 from inkmill.operators.keyed import lookup_by_key
 from inkmill.session import stored
 
@@ -29,12 +29,9 @@ MIN_FUZZY_RATIO = 0.35
 MIN_CONTAINED_RATIO = 0.65
 LIMIT = 0.78
 
-# With lengths a, b and M matched characters the sequence ratio 2M/(a+b) reaches LIMIT only if
-# min/max >= LIMIT/(2-LIMIT), if at most (1-LIMIT)(a+b) characters stay unmatched, and if at least
-# M - (unmatched+1) neighbouring pairs are shared.
+# With lengths a, b and M matched characters the sequence ratio 2M/(a+b) reaches LIMIT only if min/max >= LIMIT/(2-LIMIT).
+# The overlap 2k/(x+y) of two sets needs the same of their sizes. M never exceeds the characters that the texts share.
 MIN_SEQUENCE_RATIO = LIMIT / (2 - LIMIT)
-UNMATCHED = 1 - LIMIT
-_SHARED_PAIRS = (LIMIT / 2 - UNMATCHED) * (1 + MIN_SEQUENCE_RATIO)
 
 
 class Added(NamedTuple):
@@ -89,204 +86,278 @@ def remove_entries(entries: DataFrame, ids: DataFrame) -> DataFrame:
     return entries.join(ids.select("id"), "id", "left_anti")
 
 
-def _grams(c: Column, size: int) -> Column:
-    """All n-grams as a list (texts with characters beyond the BMP may add harmless extra ones)."""
-    return F.regexp_extract_all(c, F.lit(f"(?=({'.' * size}))"), F.lit(1))
+NEAR, ALIKE, WITHIN, AROUND = range(4)
+_CELLS = 1 << 20
+_WINDOWS = (1, 8, 32)  # six-grams from which the least is taken, the most that an entry has
+_LEAST_OVERLAP = LIMIT / 2 * (1 + MIN_SEQUENCE_RATIO)
+SIGNATURE = "kind int, token long, place int, size int, len int"
 
 
-def _prefixed(kind: str, grams: Column) -> Column:
-    return F.transform(grams, lambda g: F.concat(F.lit(kind), g))
+def _hashed(tokens: np.ndarray) -> np.ndarray:
+    x = tokens.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(29))
 
 
-def _paragraph_keys(norm: Column) -> Column:
-    """Everything a paragraph offers: six-grams, its first six-gram, its pairs and trigrams."""
-    none = F.array().cast("array<string>")
-    fuzzy = F.length(norm) >= MIN_FUZZY_LENGTH
-    return F.concat(
-        _prefixed("c", F.array_distinct(_grams(norm, MIN_LENGTH))),
-        F.array(F.concat(F.lit("d"), F.substring(norm, 1, MIN_LENGTH))),
-        F.when(fuzzy, _prefixed("b", F.array_distinct(_grams(norm, 2)))).otherwise(none),
-        F.when(fuzzy, _prefixed("t", F.array_distinct(_grams(norm, 3)))).otherwise(none),
-    )
+def _cell(tokens: np.ndarray) -> np.ndarray:
+    return (_hashed(tokens) >> np.uint64(44)).astype(np.int64)
 
 
-def _rare_grams(entries: DataFrame, size: int, kind: str, may_drop: Column, repeats: bool) -> DataFrame:
-    """Grams of each entry without its commonest ones; what is dropped weighs at most ``may_drop``."""
-    long = entries.filter(F.col("len") >= MIN_FUZZY_LENGTH)
-    counted = (
-        unnest(long, ["ordinal", "len"], _grams(F.col("norm"), size), "gram")
-        .groupBy("ordinal", "len", "gram")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    everywhere = counted.groupBy("gram").agg(F.sum("n").alias("total"))
-    whole = W.partitionBy("ordinal")
-    common_first = whole.orderBy(F.desc("total"), "gram").rowsBetween(W.unboundedPreceding, 0)
-    weight = F.col("n") if repeats else F.lit(1).cast("bigint")
-    return (
-        counted.join(everywhere, "gram")
-        .withColumn("w", weight)
-        .withColumn("distinct_grams", F.count(F.lit(1)).over(whole))
-        .withColumn("dropping", F.sum("w").over(common_first))
-        .withColumn("kept", F.col("dropping") > may_drop)
-        .withColumn("dropped", F.sum(F.when(F.col("kept"), 0).otherwise(F.col("w"))).over(whole))
-        .filter("kept")
-        .select(
-            "ordinal", "len", F.concat(F.lit(kind), "gram").alias("key"), "w", "dropped", "distinct_grams"
-        )
-    )
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
 
 
-def _entry_keys(entries: DataFrame) -> DataFrame:
-    """``(ordinal, len, key, w, dropped, distinct_grams)``: what a paragraph must share with an entry.
+def _numbered(codes: np.ndarray) -> np.ndarray:
+    """Characters with their number among equal ones, so that a multiset becomes a set."""
+    s = np.sort(codes)
+    new = np.concatenate(([True], s[1:] != s[:-1]))
+    starts = np.flatnonzero(new)
+    return (s << 32) | (np.arange(len(s)) - starts[np.cumsum(new) - 1])
 
-    ``w`` is the weight of the key in its entry, ``dropped`` the weight left out of its kind.
-    """
-    sixes = entries.select("ordinal", "len", F.array_distinct(_grams(F.col("norm"), MIN_LENGTH)).alias("g"))
-    anchor = F.array_min(F.transform("g", lambda x: F.struct(F.xxhash64(x).alias("h"), x.alias("x"))))["x"]
-    whole = F.concat(F.array(F.concat(F.lit("c"), anchor)), _prefixed("d", F.col("g")))
-    zero = F.lit(0).cast("bigint")
-    pair_slack = F.ceil(F.lit(_SHARED_PAIRS) * F.col("len") - 1 - 1e-9) - 1
-    trigram_slack = F.ceil(F.lit(MIN_SEQUENCE_RATIO) * F.col("distinct_grams") - 1e-9) - 1
-    return (
-        sixes.select(
-            "ordinal", "len", F.explode(whole).alias("key"),
-            zero.alias("w"), zero.alias("dropped"), zero.alias("distinct_grams"),
-        )
-        .unionByName(_rare_grams(entries, 2, "b", pair_slack, repeats=True))
-        .unionByName(_rare_grams(entries, 3, "t", trigram_slack, repeats=False))
-    )
 
+def _trigrams(codes: np.ndarray) -> np.ndarray:
+    return np.unique((codes[:-2] << 42) | (codes[1:-1] << 21) | codes[2:])
 
-@F.arrow_udf(DoubleType())
-def _sequence_ratio(left: pa.Array, right: pa.Array) -> pa.Array:
-    return pa.array(
-        [
-            None if a is None else difflib.SequenceMatcher(None, a, b, autojunk=False).ratio()
-            for a, b in zip(left.to_pylist(), right.to_pylist())
-        ],
-        pa.float64(),
-    )
 
+def _sixes(codes: np.ndarray) -> np.ndarray:
+    """Hashes of all six-grams."""
+    n = len(codes) - MIN_LENGTH + 1
+    made = np.zeros(n, dtype=np.uint64)
+    for k in range(MIN_LENGTH):
+        made = _hashed(made.view(np.int64) + codes[k : k + n])
+    return made >> np.uint64(2)
 
-def score_pairs(pairs: DataFrame) -> DataFrame:
-    """Score pairs ``(norm, entry_norm, near, alike)``; only those that reach the limit are kept."""
-    p, e = F.col("norm"), F.col("entry_norm")
-    a, b = F.length(p), F.length(e)
-    ratio = F.least(a, b) / F.greatest(a, b)
-    contained = (F.instr(e, p) > 0) & (a >= b * MIN_CONTAINED_RATIO)
-    fuzzy = (F.least(a, b) >= MIN_FUZZY_LENGTH) & (ratio >= MIN_FUZZY_RATIO)
-    method = (
-        F.when(F.instr(p, e) > 0, F.lit("contains"))
-        .when(contained, F.lit("contained"))
-        .when(fuzzy, F.lit("fuzzy"))
-    )
 
-    def trigrams(c: Column) -> Column:
-        astral = c.rlike(r"[\x{10000}-\x{10FFFF}]")
-        return F.when(astral, ngrams(c)).otherwise(F.array_distinct(_grams(c, 3)))
-
-    def overlap(x):
-        return 2 * F.size(F.array_intersect(x["p"], x["e"])) / (F.size(x["p"]) + F.size(x["e"]))
-
-    dice = let(F.struct(trigrams(p).alias("p"), trigrams(e).alias("e")), overlap)
-    # The edit distance never exceeds the number of unmatched characters.
-    most = f"cast(floor({UNMATCHED} * (length(norm) + length(entry_norm)) + 1e-6) as int)"
-    close = (ratio >= MIN_SEQUENCE_RATIO - 1e-9) & F.expr(f"levenshtein(norm, entry_norm, {most}) >= 0")
-    is_fuzzy = F.col("method") == "fuzzy"
-    likely = (
-        pairs.withColumn("method", method)
-        .filter("method is not null")
-        .filter(~is_fuzzy | (F.col("near") & close) | (F.col("alike") & (dice >= LIMIT)))
-    )
-    sequence = _sequence_ratio(F.when(is_fuzzy & F.col("near"), p), F.when(is_fuzzy & F.col("near"), e))
-    score = (
-        F.when(F.col("method") == "contains", F.lit(1.0))
-        .when(F.col("method") == "contained", a / b)
-        .otherwise(F.greatest(dice, F.coalesce("_sequence", F.lit(0.0))))
-    )
-    return (
-        likely.withColumn("_sequence", sequence)
-        .withColumn("score", score)
-        .filter(F.col("score") >= LIMIT)
-        .drop("_sequence", "near", "alike")
+def _least(hashes: np.ndarray, window: int) -> np.ndarray:
+    """The distinct least ones of each ``window`` neighbours."""
+    return np.unique(np.lib.stride_tricks.sliding_window_view(hashes, min(window, len(hashes))).min(axis=1))
+
+
+def _window(length: int) -> int:
+    return max(w for w in _WINDOWS if w <= length - MIN_LENGTH + 1)
+
+
+def _whole_tokens(codes: np.ndarray, is_entry: bool) -> list[tuple[int, np.ndarray]]:
+    """Tokens by which texts meet of which one holds the other.
+
+    An entry inside a paragraph: its least six-gram is the least of some window of the paragraph too. A paragraph inside an
+    entry is at least ``LIMIT`` of it, so its least six-gram is the least of some window of that length in the entry.
+    """
+    sixes = _sixes(codes)
+    salted = lambda h, w: _hashed((h ^ np.uint64(w)).view(np.int64)).view(np.int64) & np.int64((1 << 62) - 1)
+    if is_entry:
+        least = int(np.ceil(LIMIT * len(codes) - 1e-9))
+        return [
+            (WITHIN, salted(sixes.min(keepdims=True), _window(len(codes)))),
+            (AROUND, salted(_least(sixes, max(least - MIN_LENGTH + 1, 1)), 99)),
+        ]
+    found = [salted(_least(sixes, w), w) for w in _WINDOWS if w <= len(sixes)]
+    return [(WITHIN, np.concatenate(found)), (AROUND, salted(sixes.min(keepdims=True), 99))]
+
+
+def _part_tokens(codes: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """The sets whose overlap bounds the sequence ratio, and gives the overlap of trigrams."""
+    if len(codes) < MIN_FUZZY_LENGTH:
+        return []
+    return [(NEAR, _numbered(codes)), (ALIKE, _trigrams(codes))]
+
+
+def _prefix(size: int) -> int:
+    """How many of the rarest tokens are kept: two sets that overlap enough share one of them, whatever the other's size."""
+    return size - int(np.ceil(_LEAST_OVERLAP * size - 1e-6)) + 1
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Cells of the tokens of entries."""
+    for batch in batches:
+        kinds, cells = [], []
+        for text in batch.column(1).to_pylist():
+            codes = _codes(text)
+            for kind, tokens in [*_part_tokens(codes), *_whole_tokens(codes, True)]:
+                kinds.append(np.full(len(tokens), kind, dtype=np.int32))
+                cells.append(_cell(tokens).astype(np.int32))
+        if kinds:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(kinds)), pa.array(np.concatenate(cells))], names=["kind", "cell"]
+            )
+
+
+def _signatures(texts: DataFrame, counts, is_entry: bool, name: str) -> DataFrame:
+    """Rows (name, kind, token, place, size, len) of texts(name, norm): their tokens in the order of rarity, only the rarest ones.
+
+    Rare first is by the cells of a table of fixed size in which the entries are counted; tokens of empty cells are in no
+    entry and need not be asked for.
+    """
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = counts.value
+        for batch in batches:
+            held, rows = [], 0
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                codes = _codes(text)
+                for kind, tokens in _part_tokens(codes):
+                    common = table[kind][_cell(tokens)]
+                    order = np.lexsort((_hashed(tokens), common))[: _prefix(len(tokens))]
+                    place = np.flatnonzero(common[order] > 0).astype(np.int32)
+                    held.append((key, kind, tokens[order[place]], place, len(tokens), len(codes)))
+                for kind, tokens in _whole_tokens(codes, is_entry):
+                    tokens = tokens[table[kind][_cell(tokens)] > 0]
+                    held.append((key, kind, tokens, np.zeros(len(tokens), np.int32), 0, len(codes)))
+                rows += sum(len(h[2]) for h in held[-4:])
+                if rows > 100_000:
+                    yield _signature_rows(held, name)
+                    held, rows = [], 0
+            if rows:
+                yield _signature_rows(held, name)
+
+    return texts.mapInArrow(make, f"{name} long, {SIGNATURE}")
+
+
+def _signature_rows(held: list[tuple], name: str) -> pa.RecordBatch:
+    sizes = [len(h[2]) for h in held]
+    spread = lambda i, kind: pa.array(np.repeat(np.array([h[i] for h in held], dtype=kind), sizes))
+    joined = lambda i: pa.array(np.concatenate([h[i] for h in held]))
+    return pa.RecordBatch.from_arrays(
+        [spread(0, np.int64), spread(1, np.int32), joined(2), joined(3), spread(4, np.int32), spread(5, np.int32)],
+        names=[name, "kind", "token", "place", "size", "len"],
     )
 
 
+def _rarity(entries: DataFrame) -> list[np.ndarray]:
+    """How often the tokens of each cell occur among the entries; 16 MB, whatever their number."""
+    table = [np.zeros(_CELLS, dtype=np.int32) for _ in range(4)]
+    cells = entries.select("ordinal", "norm").mapInArrow(_counted, "kind int, cell int").groupBy("kind", "cell").count()
+    for batch in cells.toArrow().to_batches():  # at most four times the cells
+        kinds, at, n = (batch.column(i).to_numpy() for i in range(3))
+        for kind in range(4):
+            own = kinds == kind
+            table[kind][at[own]] = np.minimum(n[own], 1 << 30)
+    return table
+
+
 def candidate_pairs(norms: DataFrame, entries: DataFrame) -> DataFrame:
-    """Pairs ``(norm, ordinal, near, alike)`` that may match.
+    """Pairs ``(norm, ordinal)`` that may match: no pair that scores ``LIMIT`` is missing.
 
-    Partial counts meet before the shuffle. A pair stays if a whole text may contain the other, if
-    enough neighbouring pairs are shared for the sequence ratio (``near``), or enough trigrams for
-    their overlap (``alike``); what the entry left out counts as shared.
+    Paragraphs and entries both offer only the rarest of their tokens, in one order. Two sets of sizes x and y that share
+    k tokens up to places i and j share at most k + min(x - i, y - j) - 1; a pair stays if that is enough.
     """
-    # The keys of the list are written first: by their size the planner broadcasts them or shuffles both sides.
-    keys = stored(_entry_keys(entries).withColumnRenamed("len", "entry_len"), "blacklist-keys")
-    # Lengths are taken before the explode, else Spark would take them again for every key.
-    counted = norms.select(
-        F.xxhash64("norm").alias("pid"),
-        F.length("norm").alias("len"),
-        F.size(F.array_distinct(_grams(F.col("norm"), 3))).alias("offered_trigrams"),
-        _paragraph_keys(F.col("norm")).alias("keys"),
-    )
-    offered = unnest(counted, ["pid", "len", "offered_trigrams"], "keys", "key")
-    # Both sides are exchanges of the join's own, so the partition of a common gram can be split.
-    met = offered.join(keys.hint("rebalance"), "key")
-    a, b, kind = F.col("len"), F.col("entry_len"), F.substring("key", 1, 1)
-    ratio = F.least(a, b) / F.greatest(a, b)
+    spark = norms.sparkSession
+    table = spark.sparkContext.broadcast(_rarity(entries))
+    # The signatures of the list are written first: by their size the planner broadcasts them or shuffles both sides.
+    asked = _signatures(entries.select(F.col("ordinal").cast("long"), "norm"), table, True, "ordinal")
+    keys = stored(asked.withColumnsRenamed({c: f"e_{c}" for c in ("place", "size", "len")}), "blacklist-keys")
+    offered = _signatures(norms.select(F.xxhash64("norm").alias("pid"), "norm"), table, False, "pid")
+    a, b, x, y = F.col("len"), F.col("e_len"), F.col("size"), F.col("e_size")
+    least = F.lit(MIN_SEQUENCE_RATIO - 1e-9)
     possible = (
-        F.when(kind == "c", a >= b)
-        .when(kind == "d", (a <= b) & (a >= b * MIN_CONTAINED_RATIO))
-        .when(kind == "b", ratio >= MIN_SEQUENCE_RATIO - 1e-9)
-        .otherwise(ratio >= MIN_FUZZY_RATIO)
+        F.when(F.col("kind") == WITHIN, a >= b)
+        .when(F.col("kind") == AROUND, (a <= b) & (a >= b * LIMIT - 1e-6))
+        .when(F.col("kind") == NEAR, F.least(a, b) >= F.greatest(a, b) * least)
+        .otherwise((F.least(x, y) >= F.greatest(x, y) * least) & (F.least(a, b) >= F.greatest(a, b) * MIN_FUZZY_RATIO))
     )
-
-    def total(k: str, c: str) -> Column:
-        return F.coalesce(F.sum(F.when(F.col("kind") == k, F.col(c))), F.lit(0))
-
-    def fixed(k: str, c: str) -> Column:
-        return F.max(F.when(F.col("kind") == k, F.col(c)))
-
-    # Paragraphs go by their hash here, so text is moved once per paragraph and not once per pair.
-    # Equal hashes are counted together, which can only let more pairs through.
-    shared = (
-        met.filter(possible)
-        .withColumn("kind", kind)
-        .groupBy("pid", "ordinal", "len", "entry_len", "offered_trigrams")
-        .agg(
-            F.max(F.col("kind").isin("c", "d")).alias("whole"),
-            total("b", "w").alias("pairs"),
-            fixed("b", "dropped").alias("pairs_dropped"),
-            total("t", "w").alias("trigrams"),
-            fixed("t", "dropped").alias("trigrams_dropped"),
-            fixed("t", "distinct_grams").alias("entry_trigrams"),
-        )
+    # Both sides are exchanges of the join's own, so the partition of a common token can be split.
+    met = offered.join(keys.hint("rebalance"), ["kind", "token"]).filter(possible)
+    shared = met.groupBy("pid", "ordinal", "kind", "size", "e_size").agg(
+        F.count(F.lit(1)).alias("k"), F.max("place").alias("i"), F.max("e_place").alias("j")
     )
-    needed_pairs = (LIMIT / 2 - UNMATCHED) * (a + b) - 1 - 1e-6
-    needed_trigrams = LIMIT / 2 * (F.col("offered_trigrams") + F.col("entry_trigrams")) - 1e-6
-    near = F.col("pairs") + F.col("pairs_dropped") >= needed_pairs
-    alike = F.col("trigrams") + F.col("trigrams_dropped") >= needed_trigrams
-    return (
-        shared.withColumn("near", F.coalesce(near, F.lit(False)))
-        .withColumn("alike", F.coalesce(alike, F.lit(False)))
-        .filter("whole or near or alike")
-        .select("pid", "ordinal", "near", "alike")
-        .join(norms.withColumn("pid", F.xxhash64("norm")), "pid")
-        .select("norm", "ordinal", "near", "alike")
+    most = F.col("k") + F.least(x - F.col("i"), y - F.col("j")) - 1
+    enough = (F.col("kind") >= WITHIN) | (most >= LIMIT / 2 * (x + y) - 1e-6)
+    # Paragraphs go by their hash here, so text is moved once per pair that is left. Equal hashes can only let more through.
+    pairs = shared.filter(enough).select("pid", "ordinal").distinct()
+    return pairs.join(norms.withColumn("pid", F.xxhash64("norm")), "pid").select("norm", "ordinal")
+
+
+def _subsequence(text: str, masks: dict[str, int], length: int) -> int:
+    """Length of the longest common subsequence, bit by bit for a whole entry at once."""
+    full = (1 << length) - 1
+    v = full
+    for c in text:
+        mask = masks.get(c)
+        if mask is not None:
+            u = v & mask
+            v = ((v + u) | (v - u)) & full
+    return length - v.bit_count()
+
+
+class _Entry:
+    """An entry with what its comparisons need."""
+
+    def __init__(self, norm: str) -> None:
+        self.norm = norm
+        self.grams = {norm[i : i + 3] for i in range(len(norm) - 2)}
+        self.masks: dict[str, int] = {}
+        for i, c in enumerate(norm):
+            self.masks[c] = self.masks.get(c, 0) | 1 << i
+
+    def score(self, p: str, sequence: bool) -> tuple[float, str] | None:
+        a, b = len(p), len(self.norm)
+        if self.norm in p:
+            return 1.0, "contains"
+        if p in self.norm and a >= b * MIN_CONTAINED_RATIO:
+            return a / b, "contained"
+        if min(a, b) < MIN_FUZZY_LENGTH or min(a, b) / max(a, b) < MIN_FUZZY_RATIO:
+            return None
+        grams = {p[i : i + 3] for i in range(a - 2)}
+        score = 2 * len(grams & self.grams) / (len(grams) + len(self.grams))
+        # The matched characters are a common subsequence, so its length bounds the ratio.
+        if sequence and min(a, b) / max(a, b) >= MIN_SEQUENCE_RATIO - 1e-9:
+            most = 2 * _subsequence(p, self.masks, b) / (a + b)
+            if most >= max(score, LIMIT - 1e-9):
+                score = max(score, difflib.SequenceMatcher(None, p, self.norm, autojunk=False).ratio())
+        return score, "fuzzy"
+
+
+_ENTRIES_KEPT = 5_000
+
+
+def scored_pairs(pairs: DataFrame, sequence: bool = True) -> DataFrame:
+    """Scores of pairs ``(norm, ordinal, entry_id, entry_norm)`` that reach the limit; without ``sequence`` by trigrams alone."""
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, _Entry] = {}
+        for batch in batches:
+            columns = [batch.column(i).to_pylist() for i in range(4)]
+            rows = []
+            for norm, ordinal, ident, text in zip(*columns, strict=True):
+                entry = known.get(text)
+                if entry is None:
+                    if len(known) >= _ENTRIES_KEPT:
+                        known.clear()
+                    entry = known[text] = _Entry(text)
+                found = entry.score(norm, sequence)
+                if found is not None and found[0] >= LIMIT:
+                    rows.append((norm, ordinal, ident, *found))
+            if rows:
+                names = ["norm", "ordinal", "entry_id", "score", "method"]
+                yield pa.RecordBatch.from_pydict({n: list(v) for n, v in zip(names, zip(*rows), strict=True)}, _SCORED)
+
+    chosen = pairs.select("norm", F.col("ordinal").cast("long").alias("ordinal"), "entry_id", "entry_norm")
+    return chosen.mapInArrow(score, "norm string, ordinal long, entry_id string, score double, method string")
+
+
+_SCORED = pa.schema(
+    [("norm", pa.string()), ("ordinal", pa.int64()), ("entry_id", pa.string()), ("score", pa.float64()), ("method", pa.string())]
+)
+
+
+def all_matches(norms: DataFrame, blacklist: DataFrame, sequence: bool = True) -> DataFrame:
+    """Every match ``(norm, ordinal, entry_id, score, method)``; of entries alike after normalisation the first."""
+    entries = blacklist.filter(F.length("norm") >= MIN_LENGTH).groupBy("norm").agg(
+        F.min(F.struct(F.col("ordinal").cast("long").alias("ordinal"), F.col("id").alias("id"))).alias("e")
     )
+    entries = stored(entries.select("e.ordinal", F.col("e.id").alias("entry_id"), F.col("norm")), "blacklist-entries")
+    # Paragraphs repeat; each text is matched once.
+    distinct = norms.select("norm").filter(F.length("norm") >= MIN_LENGTH).distinct()
+    named = entries.withColumnRenamed("norm", "entry_norm")
+    return scored_pairs(candidate_pairs(distinct, entries).join(named, "ordinal"), sequence)
 
 
-def best_matches(norms: DataFrame, blacklist: DataFrame) -> DataFrame:
+def best_matches(norms: DataFrame, blacklist: DataFrame, sequence: bool = True) -> DataFrame:
     """Best entry per normalised text ``(norm, score, method, entry_id)``; ties go to the first entry."""
-    entries = blacklist.select("ordinal", "id", "norm").withColumn("len", F.length("norm"))
-    entries = entries.filter(F.col("len") >= MIN_LENGTH)
-    named = entries.select("ordinal", F.col("id").alias("entry_id"), F.col("norm").alias("entry_norm"))
-    # Paragraphs repeat; each text is matched once.
-    distinct = norms.filter(F.length("norm") >= MIN_LENGTH).distinct()
-    pairs = candidate_pairs(distinct, entries).join(named, "ordinal")
     best = F.max_by(
         F.struct("score", "method", "entry_id"), F.struct(F.col("score"), (-F.col("ordinal")).alias("o"))
     )
-    return score_pairs(pairs).groupBy("norm").agg(best.alias("m")).select("norm", "m.*")
+    return all_matches(norms, blacklist, sequence).groupBy("norm").agg(best.alias("m")).select("norm", "m.*")
 
 
 def normalized_paragraphs(chapters: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from inkmill.functions.arrays import unnest
 from inkmill.functions.text import is_english_or_url, split_paragraphs
 from inkmill.operators import rulebook as rb
 from inkmill.operators.ads import ad_issue, soft_cue_count
-from inkmill.operators.blacklist import add_entries, paragraph_matches, read_entries
+from inkmill.operators.blacklist import add_entries, all_matches, best_matches, normalized_paragraphs, paragraph_matches, read_entries
 from inkmill.operators.characters import damaged_issues, repair
 from inkmill.operators.punctuation import closed_quotes, paired_quotes, punctuate
 from inkmill.operators.profile import profile_bigrams, profile_chars, profile_totals
@@ -644,6 +644,75 @@ def blacklist_contains(spark, sf):
     return found.filter("method = 'contains'").select(*KEYS, "entry_id", "score")
 
 
+# Next to all lines, every entry in four shapes: shortened, without some letters, between other words, and cut in two.
+_SHAPES = "left({t}, (length({t}) * 9 // 10)::INT)", "replace({t}, 'th', '')", "'zzz ' || {t} || ' qqq'", "left({t}, (length({t}) // 2)::INT)"
+_SQL_SHAPES = f"""shaped AS (SELECT book_id, chapter_index, paragraph, {_sql_norm('raw')} AS norm FROM p
+  UNION ALL SELECT 'shapes', item_id, paragraph, {_sql_norm('raw')} FROM (SELECT item_id,
+    unnest([{", ".join(x.format(t="text") for x in _SHAPES)}]) AS raw, unnest(range(4)) AS paragraph FROM benchmark)),
+e AS (SELECT min(item_id) AS item_id, en FROM (SELECT item_id, {_sql_norm('text')} AS en FROM benchmark) WHERE length(en) >= 6 GROUP BY en),
+q AS (SELECT DISTINCT norm FROM shaped WHERE length(norm) >= 6),
+held AS (SELECT norm, item_id, en, length(norm) AS a, length(en) AS b, CASE WHEN contains(norm, en) THEN 'contains'
+    WHEN contains(en, norm) AND length(norm) >= length(en) * 0.65 THEN 'contained'
+    WHEN least(length(norm), length(en)) >= 10 AND least(length(norm), length(en)) / greatest(length(norm), length(en)) >= 0.35
+      THEN 'fuzzy' END AS method FROM q, e),
+grams AS (SELECT DISTINCT t, unnest(list_transform(range(1, length(t) - 1), lambda i: substr(t, i, 3))) AS g
+          FROM (SELECT norm AS t FROM q UNION SELECT en FROM e)),
+counts AS (SELECT t, count(*) AS n FROM grams GROUP BY t),
+met AS (SELECT x.t AS norm, y.t AS en, count(*) AS k FROM grams x JOIN grams y ON x.g = y.g
+        WHERE x.t IN (SELECT norm FROM q) AND y.t IN (SELECT en FROM e) GROUP BY 1, 2),
+every AS (SELECT h.norm, item_id, method, CASE method WHEN 'contains' THEN 1.0::DOUBLE WHEN 'contained' THEN a::DOUBLE / b
+    ELSE 2 * k::DOUBLE / (cx.n + cy.n) END AS score
+  FROM held h LEFT JOIN met USING (norm, en) LEFT JOIN counts cx ON cx.t = h.norm LEFT JOIN counts cy ON cy.t = h.en
+  WHERE method IS NOT NULL),
+found AS (SELECT * FROM every WHERE score >= 0.78)"""
+
+
+def _shaped(spark, sf):
+    """Normalised paragraphs: all lines, and the shapes of the entries."""
+    text = F.col("text")
+    shapes = F.array(
+        F.expr("left(text, cast(length(text) * 9 div 10 AS int))"), F.replace(text, F.lit("th"), F.lit("")),
+        F.concat(F.lit("zzz "), text, F.lit(" qqq")), F.expr("left(text, cast(length(text) div 2 AS int))"),
+    )
+    chapters = table(spark, sf, "benchmark").select(
+        F.lit("shapes").alias("book_id"), F.col("item_id").alias("chapter_index"), F.array_join(shapes, "\n\n").alias("text")
+    )
+    lines = line_chapters(spark, sf).select("book_id", "chapter_index", "text")
+    return normalized_paragraphs(lines.unionByName(chapters))
+
+
+def _shape_matches(spark, sf, method):
+    found = all_matches(_shaped(spark, sf), blacklist(spark, sf), sequence=False).filter(F.col("method") == method)
+    return found.select(F.md5("norm").alias("digest"), "entry_id", F.round("score", 9).alias("score"))
+
+
+_SQL_MATCHES = "SELECT md5(norm) AS digest, item_id::VARCHAR AS entry_id, round(score, 9) AS score FROM found WHERE method = "
+
+
+@query("blacklist_contained", f"WITH {sql_paragraphs(sql_lines)}, {_SQL_SHAPES} {_SQL_MATCHES}'contained'")
+def blacklist_contained(spark, sf):
+    """Every text that lies inside an entry and is most of it."""
+    return _shape_matches(spark, sf, "contained")
+
+
+@query("blacklist_dice", f"WITH {sql_paragraphs(sql_lines)}, {_SQL_SHAPES} {_SQL_MATCHES}'fuzzy'")
+def blacklist_dice(spark, sf):
+    """Every text and entry whose trigrams overlap enough."""
+    return _shape_matches(spark, sf, "fuzzy")
+
+
+@query(
+    "blacklist_best",
+    f"""WITH {sql_paragraphs(sql_lines)}, {_SQL_SHAPES}
+SELECT md5(norm) AS digest, item_id::VARCHAR AS entry_id, round(score, 9) AS score, method
+FROM (SELECT *, row_number() OVER (PARTITION BY norm ORDER BY score DESC, item_id) AS nth FROM found) WHERE nth = 1""",
+)
+def blacklist_best(spark, sf):
+    """The best entry of every text, by containment and trigrams; the sequence ratio has no SQL form."""
+    found = best_matches(_shaped(spark, sf).select("norm"), blacklist(spark, sf), sequence=False)
+    return found.select(F.md5("norm").alias("digest"), "entry_id", F.round("score", 9).alias("score"), "method")
+
+
 @query(
     "blacklist_entries",
     f"""WITH n AS (SELECT item_id, text, {_sql_norm('text')} AS norm FROM benchmark
