@@ -21,6 +21,7 @@ Hashes have 64 bits and are compared only between rows that agree in ``lead`` al
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +32,10 @@ from pyspark.sql import Window as W
 from inkmill.llm.common import bitmap, with_bit, written
 
 ROWS_PER_BUCKET = 600_000  # what a task sorts at once
-SAMPLE_PER_BUCKET = 40  # documents from which splitters are drawn
-THINNED = 50  # of their keys, one in so many
+SAMPLE_ROWS = 100_000  # keys from which splitters are drawn, or ``KEYS_PER_BUCKET`` for each bucket if that is more
+KEYS_PER_BUCKET = 20
+SAMPLE_BYTES = 1 << 25  # of text, in pieces, whose rows the sample may come from
+ROWS_PER_BYTE = 0.07  # that there are at most, about
 CHUNK = 1 << 18  # symbols hashed at once
 NO_ID = -(1 << 63)  # stands for a null id and sorts first
 
@@ -198,13 +201,10 @@ def judged(rows: Callable, sample: DataFrame, share: float, everywhere: bool, na
     """Covered rows and edges of ``rows``, by buckets between splitters that ``sample`` gives.
 
     ``rows`` makes the rows with their buckets from the splitters, in the same Python worker that makes them.
-    ``sample`` holds a ``share`` of the rows, at random; the driver sees some tens of keys for each bucket.
+    ``sample`` holds a ``share`` of the rows, drawn by a hash; its size does not go by the shuffle partitions.
     The result is a written table.
     """
     spark = sample.sparkSession
-    if share < 1:
-        share /= THINNED
-        sample = sample.filter(F.pmod(F.xxhash64("context", "place"), F.lit(THINNED)) == 0)
     keys = sample.select(*COLUMNS).toPandas()
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(least, int(len(keys) / share / ROWS_PER_BUCKET) + 1)
@@ -282,13 +282,35 @@ def first_window(places: Column) -> Column:
     return F.shiftright(places, 16)
 
 
-def anchor_rows(texts: DataFrame, sequence, width: int, gram: int, cuts=None) -> DataFrame:
-    """Rows (lead, context, doc, tag, place) of all anchors."""
+def _drawn(share: float, *values) -> np.ndarray:
+    """Which rows are among a ``share`` of all, by a hash of their values."""
+    key = np.zeros(1, dtype=np.uint64)
+    for v in values:
+        key = mixed(key * _BASE + np.asarray(v).astype(np.int64).view(np.uint64))
+    return (key >> np.uint64(11)).astype(np.float64) < share * float(1 << 53)
+
+
+class Sample(NamedTuple):
+    """What a sample of anchors takes: a share of the pieces of texts, and a share of the rows of those."""
+
+    pieces: float
+    rows: float
+
+
+def sample_of(size: int) -> Sample:
+    """The sample for so many bytes of text; it grows only with the buckets that they need."""
+    wanted = max(SAMPLE_ROWS, KEYS_PER_BUCKET * size * ROWS_PER_BYTE / ROWS_PER_BUCKET)
+    read = max(SAMPLE_BYTES, 4 * wanted / ROWS_PER_BYTE)
+    return Sample(min(1.0, read / max(size, 1)), min(1.0, wanted / max(min(size, read) * ROWS_PER_BYTE, 1)))
+
+
+def anchor_rows(texts: DataFrame, sequence, width: int, gram: int, cuts=None, sample: Sample | None = None) -> DataFrame:
+    """Rows (lead, context, doc, tag, place) of all anchors, or of a sample of them."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             docs, tags, data = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
-            for symbols, heads, chosen in chunks(data, sequence, width):
+            for symbols, heads, chosen in chunks(data, sequence, width, docs, tags, sample):
                 number = np.array([c[0] for c in chosen])
                 begin = np.array([c[1] for c in chosen])
                 sizes = np.array([c[2] - c[1] for c in chosen])
@@ -300,20 +322,20 @@ def anchor_rows(texts: DataFrame, sequence, width: int, gram: int, cuts=None) ->
                 lead = (heads[at].astype(np.uint64) << np.uint64(32)) | (grams >> np.uint64(32))
                 context = rolling.between(first, last + width) ^ mixed((at - first + 1).astype(np.uint64))
                 where = place(first - starts[piece] + begin[piece], at - first, last - first)
-                made = pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(lead.view(np.int64) ^ np.int64(NO_ID)), pa.array(context.view(np.int64)),
-                        pa.array(docs[number[piece]]), pa.array(tags[number[piece]]), pa.array(where),
-                    ],
-                    names=COLUMNS,
-                )
-                yield bucketed(made, cuts)
+                own = [
+                    lead.view(np.int64) ^ np.int64(NO_ID), context.view(np.int64),
+                    docs[number[piece]], tags[number[piece]], where,
+                ]
+                if sample:
+                    taken = _drawn(sample.rows, *own[1:])
+                    own = [c[taken] for c in own]
+                yield bucketed(pa.RecordBatch.from_arrays([pa.array(c) for c in own], names=COLUMNS), cuts)
 
     return texts.select("_doc", "_tag", F.col("_text").cast("binary")).mapInArrow(make, BUCKETED if cuts else ROW)
 
 
-def chunks(data: pa.Array, sequence, width: int):
-    """Symbols and leading values of a column of texts, in chunks, with the pieces each holds."""
+def chunks(data: pa.Array, sequence, width: int, docs: np.ndarray, tags: np.ndarray, sample: Sample | None = None):
+    """Symbols and leading values of a column of texts, in chunks, with the pieces each holds; of a sample only its pieces."""
     held, begin, values = 0, 0, data
     sizes = np.diff(np.frombuffer(values.buffers()[1], dtype=np.int32, offset=4 * values.offset, count=len(values) + 1))
     while begin < len(values):
@@ -323,6 +345,12 @@ def chunks(data: pa.Array, sequence, width: int):
             end += 1
         sequences = [sequence(v) for v in values.slice(begin, end - begin).to_pylist()]
         for chosen in pieces([len(s[0]) for s in sequences], width):
+            if sample:
+                at = np.array([begin + c[0] for c in chosen])
+                taken = _drawn(sample.pieces, docs[at], tags[at], [c[1] for c in chosen])
+                chosen = [c for c, t in zip(chosen, taken, strict=True) if t]
+                if not chosen:
+                    continue
             symbols = np.concatenate([sequences[i][0][a:b] for i, a, b in chosen])
             heads = np.concatenate([sequences[i][1][a:b] for i, a, b in chosen])
             yield symbols, heads, [(begin + i, a, b) for i, a, b in chosen]
@@ -397,18 +425,18 @@ def repeated(
 
     ``sequence`` turns the UTF-8 bytes of a text into its symbols, 64-bit hashes, and leading values of 32 bits.
     """
-    spark = texts.sparkSession
-    count = texts.count()
-    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    wanted = SAMPLE_PER_BUCKET * max(least, count // 20_000)
-    share = min(1.0, wanted / max(count, 1))
-    picked = texts if share == 1.0 else texts.sample(share, seed=7)
-    sample = anchor_rows(picked, sequence, width, gram)
+    size = texts.agg(F.sum(F.octet_length("_text")).alias("n")).first().n or 0
+    drawn = sample_of(size)
+    sample = anchor_rows(texts, sequence, width, gram, sample=drawn)
     first = judged(
-        lambda cuts: anchor_rows(texts, sequence, width, gram, cuts), sample, share, everywhere, f"{name}-anchors"
+        lambda cuts: anchor_rows(texts, sequence, width, gram, cuts), sample, drawn.pieces * drawn.rows, everywhere, f"{name}-anchors"
     )
     edges = first.filter(f"kind = {EDGE}")
-    sample = edge_windows(picked, edges, sequence, width)
+    count = edges.count()
+    wanted = max(SAMPLE_ROWS, KEYS_PER_BUCKET * count * width / ROWS_PER_BUCKET)
+    share = min(1.0, wanted / max(count * width, 1))
+    few = edges.filter(F.pmod(F.xxhash64("doc", "tag", "place"), F.lit(1_000_000)) < F.lit(int(np.ceil(share * 1_000_000))))
+    sample = edge_windows(texts, few, sequence, width)
     second = judged(
         lambda cuts: edge_windows(texts, edges, sequence, width, cuts), sample, share, everywhere, f"{name}-edges"
     )

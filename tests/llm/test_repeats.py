@@ -172,3 +172,31 @@ def test_hashes_of_stretches():
     assert (twice.between(begin, begin + 50) == twice.between(begin + 300, begin + 350)).all()
     assert (twice.all(50)[:250] == twice.all(50)[300:550]).all()
     assert len(np.unique(twice.all(50)[:300])) == 300
+
+
+def test_sample_does_not_go_by_the_partitions(spark):
+    """The splitters' sample has the same rows whatever the shuffle partitions; few long texts are sampled by pieces."""
+    import random
+
+    from inkmill.llm import repeats, suffixes
+
+    rng = random.Random(2)
+    long = "".join(rng.choice("abcdefgh ") for _ in range(3_000_000))
+    docs = spark.createDataFrame([(1, long), (2, long[:900_000]), (3, "short")], "doc_id long, text string")
+    texts = repeats.numbered(docs, "doc_id", "text")
+    rows = []
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in ("8", "211"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            drawn = repeats.Sample(0.5, 0.1)
+            rows.append(repeats.anchor_rows(texts, suffixes.byte_sequence, 100, 48, sample=drawn).count())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    every = repeats.anchor_rows(texts, suffixes.byte_sequence, 100, 48).count()
+    assert rows[0] == rows[1] and 0.02 * every < rows[0] < 0.09 * every
+    for size in (0, 10**6, 10**9, 10**12):
+        s = repeats.sample_of(size)
+        buckets = size * repeats.ROWS_PER_BYTE / repeats.ROWS_PER_BUCKET
+        most = max(repeats.SAMPLE_ROWS, repeats.KEYS_PER_BUCKET * buckets)
+        assert size * repeats.ROWS_PER_BYTE * s.pieces * s.rows <= 1.01 * most
