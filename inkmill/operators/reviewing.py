@@ -6,13 +6,13 @@ texts of unknown origin from an alignment of the two paragraph lists.
 
 from __future__ import annotations
 
-import difflib
-
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
+from inkmill.functions.alignment import Automaton, differing
 from inkmill.functions.arrays import unnest
 from inkmill.functions.text import BLANKS, WS, let, replace_first, split_paragraphs, strip
 from inkmill.operators import rulebook as rb
@@ -23,25 +23,86 @@ KEYS = ["book_id", "chapter_index"]
 DEFAULT_CATEGORY, DEFAULT_RULE, DEFAULT_REASON = "text_change", "cleaned_text_diff", "保守清洗产生的文本修改"
 MIN_BLOCK, BLOCK_SHARE = 6, 0.6
 
-_OPS = ArrayType(
+_CHANGES = "array<struct<tag:string,i1:int,i2:int,j1:int,j2:int,original:string,replacement:string,at:int>>"
+_CHANGE_TYPE = ArrayType(
     StructType(
-        [StructField("tag", StringType())] + [StructField(n, IntegerType()) for n in ("i1", "i2", "j1", "j2")]
+        [StructField("tag", StringType()), *[StructField(n, IntegerType()) for n in ("i1", "i2", "j1", "j2")]]
+        + [StructField("original", StringType()), StructField("replacement", StringType()), StructField("at", IntegerType())]
+    )
+)
+_CHANGES_ARROW = pa.list_(
+    pa.struct(
+        [("tag", pa.string()), *[(n, pa.int32()) for n in ("i1", "i2", "j1", "j2")]]
+        + [("original", pa.string()), ("replacement", pa.string()), ("at", pa.int32())]
     )
 )
-_OPS_ARROW = pa.list_(pa.struct([("tag", pa.string())] + [(n, pa.int32()) for n in ("i1", "i2", "j1", "j2")]))
 
 
-@F.arrow_udf(_OPS)
-def _align(left: pa.Array, right: pa.Array) -> pa.Array:
-    """Blocks in which two paragraph lists differ; only changed chapters get here with values."""
+def places(text: str, paragraphs: list[str]) -> list[tuple[int, int]]:
+    """Begin and end of each paragraph in the text, searched forward."""
+    found, cursor = [], 0
+    for p in paragraphs:
+        at = text.find(p, cursor)
+        begin = at if at >= 0 else cursor
+        cursor = begin + len(p)
+        found.append((begin, cursor))
+    return found
+
+
+def text_changes(original: str, target: str, before: list[str], after: list[str]) -> list[dict]:
+    """Differences of two texts by their paragraphs; those of a replaced block are paired one by one."""
+    left, right = places(original, before), places(target, after)
+    found = []
+
+    def change(tag, i, j, at):
+        old, new = original[i[0] : i[1]], target[j[0] : j[1]]
+        if old != new:
+            found.append(dict(tag=tag, i1=i[0], i2=i[1], j1=j[0], j2=j[1], original=old, replacement=new, at=at))
+
+    for _, i1, i2, j1, j2 in differing(before, after):
+        paired = min(i2 - i1, j2 - j1)
+        for k in range(paired):
+            change("replace", left[i1 + k], right[j1 + k], i1 + k)
+        j = right[j2][0] if j2 < len(right) else len(target)
+        for k in range(i1 + paired, i2):
+            change("delete", left[k], (j, j), k)
+        i = left[i2][0] if i2 < len(left) else len(original)
+        for k in range(j1 + paired, j2):
+            change("insert", (i, i), right[k], i2)
+    return found
+
+
+@F.arrow_udf(_CHANGE_TYPE)
+def _aligned_changes(original: pa.Array, target: pa.Array, before: pa.Array, after: pa.Array) -> pa.Array:
+    """Changes of texts of unknown origin; only changed chapters get here with values."""
+    rows = zip(*(c.to_pylist() for c in (original, target, before, after)), strict=True)
+    return pa.array([[] if r[0] is None else text_changes(*r) for r in rows], _CHANGES_ARROW)
+
+
+@F.arrow_udf(ArrayType(IntegerType()))
+def _before(sizes: pa.Array) -> pa.Array:
+    """Sums of all sizes before each place of a list."""
+    sizes = sizes.combine_chunks() if isinstance(sizes, pa.ChunkedArray) else sizes
+    offsets, values = sizes.offsets.to_numpy(), sizes.values.to_numpy()
+    sums = np.concatenate(([0], np.cumsum(values, dtype=np.int64)))
+    own = np.repeat(sums[offsets[:-1]], np.diff(offsets))
+    flat = (sums[offsets[0] : offsets[-1]] - own).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array((offsets - offsets[0]).astype(np.int32)), pa.array(flat))
+
+
+@F.arrow_udf(StringType())
+def _walked(texts: pa.Array, begins: pa.Array, ends: pa.Array, kept: pa.Array) -> pa.Array:
+    """Texts put together of what lies between the changes and what stands for them."""
 
-    def blocks(a, b):
-        if a is None or b is None:
-            return []
-        ops = difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes()
-        return [dict(zip(("tag", "i1", "i2", "j1", "j2"), op)) for op in ops if op[0] != "equal"]
+    def run(text, i1, i2, new):
+        out, last = [], 0
+        for a, b, n in zip(i1, i2, new, strict=True):
+            out += [text[last:a] if a > last else "", n]
+            last = b
+        return "".join([*out, text[last:]])
 
-    return pa.array([blocks(a, b) for a, b in zip(left.to_pylist(), right.to_pylist())], _OPS_ARROW)
+    rows = zip(*(c.to_pylist() for c in (texts, begins, ends, kept)), strict=True)
+    return pa.array([None if r[0] is None else run(*r) for r in rows], pa.string())
 
 
 @F.arrow_udf(StringType())
@@ -53,9 +114,9 @@ def _replace_near(texts: pa.Array, old: pa.Array, new: pa.Array) -> pa.Array:
             if o in text:
                 text = text.replace(o, n, 1)
                 continue
-            block = difflib.SequenceMatcher(None, text, o, autojunk=False).find_longest_match()
-            if block.size >= max(MIN_BLOCK, int(len(o) * BLOCK_SHARE)):
-                text = text[: block.a] + n + text[block.a + block.size :]
+            begin, size = Automaton(o).longest_in(text)
+            if size >= max(MIN_BLOCK, int(len(o) * BLOCK_SHARE)):
+                text = text[:begin] + n + text[begin + size :]
         return text
 
     rows = zip(texts.to_pylist(), old.to_pylist(), new.to_pylist())
@@ -63,25 +124,25 @@ def _replace_near(texts: pa.Array, old: pa.Array, new: pa.Array) -> pa.Array:
 
 
 # Spark copies deterministic calls into every place that uses them; these are to run once.
-_align = _align.asNondeterministic()
+_aligned_changes = _aligned_changes.asNondeterministic()
+_before = _before.asNondeterministic()
+_walked = _walked.asNondeterministic()
 _replace_near = _replace_near.asNondeterministic()
 
 
-def spans(text: Column, paragraphs: Column) -> Column:
-    """``struct<a, b>`` per paragraph: its place in the text, searched forward."""
+_SPAN_TYPE = ArrayType(StructType([StructField("a", IntegerType()), StructField("b", IntegerType())]))
+_SPAN_ARROW = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
 
-    def step(acc, p):
-        at = F.position(p, text, acc["cursor"] + 1)
-        start = F.when(at > 0, at - 1).otherwise(acc["cursor"])
-        found = F.struct(start.alias("a"), (start + F.length(p)).alias("b"))
-        return F.struct(
-            (start + F.length(p)).alias("cursor"), F.concat(acc["list"], F.array(found)).alias("list")
-        )
 
-    zero = F.struct(
-        F.lit(0).alias("cursor"), F.array().cast("array<struct<a:int,b:int>>").alias("list")
-    )
-    return F.aggregate(paragraphs, zero, step, lambda acc: acc["list"])
+@F.arrow_udf(_SPAN_TYPE)
+def _spans(texts: pa.Array, paragraphs: pa.Array) -> pa.Array:
+    rows = zip(texts.to_pylist(), paragraphs.to_pylist(), strict=True)
+    return pa.array([[{"a": a, "b": b} for a, b in places(t or "", ps or [])] for t, ps in rows], _SPAN_ARROW)
+
+
+def spans(text: Column, paragraphs: Column) -> Column:
+    """``struct<a, b>`` per paragraph: its place in the text, searched forward."""
+    return _spans(text, paragraphs)
 
 
 def review_target(original: Column, cleaned: Column, issues: Column) -> Column:
@@ -114,58 +175,6 @@ def matching_issue(original: Column, replacement: Column, issues: Column) -> Col
     return let(F.filter(issues, fits), chosen)
 
 
-def _count_to(n: Column) -> Column:
-    return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-
-
-def _raw_changes(x: Column) -> Column:
-    """Differences of original and target as ``struct<tag, i1, i2, j1, j2, original, replacement, at>``."""
-    original, target, os, ts = x["original"], x["target"], x["os"], x["ts"]
-
-    def piece(text, a, b):
-        return F.substring(text, a + 1, b - a)
-
-    def change(tag, i1, i2, j1, j2, at):
-        return F.struct(
-            F.lit(tag).alias("tag"), i1.alias("i1"), i2.alias("i2"), j1.alias("j1"), j2.alias("j2"),
-            (F.lit("") if tag == "insert" else piece(original, i1, i2)).alias("original"),
-            (F.lit("") if tag == "delete" else piece(target, j1, j2)).alias("replacement"),
-            at.alias("at"),
-        )
-
-    def of_block(op):
-        left, right = op["i2"] - op["i1"], op["j2"] - op["j1"]
-        paired = F.least(left, right)
-
-        def replaced(k):
-            return let(
-                F.struct(F.get(os, op["i1"] + k).alias("o"), F.get(ts, op["j1"] + k).alias("t")),
-                lambda s: change("replace", s["o"]["a"], s["o"]["b"], s["t"]["a"], s["t"]["b"], op["i1"] + k),
-            )
-
-        def deleted(k):
-            at = F.coalesce(F.get(ts, op["j2"])["a"], F.length(target))
-            return let(
-                F.get(os, op["i1"] + paired + k),
-                lambda o: change("delete", o["a"], o["b"], at, at, op["i1"] + paired + k),
-            )
-
-        def inserted(k):
-            at = F.coalesce(F.get(os, op["i2"])["a"], F.length(original))
-            return let(
-                F.get(ts, op["j1"] + paired + k), lambda t: change("insert", at, at, t["a"], t["b"], op["i2"])
-            )
-
-        return F.concat(
-            F.transform(_count_to(paired), replaced),
-            F.transform(_count_to(left - paired), deleted),
-            F.transform(_count_to(right - paired), inserted),
-        )
-
-    found = F.flatten(F.transform(x["ops"], of_block))
-    return F.filter(found, lambda c: c["original"] != c["replacement"])
-
-
 def _described(change: Column, issue: Column) -> Column:
     return F.struct(
         *[change[n].alias(n) for n in ("tag", "i1", "i2", "j1", "j2", "original", "replacement")],
@@ -212,18 +221,9 @@ def chapter_changes(chapters: DataFrame, lineage: bool = True) -> DataFrame:
     # Suggestions for an unchanged chapter have no lineage; they are aligned.
     known = F.col("cleaned_text") != F.col("original_text") if lineage else F.lit(False)
     align = differs & ~known
-    staged = staged.withColumn(
-        "_aligned", _align(F.when(align, F.col("_before")), F.when(align, F.col("_after")))
-    )
-    place = F.struct(
-        F.col("original_text").alias("original"),
-        F.col("target_text").alias("target"),
-        F.when(align, spans(F.col("original_text"), F.col("_before"))).alias("os"),
-        F.when(align, spans(F.col("target_text"), F.col("_after"))).alias("ts"),
-        F.col("_aligned").alias("ops"),
-    )
-    aligned = let(place, _raw_changes)
-    staged = staged.withColumn("_raw", F.when(known, F.col("lineage")).otherwise(aligned))
+    asked = [F.when(align, F.col(c)) for c in ("original_text", "target_text", "_before", "_after")]
+    staged = staged.withColumn("_aligned", _aligned_changes(*asked))
+    staged = staged.withColumn("_raw", F.when(known, F.col("lineage")).otherwise(F.col("_aligned")))
 
     def described(c):
         # With lineage only the issues of the own paragraph come into question.
@@ -249,9 +249,6 @@ def chapter_changes(chapters: DataFrame, lineage: bool = True) -> DataFrame:
 _ISSUE_FIELDS = ["paragraph", "category", "confidence", "rule", "reason", "original", "replacement", "applied"]
 
 
-_CHANGES = "array<struct<tag:string,i1:int,i2:int,j1:int,j2:int,original:string,replacement:string,at:int>>"
-
-
 def from_judged(judged: DataFrame, cleaned: Column) -> DataFrame:
     """Chapters ready for review straight from their judged paragraphs, without a join."""
 
@@ -266,55 +263,42 @@ def from_judged(judged: DataFrame, cleaned: Column) -> DataFrame:
 
         return F.transform(p["issues"], one)
 
-    # A walk over the paragraphs with their separators gives the places; only changes are kept.
+    # Places are sums of the lengths before, with those of the separators; only changes are kept.
     body = strip(F.col("text"))
+    lead = F.length("text") - F.length(F.ltrim(F.col("text"), F.lit(BLANKS)))
     gaps = F.transform(F.regexp_extract_all(body, F.lit(rf"\n[{WS}]*\n+"), F.lit(0)), lambda g: F.length(g))
-    walked = F.transform(
-        F.arrays_zip(F.col("paragraphs").alias("p"), gaps.alias("gap")),
-        lambda z, at: F.struct(
-            z["p"]["raw"].alias("raw"), z["p"]["text"].alias("text"), F.coalesce(z["gap"], F.lit(0)).alias("gap"),
-            at.alias("at"),
-        ),
+    zipped = F.arrays_zip(F.col("paragraphs").alias("p"), gaps.alias("gap"))
+    staged = judged.withColumns(
+        {
+            "_lead": lead,
+            "_i": F.transform(zipped, lambda z: F.length(z["p"]["raw"]) + F.coalesce(z["gap"], F.lit(0))),
+            "_j": F.transform("paragraphs", lambda p: F.when(p["text"] == "", 0).otherwise(F.length(p["text"]) + 2)),
+            "_n": F.transform("paragraphs", lambda p: F.size(p["issues"])),
+        }
     )
+    staged = staged.withColumns({f"_sum{c}": _before(F.col(c)) for c in ("_i", "_j", "_n")})
+    walked = F.arrays_zip(F.col("paragraphs").alias("p"), F.col("_sum_i").alias("i"), F.col("_sum_j").alias("j"))
 
-    def step(acc, p):
-        gone = p["text"] == ""
-        end_i = acc["i"] + F.length(p["raw"])
-        end_j = acc["j"] + F.length(p["text"])
-        change = F.struct(
-            F.when(gone, "delete").otherwise("replace").alias("tag"),
-            acc["i"].alias("i1"), end_i.alias("i2"), acc["j"].alias("j1"), end_j.alias("j2"),
-            p["raw"].alias("original"), p["text"].alias("replacement"), p["at"].alias("at"),
-        )
+    def change(z, at):
+        gone = z["p"]["text"] == ""
+        i1 = F.col("_lead") + z["i"]
         return F.struct(
-            (end_i + p["gap"]).alias("i"),
-            F.when(gone, acc["j"]).otherwise(end_j + 2).alias("j"),
-            F.when(p["text"] != p["raw"], F.concat(acc["found"], F.array(change))).otherwise(acc["found"]).alias("found"),
+            F.when(gone, "delete").otherwise("replace").alias("tag"),
+            i1.alias("i1"), (i1 + F.length(z["p"]["raw"])).alias("i2"),
+            z["j"].alias("j1"), (z["j"] + F.length(z["p"]["text"])).alias("j2"),
+            z["p"]["raw"].alias("original"), z["p"]["text"].alias("replacement"), at.alias("at"),
         )
 
-    lead = F.length("text") - F.length(F.ltrim(F.col("text"), F.lit(BLANKS)))
-    lineage = F.aggregate(
-        walked,
-        F.struct(lead.alias("i"), F.lit(0).alias("j"), F.array().cast(_CHANGES).alias("found")),
-        step,
-        lambda acc: acc["found"],
-    )
+    lineage = F.filter(F.transform(walked, change), lambda c: c["original"] != c["replacement"])
     # Places of the issues of each paragraph in the list of all issues.
-    counts = F.transform("paragraphs", lambda p: F.size(p["issues"]))
-    ends = F.aggregate(
-        counts,
-        F.struct(F.lit(0).alias("n"), F.array().cast("array<array<int>>").alias("own")),
-        lambda acc, n: F.struct(
-            (acc["n"] + n).alias("n"),
-            F.concat(
-                acc["own"], F.array(F.when(n > 0, F.sequence(acc["n"], acc["n"] + n - 1)).otherwise(F.array().cast("array<int>")))
-            ).alias("own"),
-        ),
-        lambda acc: acc["own"],
+    none = F.array().cast("array<int>")
+    own = F.transform(
+        F.arrays_zip(F.col("_sum_n").alias("b"), F.col("_n").alias("n")),
+        lambda z: F.when(z["n"] > 0, F.sequence(z["b"], z["b"] + z["n"] - 1)).otherwise(none),
     )
-    return judged.select(
+    return staged.select(
         *KEYS, "title", F.col("text").alias("original_text"), cleaned.alias("cleaned_text"),
-        F.flatten(F.transform("paragraphs", listed)).alias("issues"), ends.alias("own"), lineage.alias("lineage"),
+        F.flatten(F.transform("paragraphs", listed)).alias("issues"), own.alias("own"), lineage.alias("lineage"),
     )
 
 
@@ -362,17 +346,11 @@ def apply_decisions(changed: DataFrame, decisions: DataFrame | None = None) -> D
     both = F.arrays_zip(F.col("changes").alias("c"), F.col("accepted").alias("ok"))
     regular = F.filter(both, lambda z: z["c"]["tag"] != "issue_replace")
 
-    def step(acc, z):
-        kept = F.when(z["ok"], z["c"]["replacement"]).otherwise(z["c"]["original"])
-        gap = F.substring(original, acc["last"] + 1, F.greatest(z["c"]["i1"] - acc["last"], F.lit(0)))
-        return F.struct(F.concat(acc["out"], F.array(gap, kept)).alias("out"), z["c"]["i2"].alias("last"))
-
-    walked = F.aggregate(
-        regular,
-        F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("last")),
-        step,
-        lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(original, acc["last"] + 1, F.length(original))),
-    )
+    kept = F.transform(regular, lambda z: F.when(z["ok"], z["c"]["replacement"]).otherwise(z["c"]["original"]))
+    ends = [F.transform(regular, lambda z: z["c"]["i1"]), F.transform(regular, lambda z: z["c"]["i2"])]
+    # Texts without changes do not travel to Python.
+    changed_text = F.size(regular) > 0
+    walked = F.coalesce(_walked(F.when(changed_text, original), *ends, kept), original)
     extra = F.transform(
         F.filter(both, lambda z: (z["c"]["tag"] == "issue_replace") & z["ok"]), lambda z: z["c"]
     )

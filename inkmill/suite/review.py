@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from inkmill.operators.reviewing import change_rows
+from inkmill.operators.reviewing import MIN_BLOCK, change_rows
 from inkmill.plans.clean import clean, judge
 from inkmill.plans.review import decision_log, review_judged, reviewed_chapters
 from inkmill.session import pinned
@@ -44,7 +44,7 @@ every AS (
   UNION ALL
   SELECT book_id, chapter_index, paragraph, 3, pos, 'contextual_traditional_character',
          CASE score WHEN 0.96 THEN 'high' WHEN 0.35 THEN 'low' ELSE 'medium' END, score, ch, new FROM t),
-listed AS (SELECT * FROM every WHERE grp = 0 UNION ALL
+listed AS MATERIALIZED (SELECT * FROM every WHERE grp = 0 UNION ALL
            SELECT * FROM every ANTI JOIN gone USING (book_id, chapter_index, paragraph) WHERE grp > 0),
 touched AS (SELECT DISTINCT book_id, chapter_index FROM ch),
 -- In a chapter that auto mode left alone, doubtful page numbers are suggested to go: the k-th of equal ones takes
@@ -58,20 +58,25 @@ upto AS (SELECT *, sum(n) OVER (PARTITION BY book_id, chapter_index, o ORDER BY
 suggested AS (SELECT book_id, chapter_index, paragraph, i1, raw,
                 left(raw, instr(raw, o) - 1) || substr(raw, instr(raw, o) + length(o)) AS result
               FROM upto JOIN asked USING (book_id, chapter_index, o) WHERE nth > top - n AND nth <= top),
-changes AS (SELECT book_id, chapter_index, paragraph, i1, raw, result, tag, true AS own FROM ch
+changes AS MATERIALIZED (SELECT book_id, chapter_index, paragraph, i1, raw, result, tag, true AS own FROM ch
             UNION ALL SELECT book_id, chapter_index, paragraph, i1, raw, result,
               CASE WHEN result = '' THEN 'delete' ELSE 'replace' END, false FROM suggested),
-fitting AS (SELECT c.book_id, c.chapter_index, i.paragraph, i.grp, i.seq, row_number() OVER (
-     PARTITION BY c.book_id, c.chapter_index, c.paragraph ORDER BY i.confidence <> 'high', i.paragraph, i.grp, i.seq) AS nth
-   FROM changes c JOIN listed i ON i.book_id = c.book_id AND i.chapter_index = c.chapter_index
-     AND (NOT c.own OR i.paragraph = c.paragraph)
-     AND (({sql_strip('i.original')} <> '' AND (contains(c.raw, {sql_strip('i.original')}) OR contains({sql_strip('i.original')}, {sql_strip('c.raw')})))
-       OR ({sql_strip('i.replacement')} <> '' AND contains(c.result, {sql_strip('i.replacement')})))),
-shown AS (SELECT DISTINCT book_id, chapter_index, paragraph, grp, seq FROM fitting WHERE nth = 1),
+bare AS MATERIALIZED (SELECT *, {sql_strip('original')} AS o, {sql_strip('replacement')} AS r FROM listed),
+-- A change of auto mode stems from an issue of its own paragraph, a suggested one from any of its chapter.
+met AS (SELECT c.book_id, c.chapter_index, c.paragraph AS place, c.raw, c.result, i.paragraph, i.grp, i.seq, i.rule, i.confidence, i.o, i.r
+        FROM changes c JOIN bare i USING (book_id, chapter_index, paragraph) WHERE c.own
+        UNION ALL SELECT c.book_id, c.chapter_index, c.paragraph, c.raw, c.result, i.paragraph, i.grp, i.seq, i.rule, i.confidence, i.o, i.r
+        FROM changes c JOIN bare i USING (book_id, chapter_index) WHERE NOT c.own),
+fitting AS (SELECT *, row_number() OVER (PARTITION BY book_id, chapter_index, place ORDER BY confidence <> 'high', paragraph, grp, seq) AS nth
+   FROM met WHERE (o <> '' AND (contains(raw, o) OR contains(o, {sql_strip('raw')}))) OR (r <> '' AND contains(result, r))),
+shown AS (SELECT * FROM fitting WHERE nth = 1),
 unseen AS (SELECT * FROM listed ANTI JOIN shown USING (book_id, chapter_index, paragraph, grp, seq)
            WHERE confidence <> 'low' AND original <> '' AND original <> replacement),
-review AS (SELECT book_id, chapter_index, i1::INT AS i1, (i1 + length(raw))::INT AS i2, tag, raw AS original, result AS replacement FROM changes
-  UNION ALL SELECT book_id, chapter_index, 0, 0, 'issue_replace', original, replacement FROM unseen)"""
+told AS (SELECT c.book_id, c.chapter_index, c.paragraph, -1 AS grp, 0::BIGINT AS seq, i1::INT AS i1, (i1 + length(c.raw))::INT AS i2, tag,
+           c.raw AS original, c.result AS replacement, coalesce(f.rule, 'cleaned_text_diff') AS rule, coalesce(f.confidence, 'high') AS confidence
+         FROM changes c LEFT JOIN shown f ON f.book_id = c.book_id AND f.chapter_index = c.chapter_index AND f.place = c.paragraph
+  UNION ALL SELECT book_id, chapter_index, paragraph, grp, seq, 0, 0, 'issue_replace', original, replacement, rule, confidence FROM unseen),
+review AS (SELECT *, row_number() OVER (PARTITION BY book_id, chapter_index ORDER BY grp >= 0, paragraph, grp, seq) - 1 AS change_index FROM told)"""
 
 
 @query(
@@ -92,33 +97,53 @@ def issues(spark, sf):
     )
 
 
-@query("review_changes", f"WITH {_LISTED} SELECT * FROM review")
+@query(
+    "review_changes",
+    f"""WITH {_LISTED} SELECT v.book_id, v.chapter_index, change_index, i1, i2, tag, md5(original) AS original, md5(replacement) AS replacement,
+  coalesce(category, 'text_change') AS category, v.rule, v.confidence, v.confidence = 'high' AS default_accepted
+FROM review v LEFT JOIN (SELECT DISTINCT rule, category FROM fact) f ON f.rule = v.rule""",
+)
 def review_changes(spark, sf):
-    """Changes of all chapters, and suggestions that no change shows."""
+    """Changes of all chapters, and suggestions that no change shows, with the issues they stem from."""
     rows = change_rows(_changed(spark, sf))
-    return rows.select("book_id", "chapter_index", "i1", "i2", "tag", "original", "replacement")
+    return rows.select(
+        "book_id", "chapter_index", F.col("change_index").cast("long").alias("change_index"), "i1", "i2", "tag",
+        F.md5("original").alias("original"), F.md5("replacement").alias("replacement"),
+        "category", "rule", "confidence", "default_accepted",
+    )
 
 
 def _decisions(changed):
-    """Every third place rejected, suggestions without a place too."""
+    """Every third place rejected, every third suggestion accepted; texts of six characters and more could be replaced nearly,
+
+    which has no SQL form, so they are turned down.
+    """
     rows = change_rows(changed)
+    suggestion = F.col("tag") == "issue_replace"
     return rows.select(
         "book_id", "chapter_index", "change_index",
-        ((F.col("tag") != "issue_replace") & (F.col("i1") % 3 != 0)).alias("accepted"),
+        F.when(suggestion, (F.col("change_index") % 3 == 0) & (F.length("original") < MIN_BLOCK)).otherwise(F.col("i1") % 3 != 0).alias("accepted"),
     )
 
 
 @query(
     "review_apply",
-    f"""WITH {_PLACES},
-picked AS (SELECT book_id, chapter_index, paragraph, CASE WHEN i1 % 3 <> 0 THEN result ELSE raw END AS part,
-             i1 % 3 <> 0 AND result <> raw AS touched FROM located),
-body AS (SELECT book_id, chapter_index, bool_or(touched) AS touched,
-           string_agg(part, chr(10) || chr(10) ORDER BY paragraph) AS t FROM picked GROUP BY 1, 2)
-SELECT c.book_id, c.chapter_index, md5(CASE WHEN touched THEN regexp_replace(
-   regexp_replace(t, '\\n[{WS}]*\\n(?:[{WS}]*\\n)+', chr(10) || chr(10), 'g'), '^[{WS}]+|[{WS}]+$', '', 'g')
-   ELSE c.text END) AS digest
-FROM chapters c LEFT JOIN body USING (book_id, chapter_index)""",
+    f"""WITH {_LISTED},
+r_picked AS (SELECT l.book_id, l.chapter_index, l.paragraph, CASE WHEN c.i1 % 3 <> 0 THEN c.result ELSE l.raw END AS part,
+             coalesce(c.i1 % 3 <> 0, false) AS touched FROM located l LEFT JOIN changes c USING (book_id, chapter_index, paragraph)),
+r_body AS (SELECT book_id, chapter_index, bool_or(touched) AS touched,
+           string_agg(part, chr(10) || chr(10) ORDER BY paragraph) AS t FROM r_picked GROUP BY 1, 2),
+r_walked AS (SELECT c.book_id, c.chapter_index, c.text, CASE WHEN touched THEN t ELSE c.text END AS t
+           FROM chapters c LEFT JOIN r_body USING (book_id, chapter_index)),
+-- Accepted suggestions take the first place where they are found, one after the other.
+r_asks AS (SELECT book_id, chapter_index, list({{'a': original, 'b': replacement}} ORDER BY change_index) AS l FROM review
+         WHERE tag = 'issue_replace' AND change_index % 3 = 0 AND length(original) < {MIN_BLOCK} GROUP BY 1, 2),
+r_done AS (SELECT w.*, CASE WHEN l IS NULL THEN t ELSE list_reduce(list_prepend({{'a': t, 'b': ''}}, l), lambda x, y: {{
+     'a': CASE WHEN contains(x.a, y.a) THEN left(x.a, instr(x.a, y.a) - 1) || y.b || substr(x.a, instr(x.a, y.a) + length(y.a)) ELSE x.a END,
+     'b': ''}}).a END AS u FROM r_walked w LEFT JOIN r_asks USING (book_id, chapter_index))
+SELECT book_id, chapter_index, md5(CASE WHEN u <> text THEN regexp_replace(
+   regexp_replace(u, '\\n[{WS}]*\\n(?:[{WS}]*\\n)+', chr(10) || chr(10), 'g'), '^[{WS}]+|[{WS}]+$', '', 'g')
+   ELSE u END) AS digest FROM r_done""",
 )
 def review_apply(spark, sf):
     changed = _changed(spark, sf)
@@ -129,7 +154,7 @@ def review_apply(spark, sf):
 @query(
     "review_decisions",
     f"""WITH {_LISTED} SELECT book_id, chapter_index, count(*) AS changes, count(*) FILTER (tag = 'issue_replace') AS suggestions,
-  count(*) FILTER (tag <> 'issue_replace' AND i1 % 3 <> 0) AS accepted FROM review GROUP BY 1, 2""",
+  count(*) FILTER (CASE WHEN tag = 'issue_replace' THEN change_index % 3 = 0 AND length(original) < {MIN_BLOCK} ELSE i1 % 3 <> 0 END) AS accepted FROM review GROUP BY 1, 2""",
 )
 def review_decisions(spark, sf):
     """Decisions on all changes and suggestions."""
