@@ -42,7 +42,8 @@ _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.DOTALL
 )
 _ROLE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
-_RAW = {"script", "style", "template", "noscript", "iframe", "svg", "math", "object", "title", "textarea", "select"}
+_RAW = {"script", "style", "template", "noscript", "iframe", "svg", "title", "textarea", "select"}
+_NEVER_EMPTY = {"script", "style", "iframe", "title", "textarea"}  # a slash at the end of their tags means nothing
 _VOID = {
     "area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr",
 }
@@ -108,7 +109,7 @@ def blocks(page: str) -> list[Block]:
                     flush()
                 close(name)
             continue
-        if name in _RAW:
+        if name in _RAW and (name in _NEVER_EMPTY or not tag[3].endswith("/")):
             end = _end_of(name, page, at)
             at = end
             continue

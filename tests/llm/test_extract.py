@@ -78,3 +78,11 @@ def test_edges(spark, labeller):
     # Without pages to learn from nothing crashes.
     assert main_texts(pages.limit(0)).count() == 0
     assert main_texts(pages).count() == len(rows)
+
+
+def test_closed_elements_do_not_swallow_the_rest():
+    """Elements closed in their own tag hold nothing; formulas and objects are parsed through."""
+    from inkmill.llm.extract import blocks
+
+    page = '<article><p>a one</p><svg class="i"/><p>b two</p><select/><p>c <math><mi>x</mi></math></p><object>d</object><script src="s"/>e</script></article>'
+    assert " ".join(b[1] for b in blocks(page)) == "a one b two c x d"
