@@ -1,6 +1,6 @@
 """Near duplicates by a chosen-path set similarity join.
 
-A document is the set of its distinct 2-word shingles, in lower case. Documents with equal sets form a class; one of
+A document is the set of its distinct shingles in lower case, of five words unless asked otherwise. Documents with equal sets form a class; one of
 each goes on. In each of ``TREES`` independent trees a document follows a path of selected tokens, at every level the
 shingle with the least hash. A node holds the documents that share a path. Nodes with few documents are compared
 exhaustively; larger ones branch by the next token. A pair with a similarity of 0.8 agrees at a level with probability
@@ -18,7 +18,7 @@ Inside a node a sketch of one byte for each lane estimates similarities. Of pair
 go on that hold the node's clusters together by best estimates, a second one for each document, and all between clusters
 whose estimates are less than sure. They are confirmed on full sets. Components join them over all documents.
 
-Texts without words have empty sets and are linked with nothing, null texts too; a text of one word is one shingle. Classes
+Texts without words have empty sets and are linked with nothing, null texts too; a text of fewer words than a shingle is one. Classes
 have numbers of their own, so different texts without an id, or with one id, are linked each by itself. A null id
 never is the smallest; its ``component_id`` is null unless another id is reachable. Rows that repeat id and text carry
 equal answers.
@@ -39,6 +39,7 @@ from inkmill.llm.components import components
 from inkmill.llm.phrases import _IS_SPACE
 from inkmill.llm.repeats import BYTE_SYMBOLS, Rolling, by_bytes, mixed
 
+WORDS = 5  # words of a shingle
 TREES, LEVELS = 20, 4
 LANES = TREES * LEVELS
 #: Depths at which nodes are looked at; beyond ``LEVELS`` a path goes on with the tokens of the next trees.
@@ -56,26 +57,29 @@ _LOWERED[[ord(c) for c in UPPER]] = [ord(c) for c in LOWER]
 _FACTORS = mixed(np.arange(1, LANES + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)
 
 
-def shingles(text: bytes) -> np.ndarray:
-    """Sorted hashes of the distinct 2-word shingles of a text."""
+def shingles(text: bytes, width: int) -> np.ndarray:
+    """Sorted hashes of the distinct shingles of ``width`` words of a text."""
     values = _LOWERED[np.frombuffer(text, dtype=np.uint8)]
     edges = np.flatnonzero(np.diff(np.concatenate(([0], (~_IS_SPACE[values]).view(np.int8), [0]))))
     words = Rolling(BYTE_SYMBOLS[values]).between(edges[::2], edges[1::2])
-    if len(words) > 1:
-        words = mixed(words[:-1] * np.uint64(0x9FB21C651E98DF25) + words[1:])
-    return np.unique(words)
+    width = min(width, len(words))
+    count = len(words) - width + 1 if width else 0
+    found = words[:count]
+    for i in range(1, width):
+        found = mixed(found * np.uint64(0x9FB21C651E98DF25) + words[i : i + count])
+    return np.unique(found)
 
 
 def _signed(values: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(values).view(np.int64)
 
 
-def signatures(texts: DataFrame) -> DataFrame:
+def signatures(texts: DataFrame, width: int) -> DataFrame:
     """``_id``, ``_hash``, set size ``n``, set hash (``a``, ``b``), ``lanes`` and ``sketch`` from (_id, _hash, _text binary)."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in by_bytes(whole, 2, 1 << 21)):
-            sets = [shingles(batch.column(2)[i].as_buffer()) for i in range(batch.num_rows)]
+            sets = [shingles(batch.column(2)[i].as_buffer(), width) for i in range(batch.num_rows)]
             sizes = np.array([len(s) for s in sets], dtype=np.int64)
             filled = np.flatnonzero(sizes)
             a, b = np.zeros(len(sets), np.uint64), np.zeros(len(sets), np.uint64)
@@ -265,7 +269,7 @@ def _pairs(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     """The pairs whose full sets are similar enough; ``texts`` has one row (_id, _text) for each id."""
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,8 +278,8 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             u, v, keep, held, own = batch.column(0), batch.column(1), [], None, None
             for i in range(batch.num_rows):
                 if held is None or u[i].as_py() != held:
-                    held, own = u[i].as_py(), shingles(batch.column(2)[i].as_buffer())
-                other = shingles(batch.column(3)[i].as_buffer())
+                    held, own = u[i].as_py(), shingles(batch.column(2)[i].as_buffer(), width)
+                other = shingles(batch.column(3)[i].as_buffer(), width)
                 shared = len(own) + len(other) - len(np.union1d(own, other))
                 keep.append(whole * shared >= part * (len(own) + len(other) - shared))
             mask = pa.array(keep, pa.bool_())
@@ -289,14 +293,14 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 # ---- members of large nodes, exactly ----------------------------------------------------------------
 
 
-def _commonness(texts: DataFrame) -> np.ndarray:
+def _commonness(texts: DataFrame, width: int) -> np.ndarray:
     """In how many of the texts the shingles of each cell occur. Of fixed size."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(1 << CELLS, dtype=np.int64)
         for batch in batches:
             for text in batch.column(0):
-                np.add.at(cells, shingles(text.as_buffer()) >> np.uint64(64 - CELLS), 1)
+                np.add.at(cells, shingles(text.as_buffer(), width) >> np.uint64(64 - CELLS), 1)
         full = np.flatnonzero(cells)
         for begin in range(0, len(full), 100_000):
             some = full[begin : begin + 100_000]
@@ -332,10 +336,10 @@ def _met(group: np.ndarray, ids: np.ndarray, n: np.ndarray, left: np.ndarray) ->
             yield np.minimum(one, two), np.maximum(one, two)
 
 
-def joined(members: DataFrame, texts: DataFrame) -> DataFrame:
+def joined(members: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     """Pairs (u, v) of ``members`` (_id, _group) of different groups to confirm, with all that are similar enough."""
     own = written(members.join(texts.hint("merge"), "_id"), "near-members")
-    common = own.sparkSession.sparkContext.broadcast(_commonness(own))
+    common = own.sparkSession.sparkContext.broadcast(_commonness(own, width))
     parts = int(own.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -343,7 +347,7 @@ def joined(members: DataFrame, texts: DataFrame) -> DataFrame:
         for batch in (some for whole_batch in batches for some in by_bytes(whole_batch, 2, 1 << 21)):
             firsts, sizes = [], []
             for text in batch.column(2):
-                own_set = shingles(text.as_buffer())
+                own_set = shingles(text.as_buffer(), width)
                 order = np.lexsort((own_set, common.value[own_set >> np.uint64(64 - CELLS)]))
                 n = len(own_set)
                 firsts.append(own_set[order[: n - (part * n + whole - 1) // whole + 1]])
@@ -433,13 +437,13 @@ def least_ids(reached: DataFrame, classes: DataFrame) -> DataFrame:
     return lookup(linked.select("_id", "component"), least, ["component"], "inner").select("_id", "_component")
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Id, ``n_shingles``, ``component_id`` and ``kept`` of every document."""
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
+    """Id, ``n_shingles``, ``component_id`` and ``kept`` of every document, by shingles of ``words`` words."""
     texts = docs.select(
         F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LAST)).alias("_id"),
         F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).cast("binary").alias("_text"),
     ).withColumn("_hash", F.xxhash64("_text"))
-    signed = written(signatures(texts), "near-signatures")
+    signed = written(signatures(texts, words), "near-signatures")
     keys = ["n", "a", "b"]
     # A class has a number, its least id, and with the hash of a text under that id the row that stands for it.
     classes = written(
@@ -461,13 +465,13 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         large = written(large.select("_id").distinct(), "near-large")
         ends = ends.unionByName(large).distinct()
     wanted = texts_of(ends, classes, texts)
-    links = written(confirmed(pairs, wanted), "near-links")
+    links = written(confirmed(pairs, wanted, words), "near-links")
     reached = components(links)
     if large is not None:
         grouped = large.join(reached.withColumnRenamed("node", "_id"), "_id", "left")
         members = grouped.select("_id", F.coalesce("component", "_id").alias("_group"))
-        more = written(joined(members, wanted).distinct(), "near-more-pairs")
-        links = written(confirmed(more, wanted), "near-more-links")
+        more = written(joined(members, wanted, words).distinct(), "near-more-pairs")
+        links = written(confirmed(more, wanted, words), "near-more-links")
         if not links.isEmpty():
             reached = components(links.unionByName(reached.select(F.col("node").alias("u"), F.col("component").alias("v"))))
     named = classes.select("_id", "_least", *keys).join(least_ids(reached, classes), "_id", "left").select(

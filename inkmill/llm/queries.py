@@ -168,7 +168,7 @@ FROM s LEFT JOIN sets ON s.sh = sets.sh LEFT JOIN comp ON sets.rep = comp.node""
 )
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the component of near duplicates it belongs to."""
-    return near_groups(table(spark, sf_dir, "documents"))
+    return near_groups(table(spark, sf_dir, "documents"), words=2)
 
 
 @query("op4_decontaminate")

@@ -29,7 +29,7 @@ def test_stages(spark):
     want = [set(kept)]
     kept = {r[0] for r in exact(pairs()) if r[3]}
     want.append(set(kept))
-    kept = {r[0] for r in near(pairs()) if r[3]}
+    kept = {r[0] for r in near(pairs(), 5) if r[3]}
     want.append(set(kept))
     items = [normalised((r.text or "").encode()) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     grams = [{t[i : i + 6] for i in range(len(t) - 5)} for t in items]
