@@ -6,7 +6,10 @@ count is one more than the shorter prefix has. Two tokens go together when undoi
 never meets a merge across the border that the encoder would have made earlier.
 
 A text is cut into units: white space with the piece after it. What follows a unit does not change the counts
-of its prefixes, so that counts add up along the text. Units repeat; each worker keeps a bounded table of them.
+of its prefixes, so that counts add up along the text. Units repeat; each worker keeps a table of them, bounded in
+number and bytes. Short pieces are worked out together, all prefixes of one length at a time. A long piece without a
+break goes by itself: an automaton of all tokens names those that end at each byte, longest first, and what goes
+together is remembered; time and memory are linear in the piece.
 
 ``prefix_counts`` gives one row per document: id, ``n_bytes``, ``n_tokens`` and ``steps``: for each UTF-8 byte of
 the text a signed byte, the count of the prefix that ends there less the one before. Running sums of ``steps``
@@ -20,9 +23,11 @@ token, as the library has it by default. Repeated rows give repeated answers, nu
 from __future__ import annotations
 
 import json
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -32,6 +37,9 @@ from pyspark.sql import functions as F
 from inkmill.llm.common import text_or_empty
 
 KEPT_UNITS = 400_000  # units a worker remembers
+KEPT_BYTES = 64_000_000  # and their bytes
+KEPT_BORDERS = 1_000_000  # pairs of tokens whose border is remembered
+LONG_PIECE = 256  # bytes from which a piece is worked out by itself
 CHUNK_BYTES = 4_000_000  # text that a worker looks at together
 
 # How the vocabulary cuts texts into pieces, here with the white space before a piece.
@@ -78,7 +86,12 @@ class Vocabulary:
         whole = [t for t in names if len(plain.tokenize(t)) == 1]
         nodes: dict[tuple[int, int], int] = {}
         tokens = [-1]
+        self._ending = ahocorasick.Automaton()
+        self._merged = dict(zip(pairs.tolist(), range(256, 256 + len(merges)), strict=True))
+        self._parts = list(zip(self.left.tolist(), self.right.tolist(), strict=True))
+        self._borders: dict[int, bool] = {}
         for name in whole:
+            self._ending.add_word("".join(chr(to_byte[c]) for c in name), (len(name), number[name]))
             at = 0
             for c in name:
                 key = (at, to_byte[c])
@@ -92,6 +105,7 @@ class Vocabulary:
         self._edges = edges[order]
         self._child = np.fromiter(nodes.values(), dtype=np.int64, count=len(nodes))[order]
         self._token = np.array(tokens, dtype=np.int32)
+        self._ending.make_automaton()
 
     def fits(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
         """Whether the encoder leaves each two tokens next to each other as they are."""
@@ -112,8 +126,56 @@ class Vocabulary:
             at, a, b, later = at[go], a[go], b[go], later[go]
         return fine
 
+    def _border(self, a: int, b: int) -> bool:
+        """:meth:`fits` for one pair of tokens."""
+        later = 1 << 40
+        while True:
+            if self._merged.get(a << 20 | b, later) < later:
+                return False
+            if a >= 256 and (a > b or b < 256):
+                later, a = a, self._parts[a][1]
+            elif b >= 256:
+                later, b = b + 1, self._parts[b][0]
+            else:
+                return True
+
+    def long_prefixes(self, piece: bytes) -> np.ndarray:
+        """Token counts at every prefix of one piece, from its first byte to its last."""
+        last, counts = array("i", bytes(4 * len(piece))), array("i", bytes(4 * len(piece)))
+        known, done = self._borders, -1
+        for end, (size, token) in self._ending.iter(piece.decode("latin-1")):
+            if end == done:  # a longer token went together with what is before it
+                continue
+            before = end - size
+            if before >= 0:
+                pair = last[before] << 20 | token
+                fine = known.get(pair)
+                if fine is None:
+                    if len(known) >= KEPT_BORDERS:
+                        known.clear()
+                    fine = known[pair] = self._border(last[before], token)
+                if not fine:
+                    continue
+                counts[end] = counts[before] + 1
+            else:
+                counts[end] = 1
+            last[end], done = token, end
+        return np.frombuffer(counts, dtype=np.int32)
+
     def prefixes(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Token counts at every prefix of all pieces, one after the other, and where each piece starts."""
+        sizes = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
+        starts = np.cumsum(sizes) - sizes
+        short = [p for p in pieces if len(p) < LONG_PIECE]
+        if len(short) == len(pieces):
+            return self._short_prefixes(pieces)
+        counts = np.zeros(int(sizes.sum()), dtype=np.int32)
+        counts[np.repeat(sizes < LONG_PIECE, sizes)] = self._short_prefixes(short)[0]
+        for i in np.flatnonzero(sizes >= LONG_PIECE).tolist():
+            counts[starts[i] : starts[i] + sizes[i]] = self.long_prefixes(pieces[i])
+        return counts, starts
+
+    def _short_prefixes(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         sizes = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
         starts = np.cumsum(sizes) - sizes
         text = np.frombuffer(b"".join(pieces), dtype=np.uint8).astype(np.int64)
@@ -166,10 +228,12 @@ class PrefixCounter:
         self._special = regex.compile("(" + "|".join(specials) + ")") if specials else None
         self._steps: dict[str, bytes] = {}
         self._totals: dict[str, int] = {}
+        self._held = 0
 
     def _learn(self, units: set[str], with_steps: bool) -> None:
         known = self._steps if with_steps else self._totals
         new = [u for u in units if u not in known]
+        self._held += sum(map(len, new))
         # Most units are a word with one space or none before it: one piece each.
         plain = [u for u in new if u.lstrip(_BLANKS) in (u, u[1:]) and u[0] in (" ", u.lstrip(_BLANKS)[:1])]
         plain = [u for u in plain if u not in _SHORT_ENDINGS]
@@ -227,9 +291,10 @@ class PrefixCounter:
         return self._special.split(text)
 
     def count(self, texts: list[str], with_steps: bool) -> list[tuple[int, bytes | None]]:
-        if len(self._totals) > KEPT_UNITS:
+        if len(self._totals) > KEPT_UNITS or self._held > KEPT_BYTES:
             self._steps.clear()
             self._totals.clear()
+            self._held = 0
         parts = [self._pieces(t) for t in texts]
         plain = [self._segment(p[0]) if len(p) == 1 else None for p in parts]
         wanted: set[str] = set()

@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import public_tokenizers
 import pytest
@@ -45,6 +47,30 @@ def test_random_texts(text):
     check(text)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from(["a", "=", "-", "ab", "the", "é", "中", "9", "_-", "AbC", " ", "  ", "\n"]), min_size=1, max_size=6), st.integers(40, 90))
+def test_long_pieces_at_every_prefix(parts, times):
+    check("".join(p * times for p in parts))
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from("a=-.9_é中x \n"), st.integers(1, 10_000)), min_size=1, max_size=5))
+def test_unbroken_runs(runs):
+    text = "".join(c * n for c, n in runs)
+    assert OWN.count([text], False)[0][0] == by_library(text)
+    assert OWN.vocabulary.fits(np.array([97]), np.array([98]))[0] == OWN.vocabulary._border(97, 98)
+
+
+@pytest.mark.parametrize("text", ["=" * 1_000_000, "a" * 1_000_000, "QUJD/+Zx9k" * 100_000, "loremipsumdolor" * 70_000])
+def test_an_unbroken_megabyte(text):
+    begin = time.perf_counter()
+    want = by_library(text)
+    library = time.perf_counter() - begin
+    [(total, steps)] = OWN.count([text], True)
+    assert total == want == counts_from(steps)[-1]
+    assert time.perf_counter() - begin - library <= max(50 * library, 5)
+
+
 def test_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = prefix_counts(docs, PATH, steps=False).join(docs, "doc_id").collect()
