@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -18,11 +20,11 @@ from inkmill.plans.catalog import (
     books, chapter_links, chapter_texts, chapter_titles, directory_pages, parsed_pages,
 )
 from inkmill.plans.ingest import IngestOptions, duplicate_report, failure_report, ingest, ingest_summary
-from inkmill.session import dealt
+from inkmill.session import dealt, shared_folder
 from inkmill.sources.sinks import chapter_files
 from inkmill.sources.sites import Part, Site, route
 from inkmill.sources.state import latest_state
-from inkmill.streaming.ingest import event_counts, first_seen, ingest_events
+from inkmill.streaming.ingest import current_state, event_counts, first_seen, ingest_batch, ingest_events
 from inkmill.suite.data import WS, documents, same, sql_chapters, sql_strip, table
 from inkmill.suite.registry import query
 
@@ -523,3 +525,27 @@ def chapter_files_query(spark, sf):
 )
 def first_seen_query(spark, sf):
     return first_seen(documents(spark, sf)).select("book_id", "digest")
+
+
+# ---- state over batches ------------------------------------------------------------------------
+
+# All documents, the last digit of their number says in which of ten batches they land.
+_BATCHES_SQL = f"""{_CH}, d AS (SELECT *, {_DIGEST} AS digest, coalesce(text, '') = '' AS bad FROM chapters),
+w AS (SELECT *, first_value(title) OVER g AS ft, first_value(url) OVER g AS fu, row_number() OVER g AS rn
+      FROM d WHERE NOT bad WINDOW g AS (PARTITION BY book_id, digest ORDER BY chapter_index % 10, chapter_index))"""
+
+
+@query(
+    "state_batches",
+    f"""WITH {_BATCHES_SQL} SELECT book_id, url, title, CASE WHEN rn = 1 THEN 'completed' ELSE 'duplicate' END AS status,
+  digest, CASE WHEN rn > 1 THEN ft END AS first_title, CASE WHEN rn > 1 THEN fu END AS first_url FROM w
+UNION ALL SELECT book_id, url, title, 'failed', NULL, NULL, NULL FROM d WHERE bad""",
+)
+def state_batches(spark, sf):
+    """State after all documents came in ten batches, each against the state of those before."""
+    out = f"{shared_folder(spark)}/state-batches-{uuid.uuid4().hex}"
+    none = F.lit(None).cast("string")
+    landed = documents(spark, sf).withColumns({"number": F.lit(None).cast("bigint"), "error": none})
+    for k in range(10):
+        ingest_batch(landed.filter(F.pmod("chapter_index", F.lit(10)) == k), k, out)
+    return current_state(spark, out).select("book_id", "url", "title", "status", "digest", "first_title", "first_url")
