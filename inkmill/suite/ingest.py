@@ -384,6 +384,30 @@ def page_digest(spark, sf):
     return texts.select("page_id", "url", F.when(F.col("text") != "", content_hash("text")).alias("digest"), "error")
 
 
+# Pages in a layout that no site knows: the navigation says it is the content, the advert that it is the chapter.
+_GENERIC = [
+    ("<article>", '<div class="read body">'), ("</article>", "</div>"), ("<nav>", '<div id="content">'),
+    ("</nav>", "</div>"), ('class="ad"', 'class="ad chapter"'),
+]
+_AD = "regexp_replace(regexp_extract(html, '<div class=\"ad\">(.*?)</div>', 1, 's'), '<[^>]*>', '', 'g')"
+
+
+@query(
+    "generic_content",
+    f"""WITH a AS (SELECT page_id, url, regexp_replace({_sql_unescape(_ARTICLE)}, '[{WS}]+', '', 'g') AS t,
+  regexp_replace({_sql_unescape(_AD)}, '[{WS}]+', '', 'g') AS ad FROM pages)
+SELECT page_id, url, CASE WHEN t <> '' THEN sha256(t) WHEN ad <> '' THEN sha256(ad) END AS digest,
+  CASE WHEN t = '' AND ad = '' THEN 'no content area' END AS error FROM a""",
+)
+def generic_content(spark, sf):
+    """Content of pages without a known layout: the best named element that is not mostly links."""
+    html = F.col("html")
+    for known, other in _GENERIC:
+        html = F.replace(html, F.lit(known), F.lit(other))
+    texts = chapter_texts(parsed_pages(pages(spark, sf).withColumn("html", html), [FALLBACK]), [FALLBACK])
+    return texts.select("page_id", "url", F.when(F.col("text") != "", content_hash("text")).alias("digest"), "error")
+
+
 # The provided pages name their host in the footer; their advert stands for a description.
 META_SITE = Site(
     "meta",
