@@ -3,7 +3,8 @@ import random
 import numpy as np
 import pytest
 
-from inkmill.llm.decontam import Items, best_stretch, leaked, normalised, repetitions, walks
+from inkmill.llm import decontam
+from inkmill.llm.decontam import BITS, AGREE, Items, best_stretch, collide, leaked, normalised, repetitions, walks
 
 
 def slow_stretch(item, region):
@@ -38,9 +39,50 @@ def test_stretch(seed):
 
 
 def test_walk_keeps_equal_texts_together():
-    one, two = walks([b"some passage of a benchmark", b"some passage of a benchmark"], 81, 3)
+    (one, two), filled = walks([b"some passage of a benchmark", b"some passage of a benchmark"], 81, 3)
     assert np.array_equal(one, two)
-    assert 1 - (1 - 0.5**3) ** repetitions(0.999) >= 0.999
+    assert (one[: filled[0]] != 0).all() and (one[filled[0] :] == 0).all()
+    assert 1 - (1 - AGREE**BITS) ** repetitions(0.999) >= 0.999
+
+
+LENGTHS = [(16, 19), (20, 34), (35, 80), (166, 166), (400, 400)]
+
+
+def prose_of(rng, n):
+    words = ["".join(rng.choices("etaoinshrdlu", k=rng.randint(1, 9))) for _ in range(n)]
+    return " ".join(words)[:n].strip().ljust(n, "e")
+
+
+@pytest.mark.parametrize("least, most", LENGTHS)
+def test_unrelated_windows_do_not_collide(least, most):
+    rng = random.Random(least)
+    sizes = [rng.randint(least, most) for _ in range(500)]
+    windows, items = ([prose_of(rng, n).encode() for n in sizes] for _ in range(2))
+    assert collide(windows, items, 0.999).mean() < 0.05
+    assert collide(items, items, 0.999).all()
+
+
+@pytest.mark.parametrize("least, most", LENGTHS)
+def test_recall_by_length(least, most):
+    """Passages with all the edits allowed, against the exact distance to the whole text."""
+    rng = random.Random(most)
+    items = [prose_of(rng, rng.randint(least, most)) for _ in range(200)]
+    texts = [
+        f"{prose_of(rng, 90)} {edited(rng, x, len(x) // 10)} {prose_of(rng, 90)}".encode() for x in items
+    ]
+    own = Items(list(range(200)), [x.encode() for x in items], 0.1)
+    want = {i for i in range(200) if best_stretch(own.texts[i], texts[i])[0] <= own.allowed[i]}
+    got = {text for text, item, _, _ in own.leaks(texts, 0.999) if text == item}
+    assert len(want) > 190 and len(want & got) >= 0.99 * len(want) and got <= want
+
+
+def test_only_collisions_are_verified(monkeypatch):
+    """The samples decide what is compared exactly: without a collision nothing is found."""
+    item = "the quick brown fox jumps over the lazy dog near the river"
+    own, texts = Items([1], [item.encode()], 0.1), [f"and {item} again".encode()]
+    assert [x[:3] for x in own.leaks(texts, 0.999)] == [(0, 0, 0)]
+    monkeypatch.setattr(decontam, "collide", lambda windows, items, recall: np.zeros(len(windows), dtype=bool))
+    assert not list(own.leaks(texts, 0.999))
 
 
 def test_brute_force(spark):
