@@ -157,10 +157,35 @@ JUDGED = f"kind int, {ROW}, n long, several boolean"
 COVERED, EDGE, OPEN = 0, 1, 2
 
 
-def _judge_bucket(lead, context, doc, tag, place, everywhere: bool) -> dict[str, np.ndarray]:
+def hashed(*values) -> np.ndarray:
+    """A hash of rows of whole numbers."""
+    key = np.zeros(1, dtype=np.uint64)
+    for v in values:
+        key = mixed(key * _BASE + np.asarray(v).astype(np.int64).view(np.uint64))
+    return key
+
+
+def _extents(lead, sets, doc, tag, place) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows around one anchor that occur at the same anchors, told by ``sets``, as one stretch: (doc, tag, place)."""
+    if not len(lead):
+        return doc, tag, place
+    first, last = place >> 16, (place >> 16) + (place & 0xFF)
+    anchor = first + ((place >> 8) & 0xFF)
+    order = np.lexsort((first, hashed(lead, sets, doc, tag, anchor)))
+    new = np.zeros(len(order), dtype=bool)
+    new[0] = True
+    for key in (lead, sets, doc, tag, anchor):
+        new[1:] |= key[order][1:] != key[order][:-1]
+    begin = np.flatnonzero(new)
+    least, most = first[order][begin], np.maximum.reduceat(last[order], begin)
+    return doc[order][begin], tag[order][begin], (least << 16) | (most - least)
+
+
+def _judge_bucket(lead, context, doc, tag, place, once: bool) -> dict[str, np.ndarray]:
     """What a sorted bucket tells: covered rows, edges, and the open contexts at its ends.
 
-    ``everywhere``: rows are covered if their context occurs at all elsewhere, else only if it does earlier.
+    Rows are covered if their context occurs earlier too; with ``once`` only the first row of a context that occurs
+    again is, and windows around one anchor that occur at the same anchors are one row.
     """
     n = len(lead)
     new_group = np.concatenate(([True], lead[1:] != lead[:-1]))
@@ -170,21 +195,28 @@ def _judge_bucket(lead, context, doc, tag, place, everywhere: bool) -> dict[str,
     members = np.diff(np.append(firsts, n))
     group = np.cumsum(new_group)[firsts] - 1
     several = np.bincount(group)[group] > 1
-    if everywhere:
-        covered = members[variant] > 1
-    else:
-        first = firsts[variant]
-        covered = (doc != doc[first]) | (tag != tag[first]) | (place != place[first])
     is_open = np.zeros(len(firsts), dtype=bool)
     is_open[[0, -1]] = True
-    rows = [np.flatnonzero(covered), firsts[several & ~is_open], firsts[is_open]]
-    at = np.concatenate(rows)
-    kinds = np.repeat([COVERED, EDGE, OPEN], [len(r) for r in rows])
+    if once:
+        sets = np.add.reduceat(hashed(doc, tag, (place >> 16) + ((place >> 8) & 0xFF)), firsts)
+        shown = (members > 1) & ~is_open
+        at = firsts[shown]
+        found = _extents(lead[at], sets[shown].view(np.int64), doc[at], tag[at], place[at])
+    else:
+        first = firsts[variant]
+        at = np.flatnonzero((doc != doc[first]) | (tag != tag[first]) | (place != place[first]))
+        found = doc[at], tag[at], place[at]
+    rest = [firsts[several & ~is_open], firsts[is_open]]
+    kinds = np.repeat([COVERED, EDGE, OPEN], [len(found[0]), *map(len, rest)])
+    at = np.concatenate(rest)
+    none = np.zeros(len(found[0]), dtype=np.int64)
     return {
         "kind": kinds.astype(np.int32),
-        "lead": np.where(kinds == COVERED, 0, lead[at]), "context": np.where(kinds == COVERED, 0, context[at]),
-        "doc": doc[at], "tag": tag[at], "place": place[at],
-        "n": members[variant[at]], "several": several[variant[at]],
+        "lead": np.concatenate((none, lead[at])), "context": np.concatenate((none, context[at])),
+        "doc": np.concatenate((found[0], doc[at])), "tag": np.concatenate((found[1], tag[at])),
+        "place": np.concatenate((found[2], place[at])),
+        "n": np.concatenate((none, members[variant[at]])),
+        "several": np.concatenate((none > 0, several[variant[at]])),
     }
 
 
@@ -197,7 +229,7 @@ def bucketed(batch: pa.RecordBatch, cuts) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(bucket), *batch.columns], names=["bucket", *batch.schema.names])
 
 
-def judged(rows: Callable, sample: DataFrame, share: float, everywhere: bool, name: str) -> DataFrame:
+def judged(rows: Callable, sample: DataFrame, share: float, once: bool, name: str) -> DataFrame:
     """Covered rows and edges of ``rows``, by buckets between splitters that ``sample`` gives.
 
     ``rows`` makes the rows with their buckets from the splitters, in the same Python worker that makes them.
@@ -224,7 +256,7 @@ def judged(rows: Callable, sample: DataFrame, share: float, everywhere: bool, na
         for own in np.unique(bucket):
             part = columns if (bucket == own).all() else [c[bucket == own] for c in columns]
             order = multikey_order(part)
-            found = _judge_bucket(*[c[order] for c in part], everywhere)
+            found = _judge_bucket(*[c[order] for c in part], once)
             for begin in range(0, len(found["kind"]), 100_000):
                 yield pa.RecordBatch.from_pydict({k: pa.array(v[begin : begin + 100_000]) for k, v in found.items()})
 
@@ -240,7 +272,7 @@ def judged(rows: Callable, sample: DataFrame, share: float, everywhere: bool, na
         .withColumn("most", F.max("several").over(W.partitionBy("lead")))
         .withColumn("contexts", F.size(F.collect_set("context").over(W.partitionBy("lead"))))
     )
-    late = (F.col("total") > 1) & (F.col("n") == 1) if everywhere else ~F.col("first")
+    late = F.col("first") & (F.col("total") > 1) if once else ~F.col("first")
     settled = spread.filter(late).withColumn("kind", F.lit(COVERED)).unionByName(
         spread.filter(F.col("first") & (F.col("most") | (F.col("contexts") > 1)))
         .dropDuplicates(["lead", "context"])
@@ -284,10 +316,7 @@ def first_window(places: Column) -> Column:
 
 def _drawn(share: float, *values) -> np.ndarray:
     """Which rows are among a ``share`` of all, by a hash of their values."""
-    key = np.zeros(1, dtype=np.uint64)
-    for v in values:
-        key = mixed(key * _BASE + np.asarray(v).astype(np.int64).view(np.uint64))
-    return (key >> np.uint64(11)).astype(np.float64) < share * float(1 << 53)
+    return (hashed(*values) >> np.uint64(11)).astype(np.float64) < share * float(1 << 53)
 
 
 class Sample(NamedTuple):
@@ -304,28 +333,42 @@ def sample_of(size: int) -> Sample:
     return Sample(min(1.0, read / max(size, 1)), min(1.0, wanted / max(min(size, read) * ROWS_PER_BYTE, 1)))
 
 
+class Anchors(NamedTuple):
+    """Anchors of a column of texts: row, lead, hash of the context, first window, windows before the anchor and after the first."""
+
+    row: np.ndarray
+    lead: np.ndarray
+    context: np.ndarray
+    first: np.ndarray
+    before: np.ndarray
+    windows: np.ndarray
+
+
+def anchored(data: pa.Array, sequence, width: int, gram: int, *sampled) -> Iterator[Anchors]:
+    """All anchors of a column of texts, by row and place; ``sampled``: ids, tags and the sample to draw."""
+    for symbols, heads, chosen in chunks(data, sequence, width, *sampled):
+        number = np.array([c[0] for c in chosen])
+        begin = np.array([c[1] for c in chosen])
+        sizes = np.array([c[2] - c[1] for c in chosen])
+        starts = np.cumsum(sizes) - sizes
+        at, first, last, grams, rolling = anchors(symbols, starts, sizes, width, gram)
+        if at.size:
+            piece = np.searchsorted(starts, at, side="right") - 1
+            lead = (heads[at].astype(np.uint64) << np.uint64(32)) | (grams >> np.uint64(32))
+            context = rolling.between(first, last + width) ^ mixed((at - first + 1).astype(np.uint64))
+            own = first - starts[piece] + begin[piece]
+            signed = lead.view(np.int64) ^ np.int64(NO_ID)
+            yield Anchors(number[piece], signed, context.view(np.int64), own, at - first, last - first)
+
+
 def anchor_rows(texts: DataFrame, sequence, width: int, gram: int, cuts=None, sample: Sample | None = None) -> DataFrame:
     """Rows (lead, context, doc, tag, place) of all anchors, or of a sample of them."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             docs, tags, data = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
-            for symbols, heads, chosen in chunks(data, sequence, width, docs, tags, sample):
-                number = np.array([c[0] for c in chosen])
-                begin = np.array([c[1] for c in chosen])
-                sizes = np.array([c[2] - c[1] for c in chosen])
-                starts = np.cumsum(sizes) - sizes
-                at, first, last, grams, rolling = anchors(symbols, starts, sizes, width, gram)
-                if not at.size:
-                    continue
-                piece = np.searchsorted(starts, at, side="right") - 1
-                lead = (heads[at].astype(np.uint64) << np.uint64(32)) | (grams >> np.uint64(32))
-                context = rolling.between(first, last + width) ^ mixed((at - first + 1).astype(np.uint64))
-                where = place(first - starts[piece] + begin[piece], at - first, last - first)
-                own = [
-                    lead.view(np.int64) ^ np.int64(NO_ID), context.view(np.int64),
-                    docs[number[piece]], tags[number[piece]], where,
-                ]
+            for a in anchored(data, sequence, width, gram, docs, tags, sample):
+                own = [a.lead, a.context, docs[a.row], tags[a.row], place(a.first, a.before, a.windows)]
                 if sample:
                     taken = _drawn(sample.rows, *own[1:])
                     own = [c[taken] for c in own]
@@ -334,7 +377,7 @@ def anchor_rows(texts: DataFrame, sequence, width: int, gram: int, cuts=None, sa
     return texts.select("_doc", "_tag", F.col("_text").cast("binary")).mapInArrow(make, BUCKETED if cuts else ROW)
 
 
-def chunks(data: pa.Array, sequence, width: int, docs: np.ndarray, tags: np.ndarray, sample: Sample | None = None):
+def chunks(data: pa.Array, sequence, width: int, docs=None, tags=None, sample: Sample | None = None):
     """Symbols and leading values of a column of texts, in chunks, with the pieces each holds; of a sample only its pieces."""
     held, begin, values = 0, 0, data
     sizes = np.diff(np.frombuffer(values.buffers()[1], dtype=np.int32, offset=4 * values.offset, count=len(values) + 1))
@@ -389,7 +432,7 @@ def edge_windows(texts: DataFrame, edges: DataFrame, sequence, width: int, cuts=
                     hashes = rolling.between(start - base, start - base + width)
                     hashes = (hashes ^ mixed((before + 1).astype(np.uint64))).view(np.int64)
                     same = [np.full(len(start), x, dtype=np.int64) for x in (doc, tag)]
-                    own = [np.repeat(leads[some], many), hashes, *same, start << 16]
+                    own = [np.repeat(leads[some], many), hashes, *same, place(start, before, 0)]
                     held.append(own)
                     rows += len(start)
                     if rows > 100_000:
@@ -418,18 +461,18 @@ def by_bytes(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.Recor
         yield batch.slice(begin)
 
 
-def repeated(
-    texts: DataFrame, sequence, width: int, gram: int, everywhere: bool, name: str
-) -> DataFrame:
-    """Runs of windows that are covered: (_doc, _tag, first, last), as first symbol and last window's first symbol.
+def repeated(texts: DataFrame, sequence, width: int, gram: int, name: str, once: bool = False) -> DataFrame:
+    """Runs of windows that occur earlier too: (_doc, _tag, first, last), as first symbol and last window's first symbol.
 
+    With ``once`` instead one place of each stretch of windows that occurs more than once: every window that does lies in
+    a stretch, and a stretch occurs wherever any window of it does next to the same anchor.
     ``sequence`` turns the UTF-8 bytes of a text into its symbols, 64-bit hashes, and leading values of 32 bits.
     """
     size = texts.agg(F.sum(F.octet_length("_text")).alias("n")).first().n or 0
     drawn = sample_of(size)
     sample = anchor_rows(texts, sequence, width, gram, sample=drawn)
     first = judged(
-        lambda cuts: anchor_rows(texts, sequence, width, gram, cuts), sample, drawn.pieces * drawn.rows, everywhere, f"{name}-anchors"
+        lambda cuts: anchor_rows(texts, sequence, width, gram, cuts), sample, drawn.pieces * drawn.rows, once, f"{name}-anchors"
     )
     edges = first.filter(f"kind = {EDGE}")
     count = edges.count()
@@ -438,7 +481,7 @@ def repeated(
     few = edges.filter(F.pmod(F.xxhash64("doc", "tag", "place"), F.lit(1_000_000)) < F.lit(int(np.ceil(share * 1_000_000))))
     sample = edge_windows(texts, few, sequence, width)
     second = judged(
-        lambda cuts: edge_windows(texts, edges, sequence, width, cuts), sample, share, everywhere, f"{name}-edges"
+        lambda cuts: edge_windows(texts, edges, sequence, width, cuts), sample, share, once, f"{name}-edges"
     )
     covered = first.filter(f"kind = {COVERED}").unionByName(second.filter(f"kind = {COVERED}"))
     place_ = F.col("place")

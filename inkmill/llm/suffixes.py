@@ -50,7 +50,7 @@ def without_repeats(
 ) -> DataFrame:
     """Id, ``n_bytes``, ``n_removed``, ``n_spans``, ``spans`` (first byte, end) and the ``kept`` bytes."""
     texts = numbered(docs, id_col, text_col)
-    covered = repeated(texts, byte_sequence, width, gram, everywhere=False, name="suffixes")
+    covered = repeated(texts, byte_sequence, width, gram, "suffixes")
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in by_bytes(whole, 1, 4 << 20)):
             ids, sizes, removed, spans, kept = batch.column(0), [], [], [], []

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from inkmill.llm import repeats
+from inkmill.llm import phrases, repeats
 from inkmill.llm.phrases import without_phrases
 from inkmill.llm.repeats import Rolling, multikey_order
 from inkmill.llm.suffixes import without_repeats
@@ -149,6 +149,62 @@ def test_thousands_of_texts_without_an_id(spark):
     assert sorted(map(tuple, got.collect()), key=str) == brute_words(rows, 35)
 
 
+def test_phrases_decide(spark, monkeypatch):
+    """Only what the automata find goes: without the phrases nothing is removed. Each phrase is confirmed once."""
+    rng = random.Random(13)
+    words = ["".join(rng.choices("abcdef", k=5)) for _ in range(500)]
+    shared = " ".join(rng.choices(words, k=70))
+    own = [[" ".join(f"{side}{i}n{k}" for k in range(30)) for side in "lr"] for i in range(60)]
+    rows = [(i, f"{left} {shared} {right}") for i, (left, right) in enumerate(own)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    texts = repeats.numbered(docs, "doc_id", "text")
+    found = phrases.confirmed(texts, 35, 10)
+    listed = [bytes(r.words).decode().split() for r in found.collect()]
+    windows = {tuple(w[s : s + 35]) for w in listed for s in range(len(w) - 34)}
+    whole = shared.split()
+    assert windows == {tuple(whole[s : s + 35]) for s in range(36)}
+    assert len(listed) == len(set(map(tuple, listed))) <= 36  # however many documents there are
+    monkeypatch.setattr(phrases, "confirmed", lambda *_: found.filter("false"))
+    assert without_phrases(docs).agg(F.sum("n_removed")).first()[0] == 0
+
+
+def test_blocks_of_phrases_and_stretches(spark, monkeypatch):
+    """Keys with many phrases and many occurrences: one core, with neighbours that some of the documents share."""
+    rng = random.Random(17)
+    words = ["".join(rng.choices("abcdef", k=5)) for _ in range(500)]
+    core = " ".join(rng.choices(words, k=20))
+    rows = []
+    for i in range(150):
+        left, right = " ".join(rng.choices(words, k=40)), " ".join(rng.choices(words, k=40))
+        rows += [(3 * i, f"{left} {core} {right}"), (3 * i + 1, f"{left} {core} {rng.choice(words)}"), (3 * i + 2, f"x {core} {right}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    monkeypatch.setattr(phrases, "PHRASES_PER_SHARD", 20)
+    got = without_phrases(docs).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256))
+    assert sorted(map(tuple, got.collect()), key=str) == brute_words(rows, 35)
+
+
+def test_automaton_of_words():
+    automaton = phrases.Automaton()
+    for phrase in (b"a bc a", b"c a", b"a bc"):
+        automaton.add(phrase.split())
+    assert sorted(automaton.hits(b"x a bc a c a abc".split())) == [(2, 2), (3, 3), (5, 2)]
+    assert automaton.hits([b"ab", b"c"]) == []
+
+
+def test_routes_meet():
+    """Every phrase of a key meets every stretch of it in some shard, once."""
+    shards = phrases.Shards(50, np.array([5, 9]), np.array([3, 1]), np.array([4, 2]))
+    own = np.arange(40, dtype=np.uint64)
+    for key in (1, 5, 9):
+        keys = np.full(40, key)
+        where = [{} for _ in range(2)]
+        for kind in (phrases.PHRASE, phrases.STRETCH):
+            for row, shard in zip(*shards.route(keys, own, kind)):
+                where[kind].setdefault(int(row), set()).add(int(shard))
+        assert all(a & b for a in where[0].values() for b in where[1].values())
+    assert len(shards.route(np.array([5]), own[:1], phrases.PHRASE)[0]) == 4
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert without_repeats(docs).count() == 0
