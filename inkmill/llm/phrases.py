@@ -93,6 +93,17 @@ class Automaton:
         return list(self._automaton.iter("".join([char(w, "\0") for w in words])))
 
 
+def united(hits: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Maximal runs (first word, end) of hits in order of their last words."""
+    spans: list[tuple[int, int]] = []
+    for last, size in hits:
+        begin = last - size + 1
+        while spans and spans[-1][1] >= begin:
+            begin = min(begin, spans.pop()[0])
+        spans.append((begin, last + 1))
+    return spans
+
+
 SHARDED = "bucket int, kind int, doc long, tag long, first long, words binary"
 PHRASE, STRETCH = 0, 1
 
@@ -109,22 +120,19 @@ def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = batch.filter(pa.compute.equal(batch.column("kind"), STRETCH))
         if not rest.num_rows or not automata:
             continue
-        known: dict[bytes, np.ndarray] = {}
-        begins, ends, owners = [], [], []
-        for i, text in enumerate(rest.column("words")):
-            text = text.as_buffer().to_pybytes()
-            edges = known.get(text)
-            if edges is None:
+        known: dict[bytes, list[tuple[int, int]]] = {}
+        spans, owner = [], []
+        for i, text in enumerate(rest.column("words").to_pylist()):
+            found = known.get(text)
+            if found is None:
                 words = text.split(b" ")
-                hits = np.array([h for a in automata for h in a.hits(words)], dtype=np.int64).reshape(-1, 2)
-                edges = runs(marked(len(words), hits[:, 0] - hits[:, 1] + 1, hits[:, 0] + 1))
-                known[text] = edges
-            begins.append(edges[::2])
-            ends.append(edges[1::2])
-            owners.append(np.full(len(edges) // 2, i))
-        owner = np.concatenate(owners)
+                found = known[text] = united(sorted(h for a in automata for h in a.hits(words)))
+            spans += found
+            owner += [i] * len(found)
+        begin, end = np.array(spans, dtype=np.int64).reshape(-1, 2).T
+        owner = np.array(owner, dtype=np.int64)
         doc, tag, first = (rest.column(c).to_numpy()[owner] for c in ("doc", "tag", "first"))
-        columns = [doc, tag, first + np.concatenate(begins), first + np.concatenate(ends)]
+        columns = [doc, tag, first + begin, first + end]
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["_doc", "_tag", "first", "last"])
 
 

@@ -189,6 +189,8 @@ def test_automaton_of_words():
         automaton.add(phrase.split())
     assert sorted(automaton.hits(b"x a bc a c a abc".split())) == [(2, 2), (3, 3), (5, 2)]
     assert automaton.hits([b"ab", b"c"]) == []
+    assert phrases.united([(2, 2), (3, 3), (5, 2), (9, 1), (10, 1)]) == [(1, 6), (9, 11)]
+    assert phrases.united([(2, 1), (4, 1), (6, 5)]) == [(2, 7)] and phrases.united([]) == []
 
 
 def test_routes_meet():
