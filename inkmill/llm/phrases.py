@@ -3,9 +3,9 @@
 A passage recurs if it consists of windows, 35 consecutive words by default, that occur at least twice, in other
 documents or in the same one.
 
-* Recurring phrases are confirmed by ``repeats`` over all documents, each once: the windows around an anchor that occur in
+* Recurring phrases are confirmed by ``repeats`` over all documents, from one place each: the windows around an anchor that occur in
   the same places are one phrase, so every recurring window lies in a phrase and no phrase holds a window that does not
-  recur. Where a sorted bucket ends, a window may be a phrase of its own next to one that holds it.
+  recur. A phrase may come twice, as a context and as windows of one; an automaton holds it once. Where a sorted bucket ends, a window may be a phrase of its own next to one that holds it.
   A phrase's key is a hash of its anchor.
 * Phrases are dealt into shards by key, and each shard compiles its own into Aho-Corasick automata of bounded size.
 * All documents are streamed past: a bitmap of the keys tells which of a document's anchors may head a phrase, and
