@@ -296,20 +296,37 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
 def _commonness(texts: DataFrame, width: int) -> np.ndarray:
     """In how many of the texts the shingles of each cell occur. Of fixed size."""
 
+    span = 1 << CELLS - 4  # cells that travel as one row
+
+    def packed(counts: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for part, own in sorted(counts.items()):
+            full = np.flatnonzero(own)
+            if full.size:
+                lists = [pa.array([full.astype(np.int32)], pa.list_(pa.int32())), pa.array([own[full]], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *lists], names=["part", "cells", "n"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(1 << CELLS, dtype=np.int64)
         for batch in batches:
             for text in batch.column(0):
                 np.add.at(cells, shingles(text.as_buffer(), width) >> np.uint64(64 - CELLS), 1)
-        full = np.flatnonzero(cells)
-        for begin in range(0, len(full), 100_000):
-            some = full[begin : begin + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(cells[some])], names=["cell", "n"])
+        yield from packed(dict(enumerate(cells.reshape(-1, span))))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, part in enumerate(batch.column(0).to_pylist()):
+                own = counts.setdefault(part, np.zeros(span, dtype=np.int64))
+                own[batch.column(1)[i].values.to_numpy()] += batch.column(2)[i].values.to_numpy()
+        yield from packed(counts)
 
-    found = texts.select("_text").mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    rows = found.select("cell", F.least("n", F.lit((1 << 31) - 1)).cast("int").alias("n")).toPandas()
+    schema = "part int, cells array<int>, n array<long>"
+    found = texts.select("_text").mapInArrow(count, schema).repartition(16, "part").mapInArrow(add, schema)
     cells = np.zeros(1 << CELLS, dtype=np.int32)
-    cells[rows["cell"].to_numpy(dtype=np.int64)] = rows["n"].to_numpy(dtype=np.int32)
+    for batch in found.toArrow().to_batches():
+        for i, part in enumerate(batch.column(0).to_pylist()):
+            own = np.minimum(batch.column(2)[i].values.to_numpy(), (1 << 31) - 1)
+            cells[part * span + batch.column(1)[i].values.to_numpy()] = own
     return cells
 
 
