@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from inkmill.functions.text import content_hash
 from inkmill.plans.clean import chapter_issues, judge
 from inkmill.plans.ingest import IngestOptions, ingest, next_state
+from inkmill.session import stored
 from inkmill.sources.rules import Rules
 from inkmill.sources.segments import commit_state, known_state, segments_after, whole_state
 
@@ -32,9 +33,9 @@ def ingest_batch(batch: DataFrame, batch_id: int, out: str, options: IngestOptio
     # Of a chapter that landed twice in a batch the row that landed last counts; a hash parts equal times.
     rest = [c for c in batch.columns if c not in ("book_id", "url", "landed_at")]
     order = F.struct(*[c for c in ("landed_at",) if c in batch.columns], F.xxhash64(*rest))
-    rows = batch.groupBy("book_id", "url").agg(F.max_by(F.struct(*rest), order).alias("r")).select(
-        "book_id", "url", "r.*"
-    )
+    latest = batch.groupBy("book_id", "url").agg(F.max_by(F.struct(*rest), order).alias("r"))
+    # Written once: every reader of its own would shuffle all texts again.
+    rows = stored(latest.select("book_id", "url", "r.*"), "batch")
     segments = segments_after(spark, store, batch_id - 1)
     state = known_state(
         spark, store, segments, batch.select("book_id", "url", content_hash(F.col("text")).alias("digest"))
