@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from test_chain import PIECES
 
-from inkmill.operators.reviewing import change_rows, with_decisions
+from inkmill.operators.reviewing import apply_decisions, change_rows, with_decisions
 from inkmill.plans.clean import judge
 from inkmill.plans.review import decision_log, review_chapters, review_judged, reviewed_chapters
 from inkmill.sources.rules import load_rules
@@ -66,3 +66,16 @@ def test_written_changes_leave_out_what_is_not_asked_for(spark, tmp_path):
     assert set(whole.columns) - set(bare.columns) == {"title", "original_text"}
     assert not {"j1", "j2"} & set(change_rows(whole).columns)
     assert all(f.endswith(".zstd.parquet") for f in whole.inputFiles())
+
+
+def test_changes_travel_as_one_text_and_whole(spark):
+    changed = review_chapters(chapters(spark), load_rules(), mode="auto").cache()
+    rows = change_rows(changed)
+    decisions = rows.filter("change_index % 4 < 3").select("book_id", "chapter_index", "change_index", (F.col("change_index") % 2 == 0).alias("accepted"))
+    done = reviewed_chapters(changed, decisions)
+    plan = done._jdf.queryExecution().optimizedPlan().toString()
+    join = plan[plan.index("Join LeftOuter") :]
+    assert "_lists" in join.splitlines()[1] and "arrays_zip" not in join.splitlines()[1]
+    found = {(r.book_id, r.chapter_index): (r.title, r.text) for r in done.collect()}
+    plain = apply_decisions(changed, decisions).collect()
+    assert found == {(r.book_id, r.chapter_index): (r.title, r.reviewed_text) for r in plain} and len(found) == len(plain) > 300
